@@ -103,7 +103,12 @@ def normal_quantile_udf(p: pd.Series) -> pd.Series:
     return p.map(lambda v: normal_quantile(min(max(v, 1e-9), 1 - 1e-9)))
 
 
-T995_BY_DF = {d: round(t_quantile(0.995, d), 10) for d in range(1, 61)}
+TABLE_DF = 60
+
+
+@lru_cache(maxsize=None)
+def t_table(p: float) -> dict[int, float]:
+    return {d: round(t_quantile(p, d), 10) for d in range(1, TABLE_DF + 1)}
 
 
 def _t_series(z: float) -> list[float]:
@@ -117,17 +122,25 @@ def _t_series(z: float) -> list[float]:
     ]
 
 
-def t995(df: Column) -> Column:
-    """Critical value of a whole-number df: a literal map to 60, the expansion beyond."""
-    table = F.create_map(*[F.lit(x) for pair in T995_BY_DF.items() for x in pair])
-    v = df.cast("double")
+def t_crit(df: Column, p: float) -> Column:
+    """Quantile for a whole-number df: a literal map to 60, the expansion beyond; null below 1."""
+    table = F.create_map(*[F.lit(x) for pair in t_table(p).items() for x in pair])
+    v = F.greatest(df.cast("double"), F.lit(1.0))
     series = F.lit(0.0)
-    for i, c in enumerate(_t_series(Z995)):
+    for i, c in enumerate(_t_series(normal_quantile(p))):
         series = series + F.lit(c) / F.pow(v, F.lit(float(i)))
-    return F.when(df < 1, F.lit(None)).when(df <= 60, F.try_element_at(table, df.cast("int"))).otherwise(series)
+    return F.when(df < 1, F.lit(None)).when(df <= TABLE_DF, F.try_element_at(table, df.cast("int"))).otherwise(series)
+
+
+def t_crit_sql(df: str, p: float) -> str:
+    rows = " ".join(f"WHEN {d} THEN {v!r}::DOUBLE" for d, v in t_table(p).items())
+    series = " + ".join(f"({c!r}::DOUBLE) / pow({df}, {i})" for i, c in enumerate(_t_series(normal_quantile(p))))
+    return f"(CASE WHEN ({df}) < 1 THEN NULL WHEN ({df}) <= {TABLE_DF} THEN (CASE ({df}) {rows} END) ELSE {series} END)"
+
+
+def t995(df: Column) -> Column:
+    return t_crit(df, 0.995)
 
 
 def t995_sql(df: str) -> str:
-    rows = " ".join(f"WHEN {d} THEN {v!r}::DOUBLE" for d, v in T995_BY_DF.items())
-    series = " + ".join(f"({c!r}::DOUBLE) / pow({df}, {i})" for i, c in enumerate(_t_series(Z995)))
-    return f"(CASE WHEN ({df}) < 1 THEN NULL WHEN ({df}) <= 60 THEN (CASE ({df}) {rows} END) ELSE {series} END)"
+    return t_crit_sql(df, 0.995)

@@ -42,6 +42,11 @@ def centred(a: Column) -> Column:
     return F.transform(a, lambda x: x - mean(a))
 
 
+def unit(a: Column) -> Column:
+    norm = F.greatest(F.sqrt(dot(a, a)), F.lit(1e-12))
+    return F.transform(a, lambda x: x / norm)
+
+
 def moving_average(a: Column, half: int) -> Column:
     """Centred window of 2*half+1, shorter at the ends."""
     n = F.size(a)

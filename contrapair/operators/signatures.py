@@ -113,14 +113,19 @@ def defect_split(sig: DataFrame, keys: list[str], value: str = "k", factor: floa
     return y.select(*keys, "pos", value, (F.col("__d") > F.lit(factor) * F.col("__mad") / 0.6745).alias("defect"))
 
 
-def bootstrap_multiplicities(items: DataFrame, group: str, rn: str, n: str, reps: int, salt: int) -> DataFrame:
+def bootstrap_multiplicities(
+    items: DataFrame, group: str, rn: str, n: str, reps: int, salt: int, stream: Column | None = None
+) -> DataFrame:
     """How often replicate `rep` draws the item in place rn of its group: (group, rep, rn, m).
 
     Slot s of a group of n draws place h(s, rep) mod n. Slots are the items' own places, so
-    drawing is one narrow pass, and counting shuffles by (group, rep, place).
+    drawing is one narrow pass, and counting shuffles by (group, rep, place). `stream`, a whole
+    number, gives groups independent draws; without it they share one resampled index.
     """
-    x = items.select(group, rn, n, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    place = portable_hash(F.col(rn), F.col("rep"), salt) % F.col(n) + 1
+    st = F.lit(0).cast("long") if stream is None else stream.cast("long")
+    x = items.select(group, rn, n, st.alias("__stream"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    key = F.col("rep") if stream is None else F.col("rep") + F.col("__stream") * 1009
+    place = portable_hash(F.col(rn), key, salt) % F.col(n) + 1
     return x.groupBy(group, "rep", place.alias(rn)).agg(F.count(F.lit(1)).alias("m"))
 
 
@@ -164,10 +169,8 @@ def quality(sig: DataFrame, device: str, first: str, second: str) -> DataFrame:
     The mean over the other devices is z_d . (sum z - z_d) / (D - 1) with z standardised, so
     no pair of devices is formed.
     """
-    z = sig
-    for c in (first, second):
-        z = z.withColumn(c, V.centred(F.col(c)))
-        z = z.withColumn(c, F.transform(c, lambda x, c=c: x / F.sqrt(V.dot(F.col(c), F.col(c)))))
+    z = sig.withColumns({c: V.centred(F.col(c)) for c in (first, second)})
+    z = z.withColumns({c: V.unit(F.col(c)) for c in (first, second)})
     sums = positions(z, [device], s=second).groupBy("pos").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("d"))
     tot = to_arrays(sums.select(F.lit(1).alias("one"), "pos", "s"), ["one"], "s")
     d = sums.agg(F.max("d"))

@@ -89,10 +89,10 @@ def smallest_gaps(df: DataFrame, device: str, split: str, ts: str, uid: str, spl
     """
     marked = df.select(device, split, ts, uid, *[F.when(F.col(split) == s, F.col(ts)).alias(f"__t{i}") for i, s in enumerate(splits)])
     run = with_running(marked, [device], [ts, uid], {f"__p{i}": ("max", f"__t{i}") for i in range(len(splits))})
-    prev = F.array(*[F.struct(F.lit(s).alias("other"), F.col(f"__p{i}").alias("t")) for i, s in enumerate(splits)])
-    x = run.select(device, split, ts, F.inline(prev)).where((F.col("other") != F.col(split)) & F.col("t").isNotNull())
+    prev = F.array(*[F.struct(F.lit(s).alias("other"), F.col(f"__p{i}").alias("__prev")) for i, s in enumerate(splits)])
+    x = run.select(device, split, ts, F.inline(prev)).where((F.col("other") != F.col(split)) & F.col("__prev").isNotNull())
     a, b = F.least(split, "other"), F.greatest(split, "other")
-    return x.groupBy(device, a.alias("split_a"), b.alias("split_b")).agg(F.min(F.col(ts) - F.col("t")).alias("gap"))
+    return x.groupBy(device, a.alias("split_a"), b.alias("split_b")).agg(F.min(F.col(ts) - F.col("__prev")).alias("gap"))
 
 
 def first_n(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from contrapair.operators.ingest import match_names, parse_log
 
-MEASUREMENT = StructType.fromDDL("tag string, gen_idx bigint, K string, rho double")
-MANIFEST = StructType.fromDDL("device string, split string, idx bigint, path string")
+MEASUREMENT = "tag string, gen_idx bigint, K string, rho double"
+MANIFEST = "device string, split string, idx bigint, path string"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -29,7 +28,7 @@ def read_contents(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return files.select("path", "content")
 
 
-def read_measurements(spark: SparkSession, path: str, schema: StructType = MEASUREMENT, fmt: str = "csv") -> DataFrame | None:
+def read_measurements(spark: SparkSession, path: str, schema: str = MEASUREMENT, fmt: str = "csv") -> DataFrame | None:
     """A measurement table with its declared schema, so device codes stay strings; None when absent."""
     if not path_exists(spark, path):
         return None
