@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it many times inside `body`.
+
+    An expression written inside a lambda is evaluated again for every element; bound to a
+    lambda variable it is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def doubles(a: Column) -> Column:
     return a.cast("array<double>")
 
@@ -39,26 +50,38 @@ def correlation_from_sums(n: Column, sx: Column, sy: Column, sxx: Column, syy: C
 
 
 def centred(a: Column) -> Column:
-    return F.transform(a, lambda x: x - mean(a))
+    return let(a, lambda v: let(mean(v), lambda m: F.transform(v, lambda x: x - m)))
 
 
 def unit(a: Column) -> Column:
-    norm = F.greatest(F.sqrt(dot(a, a)), F.lit(1e-12))
-    return F.transform(a, lambda x: x / norm)
+    return let(a, lambda v: let(
+        F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12)), lambda norm: F.transform(v, lambda x: x / norm)))
 
 
-def moving_average(a: Column, half: int) -> Column:
-    """Centred window of 2*half+1, shorter at the ends."""
+def median(a: Column) -> Column:
+    """Median of one short array."""
+    def mid(s: Column) -> Column:
+        m = F.size(s)
+        return (F.element_at(s, ((m + 1) / 2).cast("int")) + F.element_at(s, (m / 2).cast("int") + 1)) / 2
+
+    return let(F.array_sort(a), mid)
+
+
+def windows(a: Column, half: int, body: Callable[[Column], Column]) -> Column:
+    """body of each centred window of 2*half+1 elements, shorter at the ends."""
     n = F.size(a)
 
     def at(i: Column) -> Column:
         lo = F.greatest(i - half, F.lit(0))
-        hi = F.least(i + half, n - 1)
-        return mean(F.slice(a, lo + 1, hi - lo + 1))
+        return body(F.slice(a, lo + 1, F.least(i + half, n - 1) - lo + 1))
 
     return F.transform(F.sequence(F.lit(0), n - 1), at)
 
 
+def moving_average(a: Column, half: int) -> Column:
+    return windows(a, half, mean)
+
+
 def roll(a: Column, d: Column) -> Column:
     """out[p] = a[(p + d) mod n]."""
     k = F.pmod(d, F.size(a))

@@ -69,7 +69,7 @@ def _balls(refs: DataFrame, group: list[str], keep: list[str], like: Likeness) -
     packed = F.array_sort(F.collect_list(F.struct("__rn", F.col("__rid").alias("__pid"), F.col("__rv").alias("__pv"))))
     pivots = top.groupBy(*group).agg(packed.alias("__p"))
     x = _attach(refs, pivots, group, ["__p"])
-    x = x.withColumn("__s", F.transform("__p", lambda p: like.of(F.col("__rv"), p["__pv"])))
+    x = x.withColumn("__s", V.let(F.col("__rv"), lambda v: F.transform("__p", lambda p: like.of(v, p["__pv"]))))
     x = x.withColumn("__best", F.array_max("__s"))
     x = x.withColumn("__ball", F.array_position("__s", F.col("__best")).cast("int") - 1)
     member = x.select(*group, "__rid", "__rv", *keep, "__ball", "__best")
@@ -91,6 +91,10 @@ def candidate_pairs(
     with best=True, every item's most similar reference. `keep` carries item columns along,
     `ref_keep` reference columns, as ref_<name>."""
     keep, ref_keep = keep or [], ref_keep or []
+    if like is COSINE:
+        # norms once per row instead of once per comparison
+        like = UNIT_COSINE
+        items, refs = items.withColumn(vec, V.unit(F.col(vec))), refs.withColumn(vec, V.unit(F.col(vec)))
     if not group:
         items, refs, group = items.withColumn("__g", F.lit(0)), refs.withColumn("__g", F.lit(0)), ["__g"]
     carried = [F.col(c).alias(f"ref_{c}") for c in ref_keep]
@@ -98,7 +102,8 @@ def candidate_pairs(
     facts, member = _balls(r, group, [f"ref_{c}" for c in ref_keep], like)
     x = items.select(*group, F.col(iid).alias("__iid"), F.col(vec).alias("__iv"), *keep)
     x = _attach(x, facts, group, ["__p", "__b"])
-    x = x.withColumn("__s", F.transform("__p", lambda p: F.struct(p["__pid"].alias("pid"), like.of(F.col("__iv"), p["__pv"]).alias("s"))))
+    x = x.withColumn("__s", V.let(F.col("__iv"), lambda v: F.transform(
+        "__p", lambda p: F.struct(p["__pid"].alias("pid"), like.of(v, p["__pv"]).alias("s")))))
     need = F.lit(float("inf"))
     if best:
         others = F.filter("__s", lambda s: s["pid"] != F.col("__iid")) if not_itself else F.col("__s")
@@ -256,22 +261,20 @@ def mutual_best(a: DataFrame, b: DataFrame, iid: str, vec: str, n: int, like: Li
 
 def peakedness(scores: Column) -> Column:
     """(max - median) / (MAD / 0.6745) of one item's correlations."""
-    def med(a: Column) -> Column:
-        s = F.array_sort(a)
-        m = F.size(s)
-        return (F.element_at(s, ((m + 1) / 2).cast("int")) + F.element_at(s, (m / 2).cast("int") + 1)) / 2
+    def z(m: Column) -> Column:
+        mad = V.median(F.transform(scores, lambda x: F.abs(x - m)))
+        return (F.array_max(scores) - m) / (mad / 0.6745 + 1e-12)
 
-    m = med(scores)
-    mad = med(F.transform(scores, lambda x: F.abs(x - m)))
-    return (F.array_max(scores) - m) / (mad / 0.6745 + 1e-12)
+    return V.let(V.median(scores), z)
 
 
 def softmax_share(logits: Column) -> Column:
     """Softmax weight of the target entries of an array of (hit, z)."""
-    top = F.array_max(F.transform(logits, lambda s: s["z"]))
-    e = F.transform(logits, lambda s: F.struct(s["hit"].alias("hit"), F.exp(s["z"] - top).alias("e")))
-    hit = V.total(F.transform(e, lambda s: F.when(s["hit"], s["e"]).otherwise(0.0)))
-    return hit / V.total(F.transform(e, lambda s: s["e"]))
+    def share(top: Column) -> Column:
+        hit = V.total(F.transform(logits, lambda s: F.when(s["hit"], F.exp(s["z"] - top)).otherwise(0.0)))
+        return hit / V.total(F.transform(logits, lambda s: F.exp(s["z"] - top)))
+
+    return V.let(F.array_max(F.transform(logits, lambda s: s["z"])), share)
 
 
 @F.pandas_udf(DoubleType())

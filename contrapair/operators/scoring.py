@@ -95,10 +95,12 @@ def peak_energy(scored: DataFrame, y: str = "y", w: str = "w", k: str = "tk", ex
 
     c(s) = sum_p w[p + s] z[p] over centred unit vectors, all lags as one array.
     """
-    x = scored.withColumn("__a", V.unit(V.centred(F.col(w))))
-    x = x.withColumn("__b", V.unit(V.centred(V.times(F.col(y), F.col(k)))))
     lags = F.sequence(F.lit(0), F.size(w) - 1)
-    x = x.withColumn("__c", F.transform(lags, lambda s: V.dot(V.roll(F.col("__a"), s), F.col("__b"))))
+
+    def surface(a: Column) -> Column:
+        return V.let(V.unit(V.centred(V.times(F.col(y), F.col(k)))), lambda b: F.transform(lags, lambda s: V.dot(V.roll(a, s), b)))
+
+    x = scored.withColumn("__c", V.let(V.unit(V.centred(F.col(w))), surface))
     half = exclude // 2
     n = F.size("__c")
     off = F.slice("__c", F.lit(half + 2), n - 2 * half - 1)
@@ -109,7 +111,7 @@ def peak_energy(scored: DataFrame, y: str = "y", w: str = "w", k: str = "tk", ex
         "pce0": F.signum(c0) * c0 * c0 / F.col("__e"),
         "pce_max": F.signum(cm) * cm * cm / F.col("__e"),
         "shift": (-F.col("__m.i")).cast("long"),
-    }).drop("__a", "__b", "__c", "__e", "__m")
+    }).drop("__c", "__e", "__m")
 
 
 def shift_residues(peaks: DataFrame, keys: list[str], shift: str = "shift") -> DataFrame:
@@ -178,7 +180,6 @@ def remove_two(w: Column, p: Column, q: Column) -> Column:
     pp, qq, pq = V.dot(p, p), V.dot(q, q), V.dot(p, q)
     wp, wq = V.dot(w, p), V.dot(w, q)
     det = F.nullif(pp * qq - pq * pq, F.lit(0.0))
-    a = F.coalesce((wp * qq - wq * pq) / det, F.lit(0.0))
-    b = F.coalesce((wq * pp - wp * pq) / det, F.lit(0.0))
-    fit = F.zip_with(p, q, lambda x, z: F.struct(x.alias("x"), z.alias("z")))
-    return F.zip_with(w, fit, lambda v, f: v - a * f["x"] - b * f["z"])
+    coef = F.struct(
+        F.coalesce((wp * qq - wq * pq) / det, F.lit(0.0)).alias("a"), F.coalesce((wq * pp - wp * pq) / det, F.lit(0.0)).alias("b"))
+    return V.let(coef, lambda c: F.zip_with(w, F.zip_with(p, q, lambda x, z: c["a"] * x + c["b"] * z), lambda v, f: v - f))

@@ -23,12 +23,18 @@ MIN_ENERGY = 1e-6
 
 def standardised_residual(df: DataFrame, y: str, out: str, half: int = 2) -> DataFrame:
     """High-pass each item and scale it to mean 0, population SD 1; a flat item is an error."""
-    r = F.zip_with(y, V.moving_average(F.col(y), half), lambda a, b: a - b)
-    df = df.withColumn("__r", r)
-    df = df.withColumn("__m", V.mean(F.col("__r")))
-    sd = F.sqrt(V.dot(F.col("__r"), F.col("__r")) / F.size("__r") - F.col("__m") * F.col("__m"))
-    df = df.withColumn("__sd", F.when(sd > 0, sd).otherwise(F.raise_error(F.lit("degenerate residual")).cast("double")))
-    return df.withColumn(out, F.transform("__r", lambda x: (x - F.col("__m")) / F.col("__sd"))).drop("__r", "__m", "__sd")
+    def scaled(r: Column) -> Column:
+        def at(ms: Column) -> Column:
+            sd = F.when(ms["v"] > 0, F.sqrt(ms["v"])).otherwise(F.raise_error(F.lit("degenerate residual")).cast("double"))
+            return V.let(sd, lambda s: F.transform(r, lambda x: (x - ms["m"]) / s))
+
+        m = V.mean(r)
+        return V.let(F.struct(m.alias("m"), (V.dot(r, r) / F.size(r) - m * m).alias("v")), at)
+
+    def residual(v: Column) -> Column:
+        return V.let(F.zip_with(v, V.moving_average(v, half), lambda a, b: a - b), scaled)
+
+    return df.withColumn(out, V.let(F.col(y), residual))
 
 
 def positions(df: DataFrame, keep: list[str], **arrays: str) -> DataFrame:
@@ -63,11 +69,14 @@ def zero_mean_grid(sig: DataFrame, keys: list[str], width: int, value: str = "k"
     def centre(a: Column) -> Column:
         n_rows = (F.size(a) / width).cast("int")
         rows = F.transform(F.sequence(F.lit(0), n_rows - 1), lambda i: V.centred(F.slice(a, i * width + 1, F.lit(width))))
+        return V.let(rows, without_column_means)
+
+    def without_column_means(rows: Column) -> Column:
         cols = F.transform(
             F.sequence(F.lit(1), F.lit(width)),
             lambda j: V.mean(F.transform(rows, lambda row: F.element_at(row, j))),
         )
-        return F.flatten(F.transform(rows, lambda row: F.zip_with(row, cols, lambda x, c: x - c)))
+        return V.let(cols, lambda c: F.flatten(F.transform(rows, lambda row: F.zip_with(row, c, lambda x, y: x - y))))
 
     return sig.withColumn(value, centre(F.col(value)))
 
@@ -91,22 +100,9 @@ def without_shared_part(sig: DataFrame, device: str, value: str = "k") -> DataFr
     return y.select(device, "pos", (F.col(value) - F.col("__mk") - F.col("__b") * (F.col("__o") - F.col("__mo"))).alias(value))
 
 
-def local_median(a: Column, half: int = 2) -> Column:
-    n = F.size(a)
-
-    def at(i: Column) -> Column:
-        lo = F.greatest(i - half, F.lit(0))
-        w = F.array_sort(F.slice(a, lo + 1, F.least(i + half, n - 1) - lo + 1))
-        m = F.size(w)
-        mid = (F.element_at(w, ((m + 1) / 2).cast("int")) + F.element_at(w, (m / 2).cast("int") + 1)) / 2
-        return mid
-
-    return F.transform(F.sequence(F.lit(0), n - 1), at)
-
-
 def defect_split(sig: DataFrame, keys: list[str], value: str = "k", factor: float = 5.0) -> DataFrame:
     """Mark positions far from their local median: (keys, pos, value, defect)."""
-    x = sig.withColumn("__r", F.zip_with(value, local_median(F.col(value)), lambda a, b: F.abs(a - b)))
+    x = sig.withColumn("__r", F.zip_with(value, V.windows(F.col(value), 2, V.median), lambda a, b: F.abs(a - b)))
     rows = positions(x, keys, **{value: value, "__d": "__r"})
     med = exact_quantiles(rows, keys, "__d", {"__mad": 0.5})
     y = rows.join(med, keys)
@@ -158,9 +154,9 @@ def fold(a: Column, g: int) -> Column:
 
 def periodic_part(df: DataFrame, value: str, g: int, out: str) -> DataFrame:
     """The fold, tiled back to full length."""
-    f = df.withColumn("__f", fold(F.col(value), g))
-    tiled = F.transform(F.sequence(F.lit(0), F.size(value) - 1), lambda p: F.element_at("__f", p % g + 1))
-    return f.withColumn(out, tiled).drop("__f")
+    places = F.sequence(F.lit(0), F.size(value) - 1)
+    tiled = V.let(fold(F.col(value), g), lambda f: F.transform(places, lambda p: F.element_at(f, p % g + 1)))
+    return df.withColumn(out, tiled)
 
 
 def quality(sig: DataFrame, device: str, first: str, second: str) -> DataFrame:

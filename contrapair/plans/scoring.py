@@ -10,6 +10,7 @@ from contrapair.functions.ordered import exact_quantiles, with_rank
 from contrapair.operators import scoring as op
 from contrapair.operators import signatures as sg
 from contrapair.plans import derived as d
+from contrapair.plans import splits  # noqa: F401  (defines v_variant)
 from contrapair.plans.registry import query
 from contrapair.plans.signatures import signature_arrays
 from contrapair.plans.sqlkit import big, i64, oracle, r, rounded, view

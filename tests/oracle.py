@@ -52,8 +52,10 @@ KIND = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VAR
 
 def compare(spark, con, sf_dir, fn, sql):
     """Empty string when equal, else what differs."""
+    t = time.time()
     df = fn(spark, sf_dir)
     got_cols, got = normal(df.columns, [tuple(r) for r in df.collect()])
+    compare.seconds = time.time() - t
     if sql is None:
         return "" if got else "no rows", len(got)
     rel = con.execute(sql)
@@ -97,7 +99,7 @@ def main() -> int:
             msg, n = f"{type(e).__name__}: {str(e)[:700]}", 0
         failed += bool(msg)
         mark = "FAIL" if msg else ("ok" if name in checks else "rows")
-        print(f"{mark:5s}{name:32s}{n:8d} rows {time.time() - t:6.2f}s  {msg}", flush=True)
+        print(f"{mark:5s}{name:32s}{n:8d} rows {getattr(compare, "seconds", 0):6.2f}s of {time.time() - t:6.2f}s  {msg}", flush=True)
     print(f"{failed} failed")
     return failed
 
