@@ -55,3 +55,12 @@ def i64(expr: str) -> str:
 def big(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return c.cast("long")
+
+
+def rs(digits: int, **named: str) -> str:
+    """Select-list of rounded expressions."""
+    return ", ".join(f"{r(e, digits)} AS {n}" for n, e in named.items())
+
+
+def fix(df, digits: int, *columns: str):
+    return df.withColumns({c: rounded(c, digits) for c in columns})
