@@ -208,8 +208,9 @@ def cross_seed_additive(cells: DataFrame, tag: str, own: str, seed: str, cand: s
     cells: one row per (tag, candidate). Rows: (fitted seed, held-out tag, own, predicted, observed).
     """
     b = candidate_effects(cells.withColumnRenamed(seed, "fit_seed"), ["fit_seed"], cand, value)
-    owns = cells.select(F.col(own)).distinct()
-    pred = own_minus_mean(b.join(F.broadcast(owns)), ["fit_seed", own], cand, own, "b", "predicted")
+    tot = b.groupBy("fit_seed").agg(F.sum("b").alias("__t"), F.count(F.lit(1)).alias("__n"))
+    rest = (F.col("__t") - F.col("b")) / (F.col("__n") - 1)
+    pred = b.join(tot, "fit_seed").select("fit_seed", F.col(cand).alias(own), (F.col("b") - rest).alias("predicted"))
     obs = own_minus_mean(cells, [tag, own, seed], cand, own, value, "observed")
     return obs.join(pred, own).where(F.col("fit_seed") != F.col(seed))
 
