@@ -51,7 +51,7 @@ def sign_flip(means: DataFrame, group: str, order: str, value: str) -> DataFrame
     rows = rows.select(group, F.transform("a", lambda s: s["v"]).alias("v"), "k")
     top = rows.agg(F.max("k")).first()[0]
     pack = rows.agg(F.collect_list(F.struct(group, "v", "k")))
-    x = masks(spark, top).select("mask", F.inline(pack.scalar())).where(F.col("mask") < F.shiftleft(F.lit(1).cast("long"), F.col("k").cast("int")))
+    x = masks(spark, top).select("mask", F.inline(pack.scalar())).where(F.col("mask") < F.pow(F.lit(2.0), F.col("k")).cast("long"))
     padded = F.concat("v", F.array_repeat(F.lit(0).cast("long"), (F.lit(top) - F.col("k")).cast("int")))
     x = x.withColumn("v", padded)
     # flipped sum >= observed sum  <=>  sum over the flipped (unset) bits <= 0
@@ -165,7 +165,8 @@ def seed_pair_relabelling(pairs: DataFrame, cond: str, seed: str, value: str, n_
     n = x.agg(F.count_if("same").alias("same"))
     pack = g.agg(F.collect_list(F.struct("sx", "sy", "d")))
     y = masks(spark, n_seeds).select("mask", F.inline(pack.scalar()))
-    flip = F.shiftright(F.col("mask"), F.col("sx")).bitwiseXOR(F.shiftright(F.col("mask"), F.col("sy"))).bitwiseAND(F.lit(1))
+    at = [F.call_function("shiftright", F.col("mask"), F.col(c)) for c in ("sx", "sy")]
+    flip = at[0].bitwiseXOR(at[1]).bitwiseAND(F.lit(1))
     s = y.groupBy("mask").agg(F.sum(F.col("d") * (1 - 2 * flip)).alias("s"))
     obs = s.where("mask = 0").select("s")
     z = s.select("s", obs.scalar().alias("obs"), n.scalar().alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contrapair.plans import contrasts, ingest, models, nearcopy, resample, scoring, signatures, splits  # noqa: F401
+from contrapair.plans import contrasts, ingest, models, nearcopy, report, resample, scoring, signatures, splits  # noqa: F401
 from contrapair.plans.registry import CHECKS, QUERIES
 
 

@@ -190,7 +190,7 @@ def cluster_bootstrap(spark, sf):
 
 SHARED = 200
 view("v_crossed_o", """SELECT arm, seed, l_orderkey % 10 AS j, CASE arm WHEN 'A' THEN 1 ELSE -1 END * (avg(l_discount) - 1.25 * avg(l_tax)) AS x FROM v_lines
-    WHERE arm IN ('A', 'B') AND l_linestatus = 'O' GROUP BY ALL""")
+    WHERE arm IN ('A', 'B') AND l_linestatus = 'O' GROUP BY arm, seed, l_orderkey % 10""")
 view("v_shared_m", f"SELECT rep, {portable_hash_sql('slot', 'rep', 67)} % 10 AS j, count(*) AS m FROM range(0, {SHARED}) t(rep), range(0, 10) s(slot) GROUP BY ALL")
 
 
