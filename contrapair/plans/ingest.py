@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from contrapair.functions.ordered import with_rank, with_running
 from contrapair.operators import ingest as op
 from contrapair.plans import derived as d
 from contrapair.plans.registry import query
 from contrapair.plans.sqlkit import big, i64, oracle, r, rounded
+from contrapair.session import scratch_path
 from contrapair.sources import readers, writers
 
 URL_RULES = [
@@ -131,8 +131,6 @@ RUN_STEPS = 4
     runs=f"""SELECT *, {i64('sum(CASE WHEN step = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY job ORDER BY event_id)')} AS run FROM parsed"""))
 def last_complete_run(spark, sf):
     """Each user's events are one job's log; an error event restarts its step counter."""
-    from contrapair.functions.ordered import with_rank, with_running
-
     e = d.table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
     e = e.withColumn("crash", F.when(F.col("event_type") == "error", 1).otherwise(0))
     e = with_running(e, ["user_id"], ["event_id"], {"c": ("sum", "crash")})
@@ -149,7 +147,6 @@ def last_complete_run(spark, sf):
 @query("a12_write_outputs", oracle(f"SELECT arm, tag, count(*) AS n, {r('avg(c)')} AS c FROM v_con GROUP BY arm, tag"))
 def write_outputs(spark, sf):
     """Write the per-item table partitioned by arm, then report on what was written."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    path = f"{base}/measurements-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "measurements")
     writers.write_measurements(d.contrasts(spark, sf), path, ["arm"])
     return spark.read.parquet(path).groupBy("arm", "tag").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("c")).alias("c"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from contrapair.functions.critical import t995_sql
@@ -19,17 +17,11 @@ from contrapair.plans import resample as pr
 from contrapair.plans import signatures as ps
 from contrapair.plans.registry import query
 from contrapair.plans.sqlkit import big, fix, i64, oracle, r, rounded, rs, view
-from contrapair.session import materialise
+from contrapair.session import materialise, scratch_path
 from contrapair.sources.writers import write_measurements
 from contrapair.streaming import activity, resumable
 
 
-def scratch(spark, name):
-    """A fresh folder under the shared checkpoint location."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def lean(spark, sf):
     """From long score rows to one row per arm: parse tags, pair, average, test, limit."""
     x = cn.parse_tag(d.long(spark, sf).drop("arm", "seed")).where(F.col("arm").isin(d.ARMS))
@@ -194,8 +186,8 @@ def activity_stream(spark, sf):
     schema = d.table(spark, sf, "events").schema
     s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     s = s.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    path = scratch(spark, "sessions")
-    q = activity.start_activity_snapshot(activity.activity_sessions(s, "user_id", "ts", f"{GAP_US // 1_000_000} seconds", "1 day"), path, scratch(spark, "stream"))
+    path = scratch_path(spark, "sessions")
+    q = activity.start_activity_snapshot(activity.activity_sessions(s, "user_id", "ts", f"{GAP_US // 1_000_000} seconds", "1 day"), path, scratch_path(spark, "stream"))
     q.awaitTermination()
     return spark.read.parquet(path).select("user_id", "n", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"))
 
@@ -203,7 +195,7 @@ def activity_stream(spark, sf):
 @query("a8_ingest_stream", oracle("SELECT tag, count(*) AS n, CAST(sum(gen_idx) AS BIGINT) AS key_sum FROM (SELECT DISTINCT tag, gen_idx FROM v_lines) GROUP BY tag"))
 def ingest_stream(spark, sf):
     """A table holding part of the keys, then a stream of all rows, then the same stream again: every key once."""
-    path = scratch(spark, "ingest")
+    path = scratch_path(spark, "ingest")
     done = d.lines(spark, sf).where("l_linestatus = 'O'").groupBy("tag", "gen_idx").agg(F.min("l_discount").alias("value"))
     write_measurements(done, path, ["tag"])
     schema = d.table(spark, sf, "lineitem").schema
@@ -212,7 +204,7 @@ def ingest_stream(spark, sf):
         arm = F.when(F.col("l_returnflag") == "A", "A").when(F.col("l_returnflag") == "R", "B").otherwise("base")
         rows = s.select(F.concat(arm, F.lit("_raw_s"), (F.col("l_partkey") % 12).cast("string"), F.lit("_r16")).alias("tag"),
                         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("gen_idx"), F.col("l_discount").alias("value"))
-        resumable.start_resumable_ingest(rows, path, ["tag", "gen_idx"], "tag", scratch(spark, "stream")).awaitTermination()
+        resumable.start_resumable_ingest(rows, path, ["tag", "gen_idx"], "tag", scratch_path(spark, "stream")).awaitTermination()
     return spark.read.parquet(path).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.sum("gen_idx").alias("key_sum"))
 
 
