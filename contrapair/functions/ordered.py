@@ -14,11 +14,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contrapair.session import materialise
+
 MAX_CUTS = 4096
 
 
-def _cuts(df: DataFrame, order: str) -> list:
-    n = min(MAX_CUTS, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def _cuts(df: DataFrame, order: str, at_least: int = 8) -> list:
+    n = min(MAX_CUTS, max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     probs = [i / n for i in range(1, n)]
     row = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, 10 * n).alias("c")).first()
     return sorted(set(row["c"] or []))
@@ -37,17 +39,17 @@ def _cell(order: str, cuts: list) -> Column:
     return F.coalesce(c * m + fine, F.lit(-1))
 
 
-def _offsets(celled: DataFrame, keys: list[str], measure: Column) -> DataFrame:
-    """One row per (key, cell) with the running total of the earlier cells."""
-    w = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    per = celled.groupBy(*keys, "__cell").agg(measure.alias("__m"))
-    return per.withColumn("__off", F.coalesce(F.sum("__m").over(w), F.lit(0))).drop("__m")
-
+def with_rank(df: DataFrame, keys: list[str], order: list[str], out: str = "rn", total: str | None = None) -> DataFrame:
+    """row_number over (partition by keys order by order), and the key's row count as `total`.
 
-def with_rank(df: DataFrame, keys: list[str], order: list[str], out: str = "rn") -> DataFrame:
-    """row_number over (partition by keys order by order); the first order column is numeric."""
+    The first order column is numeric. Joining the offsets and ranking inside a cell use the
+    same partitioning, so rows are shuffled once.
+    """
     celled = df.withColumn("__cell", _cell(order[0], _cuts(df, order[0])))
-    off = _offsets(celled, keys, F.count(F.lit(1)))
+    per = celled.groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__m"))
+    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    off = per.select(*keys, "__cell", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__off"),
+                     *([F.sum("__m").over(Window.partitionBy(*keys)).alias(total)] if total else []))
     w = Window.partitionBy(*keys, "__cell").orderBy(*order)
     joined = celled.join(off, keys + ["__cell"])
     return joined.withColumn(out, F.row_number().over(w) + F.col("__off")).drop("__cell", "__off")
@@ -74,7 +76,7 @@ def with_running(df: DataFrame, keys: list[str], order: list[str], specs: dict[s
 
 def value_counts_below(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct values with their count `c` and the number of smaller rows `below`."""
-    vc = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    vc = materialise(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c")))
     return with_running(vc, keys, [value], {"below": ("sum", "c")}, inclusive=False)
 
 
@@ -86,16 +88,30 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataF
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolation quantiles, one row per key."""
-    vb = value_counts_below(df, keys, value)
-    n = vb.groupBy(*keys).agg(F.sum("c").alias("__n"))
-    at = vb.join(n, keys) if keys else vb.select("*", n.scalar().alias("__n"))
+    """Linear-interpolation quantiles, one row per key.
+
+    Two passes: rows are counted per cell, which tells the cell each wanted rank falls in;
+    then only the rows of those cells are ordered. The full column is never sorted or shuffled.
+    """
+    x = df.select(*keys, value).where(F.col(value).isNotNull())
+    celled = x.withColumn("__cell", _cell(value, _cuts(x, value, 64)))
+    per = celled.groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__m"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, "__cell", "__m", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__off"), F.sum("__m").over(whole).alias("__n"))
+    wanted = [F.floor((F.col("__n") - 1) * F.lit(q)) for q in probs.values()] + [F.ceil((F.col("__n") - 1) * F.lit(q)) for q in probs.values()]
+    inside = F.exists(F.array(*wanted), lambda i: (i >= F.col("__off")) & (i < F.col("__off") + F.col("__m")))
+    cells = materialise(per.where(inside).drop("__m"))
+    hit = celled.join(cells, keys + ["__cell"]).groupBy(*keys, "__cell", value).agg(
+        F.count(F.lit(1)).alias("c"), F.max("__off").alias("__off"), F.max("__n").alias("__n"))
+    w = Window.partitionBy(*keys, "__cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    at = hit.withColumn("below", F.col("__off") + F.coalesce(F.sum("c").over(w), F.lit(0)))
     aggs = []
     for name, q in probs.items():
         pos = (F.col("__n") - 1) * F.lit(q)
         for tag, i in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (F.col("below") <= i) & (i < F.col("below") + F.col("c"))
-            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"__{tag}_{name}"))
+            here = (F.col("below") <= i) & (i < F.col("below") + F.col("c"))
+            aggs.append(F.max(F.when(here, F.col(value))).alias(f"__{tag}_{name}"))
         aggs.append(F.max(pos - F.floor(pos)).alias(f"__f_{name}"))
     got = at.groupBy(*keys).agg(*aggs)
     return got.select(
@@ -105,15 +121,3 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
             for k in probs
         ],
     )
-
-
-def median_and_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Median and median absolute deviation, one row per key."""
-    med = exact_quantiles(df, keys, value, {"med": 0.5})
-    if keys:
-        dev = df.join(med, keys)
-    else:
-        dev = df.select("*", med.scalar().alias("med"))
-    dev = dev.withColumn("__d", F.abs(F.col(value) - F.col("med")))
-    mad = exact_quantiles(dev, keys, "__d", {"mad": 0.5})
-    return med.join(mad, keys) if keys else mad.select(med.scalar().alias("med"), "mad")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from contrapair.functions.critical import Z99, Z995, t995, t_crit
 from contrapair.functions.ordered import exact_quantiles, value_counts_below, with_running
 from contrapair.functions.vectors import safe_div
+from contrapair.session import materialise
 
 TAG = r"^([A-Za-z0-9]+)_raw_s(\d+)_r(\d+)$"
 
@@ -131,7 +132,7 @@ def retention(x: DataFrame, device: str, stage: str, value: str) -> DataFrame:
 
 def auc(df: DataFrame, keys: list[str], value: str, positive: Column) -> DataFrame:
     """Mann-Whitney AUC, ties counting one half; only distinct scores are ordered."""
-    vc = df.groupBy(*keys, value).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
+    vc = materialise(df.groupBy(*keys, value).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q")))
     x = with_running(vc, keys, [value], {"below": ("sum", "q")}, inclusive=False)
     wins = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2))
     return x.groupBy(*keys).agg(F.sum("p").alias("n_own"), F.sum("q").alias("n_cross"),
@@ -233,7 +234,7 @@ def group_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def energy_distance(df: DataFrame, value: str, first: Column) -> DataFrame:
     """2 E|X-Y| - E|X-X'| - E|Y-Y'| from running counts and sums over the distinct values."""
     vc = df.groupBy(value).agg(F.count_if(first).alias("a"), F.count_if(~first).alias("b"))
-    vc = vc.withColumns({"sa": F.col("a") * F.col(value), "sb": F.col("b") * F.col(value)})
+    vc = materialise(vc.withColumns({"sa": F.col("a") * F.col(value), "sb": F.col("b") * F.col(value)}))
     x = with_running(vc, [], [value], {"na": ("sum", "a"), "nb": ("sum", "b"), "ta": ("sum", "sa"), "tb": ("sum", "sb")}, inclusive=False)
     v = F.col(value)
 

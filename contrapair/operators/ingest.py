@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrapair.functions.ordered import with_running
+from contrapair.session import materialise
 
 
 def match_names(df: DataFrame, path: str, rules: list[tuple[str, str]]) -> DataFrame:
@@ -31,10 +32,10 @@ def screen_groups(df: DataFrame, model: str, device: str, need: int, devices: in
 def keep_modal_size(df: DataFrame, device: str, size: str) -> DataFrame:
     """Items whose size is their device's commonest (ties: the smallest), with the number dropped."""
     counts = df.groupBy(device, size).agg(F.count(F.lit(1)).alias("c"))
-    best = counts.groupBy(device).agg(
+    best = materialise(counts.groupBy(device).agg(
         F.max_by(F.col(size), F.struct(F.col("c"), -F.col(size))).alias(size),
         (F.sum("c") - F.max("c")).alias("n_dropped"),
-    )
+    ))
     return df.join(best, [device, size])
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from contrapair.functions import vectors as V
+from contrapair.session import materialise
 
 PIVOTS = 48
 BALL_ROWS = 512
@@ -67,17 +68,17 @@ def _balls(refs: DataFrame, group: list[str], keep: list[str], like: Likeness) -
     first = Window.partitionBy(*group).orderBy("__h", "__rid")
     top = refs.withColumn("__h", h).withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= PIVOTS)
     packed = F.array_sort(F.collect_list(F.struct("__rn", F.col("__rid").alias("__pid"), F.col("__rv").alias("__pv"))))
-    pivots = top.groupBy(*group).agg(packed.alias("__p"))
+    pivots = materialise(top.groupBy(*group).agg(packed.alias("__p")))
     x = _attach(refs, pivots, group, ["__p"])
     x = x.withColumn("__s", V.let(F.col("__rv"), lambda v: F.transform("__p", lambda p: like.of(v, p["__pv"]))))
     x = x.withColumn("__best", F.array_max("__s"))
     x = x.withColumn("__ball", F.array_position("__s", F.col("__best")).cast("int") - 1)
-    member = x.select(*group, "__rid", "__rv", *keep, "__ball", "__best")
+    member = materialise(x.select(*group, "__rid", "__rv", *keep, "__ball", "__best"))
     stats = member.groupBy(*group, "__ball").agg(F.min("__best").alias("__r"), F.count(F.lit(1)).alias("__n"))
     stats = stats.withColumn("__parts", F.ceil(F.col("__n") / BALL_ROWS).cast("int"))
     per = stats.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("__ball", F.struct("__r", "__parts")))).alias("__b"))
-    facts = _attach(pivots, per, group, ["__b"])
-    member = _attach(member, per, group, ["__b"])
+    facts = materialise(_attach(pivots, per, group, ["__b"]))
+    member = _attach(member, facts, group, ["__b"])
     part = F.pmod(F.xxhash64("__rid"), F.element_at("__b", F.col("__ball"))["__parts"]).cast("int")
     return facts, member.select(*group, "__ball", part.alias("__part"), "__rid", "__rv", *keep)
 

@@ -130,7 +130,8 @@ def monte_carlo_two_sample(df: DataFrame, first: Column, uid: Column, value: str
     per = per.select("rep", "__c", "n", "s", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"), F.coalesce(F.sum("s").over(w), F.lit(0)).alias("sum_before"),
                      tot.select("na").scalar().alias("na"), tot.select("obs").scalar().alias("obs"))
     cut = per.where((F.col("before") < F.col("na")) & (F.col("before") + F.col("n") >= F.col("na")))
-    edge = y.join(cut.select("rep", "__c", "before", "sum_before", "na", "obs"), ["rep", "__c"])
+    # one row per replicate, so it may travel to the rows
+    edge = y.join(F.broadcast(cut.select("rep", "__c", "before", "sum_before", "na", "obs")), ["rep", "__c"])
     rn = F.row_number().over(Window.partitionBy("rep", "__c").orderBy("__h", "__u"))
     edge = edge.withColumn("rn", rn).where(F.col("rn") + F.col("before") <= F.col("na"))
     s = edge.groupBy("rep").agg((F.max("sum_before") + F.sum("__v")).alias("s"), F.max("obs").alias("obs"))
@@ -195,9 +196,8 @@ def hierarchical_means(items: DataFrame, draws: DataFrame, arm: str, tag: str, p
     own_draws = F.col("slot") * 2 + F.when(F.col(arm) == "A", 0).otherwise(1)
     stream = F.col("rep") * 1000 + (F.lit(0) if shared else own_draws)
     lots = lots.select(arm, "rep", "slot", tag, (portable_hash(F.col("rn"), stream, salt) % F.col("n") + 1).alias("rn"))
-    m = lots.groupBy(arm, "rep", "slot", tag, "rn").agg(F.count(F.lit(1)).alias("m"))
-    x = m.join(items.select(tag, "rn", *values), [tag, "rn"])
-    return x.groupBy(arm, "rep", "slot", tag).agg(*[(F.sum(F.col("m") * F.col(v)) / F.sum("m")).alias(v) for v in values])
+    x = lots.join(items.select(tag, "rn", *values), [tag, "rn"])
+    return x.groupBy(arm, "rep", "slot", tag).agg(*[F.avg(v).alias(v) for v in values])
 
 
 def limits_by_replicate(slots: DataFrame, arm: str, value: str) -> DataFrame:
@@ -269,9 +269,7 @@ def attribute_blocks(scores: DataFrame, tag: str, own: str, cand: str, value: st
 
     scores: long rows; blocks are consecutive items of an adapter, the incomplete last one is dropped.
     """
-    ids = scores.select(tag, order).distinct()
-    n = ids.groupBy(tag).agg(F.count(F.lit(1)).alias("__n"))
-    ids = with_rank(ids, [tag], [order], "__rn").join(n, tag)
+    ids = with_rank(scores.select(tag, order).distinct(), [tag], [order], "__rn", "__n")
     ids = ids.withColumn("block", F.floor((F.col("__rn") - 1) / block)).where((F.col("block") + 1) * block <= F.col("__n"))
     x = scores.join(ids.select(tag, order, "block"), [tag, order])
     m = x.groupBy(tag, own, "block", cand).agg(F.avg(value).alias("m"))

@@ -17,14 +17,15 @@ from contrapair.operators.signatures import union_all
 CHUNK_BYTES = 64 << 20
 
 
-def beside(items: DataFrame, templates: DataFrame, key: str, vector: str) -> DataFrame:
+def beside(items: DataFrame, templates: DataFrame, vector: str) -> DataFrame:
     """Every item row next to every template row, templates in size-checked chunks."""
+    names = [c for c in templates.columns if c != vector]
     size = templates.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("w")).first()
     n, width = size["n"], size["w"] or 0
     chunks = max(1, -(-n * width * 8 // CHUNK_BYTES))
     parts = []
     for c in range(chunks):
-        part = templates if chunks == 1 else templates.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == c)
+        part = templates if chunks == 1 else templates.where(F.pmod(F.xxhash64(*names), F.lit(chunks)) == c)
         pack = part.agg(F.collect_list(F.struct(*part.columns)))
         parts.append(items.select("*", F.inline(pack.scalar())))
     return union_all(parts)
@@ -42,9 +43,9 @@ def ncc(w: Column, z: Column, sw: Column | None = None, sww: Column | None = Non
     return V.correlation_from_sums(F.size(w), sw, V.total(z), sww, V.dot(z, z), V.dot(w, z))
 
 
-def score(items: DataFrame, templates: DataFrame, key: str = "K", y: str = "y", w: str = "w", k: str = "tk") -> DataFrame:
+def score(items: DataFrame, templates: DataFrame, y: str = "y", w: str = "w", k: str = "tk") -> DataFrame:
     """rho_mult = NCC(W, Y K) and rho_add = NCC(W, K) for every item and template."""
-    x = beside(item_sums(items, w), templates, key, k).withColumn("__z", V.times(F.col(y), F.col(k)))
+    x = beside(item_sums(items, w), templates, k).withColumn("__z", V.times(F.col(y), F.col(k)))
     sums = F.col("__sw"), F.col("__sww")
     return x.withColumns({
         "rho_mult": ncc(F.col(w), F.col("__z"), *sums), "rho_add": ncc(F.col(w), F.col(k), *sums),

@@ -10,8 +10,7 @@ from contrapair.functions.ordered import with_rank, with_running
 
 
 def _with_position(df: DataFrame, device: str, order: list[str]) -> DataFrame:
-    n = df.groupBy(device).agg(F.count(F.lit(1)).alias("n"))
-    return with_rank(df, [device], order).join(n, device)
+    return with_rank(df, [device], order, "rn", "n")
 
 
 def _labelled(splits: list[tuple[str, Column, Column]]) -> Column:

@@ -362,8 +362,8 @@ def difference_to_base(spark, sf):
     return fix(op.absolute_difference_to_base(d.long(spark, sf), ["gen_idx", "K"], "arm", "rho", "base"), 8, "mad")
 
 
-@query("e43_z_against_others", oracle(f"""SELECT a.arm, a.tag, {rs(8, theta='max(a.theta)')}, {rs(6, z='(max(a.theta) - avg(b.theta)) / stddev_samp(b.theta)')} FROM v_adapter a
+@query("e43_z_against_others", oracle(f"""SELECT a.arm, a.tag, {rs(12, theta='max(a.theta)')}, {rs(6, z='(max(a.theta) - avg(b.theta)) / stddev_samp(b.theta)')} FROM v_adapter a
     JOIN v_adapter b ON a.arm = b.arm AND a.tag <> b.tag GROUP BY a.arm, a.tag"""))
 def z_against_others(spark, sf):
     x = op.z_against_others(d.adapter_means(spark, sf), "arm", "theta")
-    return fix(fix(x.select("arm", "tag", "theta", "z"), 8, "theta"), 6, "z")
+    return fix(fix(x.select("arm", "tag", "theta", "z"), 12, "theta"), 6, "z")

@@ -280,7 +280,7 @@ def label_share(spark, sf):
     """Softmax over cosines to the class means; share of the target classes; totals by rollup."""
     v = d.table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("device"), V.doubles(F.col("embedding")).alias("y"))
     cls = materialise(sg.to_arrays(sg.mean_map(v, ["device"], "y"), ["device"])).withColumnsRenamed({"device": "label", "k": "tk"})
-    x = sc.beside(v, cls, "label", "tk")
+    x = sc.beside(v, cls, "tk")
     z = F.struct(F.col("label").isin("0", "1", "2", "3").alias("hit"), (V.cosine(F.col("y"), F.col("tk")) * 20.0).alias("z"))
     p = x.groupBy("vec_id", "device").agg(F.collect_list(z).alias("l")).select("device", op.softmax_share(F.col("l")).alias("p"))
     return p.rollup("device").agg(

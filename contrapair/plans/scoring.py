@@ -67,7 +67,7 @@ def component_scores(spark, sf):
     })
     packed = parts.groupBy("device").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "kd", "kp"))).alias("a"))
     bank = materialise(packed.select(F.col("device").alias("K"), F.col("a.k").alias("tk"), F.col("a.kd").alias("kd"), F.col("a.kp").alias("kp")))
-    x = op.beside(op.item_sums(items), bank, "K", "tk")
+    x = op.beside(op.item_sums(items), bank, "tk")
     sums = F.col("__sw"), F.col("__sww")
     return x.select(
         "vec_id", "K", rounded(op.ncc(F.col("w"), F.col("tk"), *sums), 6).alias("rho_add"),
@@ -129,7 +129,7 @@ view("v_peak", """SELECT vec_id, device, K, max(c) FILTER (s = 0) AS c0, avg(c *
 
 def peaks(spark, sf):
     items, t = held_out_and_templates(spark, sf)
-    return op.peak_energy(op.beside(items, as_templates(t), "K", "tk"))
+    return op.peak_energy(op.beside(items, as_templates(t), "tk"))
 
 
 @query("d6_peak_energy", oracle(f"""SELECT vec_id, device, K, {r('sign(c0) * c0 * c0 / e', 4)} AS pce0,

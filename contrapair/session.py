@@ -36,6 +36,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write a table that several later plans read to the shared folder, so lost executors cost no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table that several later plans read to the shared folder and read it back.
+
+    Lost executors then cost no recomputation, later plans prune columns and push filters
+    into the scan, and its known size lets the optimizer decide whether a join may broadcast it.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
