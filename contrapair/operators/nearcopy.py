@@ -88,9 +88,13 @@ def candidate_pairs(
     group: list[str] | None = None, threshold: float | None = None, best: bool = True,
     not_itself: bool = False, keep: list[str] | None = None, ref_keep: list[str] | None = None,
 ) -> DataFrame:
-    """Pairs (group, iid, rid, sim) that include every pair at or above the threshold and,
-    with best=True, every item's most similar reference. `keep` carries item columns along,
-    `ref_keep` reference columns, as ref_<name>."""
+    """Pairs (group, iid, rid, sim): every pair at or above the threshold and, with best=True,
+    every item's most similar reference. `keep` carries item columns along, `ref_keep` reference
+    columns, as ref_<name>.
+
+    The references of one part of a ball, about BALL_ROWS of them, are packed into one row, so
+    an item compares with all of them in place and only the wanted pairs leave the join.
+    """
     keep, ref_keep = keep or [], ref_keep or []
     if like is COSINE:
         # norms once per row instead of once per comparison
@@ -122,14 +126,21 @@ def candidate_pairs(
     open_balls = F.filter(F.transform("__s", reach), lambda b: b.isNotNull())
     x = x.select(*group, "__iid", "__iv", *keep, F.inline(open_balls))
     x = x.select(*group, "__iid", "__iv", *keep, "__ball", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"))
-    y = x.join(member, group + ["__ball", "__part"])
+    packed = F.collect_list(F.struct("__rid", "__rv", *[f"ref_{c}" for c in ref_keep])).alias("__refs")
+    y = x.join(member.groupBy(*group, "__ball", "__part").agg(packed), group + ["__ball", "__part"])
+    sims = V.let(F.col("__iv"), lambda v: F.transform("__refs", lambda q: F.struct(
+        q["__rid"].alias(f"ref_{rid}"), *[q[f"ref_{c}"].alias(f"ref_{c}") for c in ref_keep], like.of(v, q["__rv"]).alias("sim"))))
     if not_itself:
-        y = y.where(F.col("__iid") != F.col("__rid"))
+        sims = F.filter(sims, lambda s: s[f"ref_{rid}"] != F.col("__iid"))
+
+    def wanted(a: Column) -> Column:
+        cut = F.lit(float(threshold)) if threshold is not None else F.lit(float("inf"))
+        if best:
+            cut = F.least(cut, F.array_max(F.transform(a, lambda s: s["sim"])))
+        return V.let(cut, lambda c: F.filter(a, lambda s: s["sim"] >= c))
+
     out = [c for c in group if c != "__g"]
-    return y.select(
-        *out, F.col("__iid").alias(iid), *keep, F.col("__rid").alias(f"ref_{rid}"), *[f"ref_{c}" for c in ref_keep],
-        like.of(F.col("__iv"), F.col("__rv")).alias("sim"),
-    )
+    return y.select(*out, F.col("__iid").alias(iid), *keep, F.inline(V.let(sims, wanted)))
 
 
 def nearest(

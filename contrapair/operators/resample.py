@@ -264,15 +264,20 @@ def main_effects(x: DataFrame, cand: str, own: str, value: str, weight: Column,
     return other.groupBy(*keys, cand).agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias("b"))
 
 
-def attribute_blocks(scores: DataFrame, tag: str, own: str, cand: str, value: str, order: str, block: int, main: DataFrame | None = None) -> DataFrame:
-    """One row per complete block: its own device and the candidate of highest mean score.
+def block_means(scores: DataFrame, tag: str, own: str, cand: str, value: str, order: str, block: int) -> DataFrame:
+    """Mean score per complete block of consecutive items and candidate: tag, own, block, candidate, m.
 
-    scores: long rows; blocks are consecutive items of an adapter, the incomplete last one is dropped.
+    scores: long rows; the incomplete last block of an adapter is dropped.
     """
     ids = with_rank(scores.select(tag, order).distinct(), [tag], [order], "__rn", "__n")
     ids = ids.withColumn("block", F.floor((F.col("__rn") - 1) / block)).where((F.col("block") + 1) * block <= F.col("__n"))
     x = scores.join(ids.select(tag, order, "block"), [tag, order])
-    m = x.groupBy(tag, own, "block", cand).agg(F.avg(value).alias("m"))
+    return x.groupBy(tag, own, "block", cand).agg(F.avg(value).alias("m"))
+
+
+def attribute(blocks: DataFrame, tag: str, own: str, cand: str, main: DataFrame | None = None) -> DataFrame:
+    """One row per block: its own device and the candidate of highest mean, raw or less the main effects."""
+    m = blocks
     if main is not None:
         m = m.join(main, cand).withColumn("m", F.col("m") - F.col("b"))
     top = m.groupBy(tag, own, "block").agg(F.min(F.struct((-F.round("m", 12)).alias("s"), F.col(cand).alias("c"))).alias("t"))

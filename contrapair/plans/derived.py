@@ -49,15 +49,21 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per (tag, gen_idx); grouping by exactly these keys lets later groupings reuse the shuffle."""
-    return lines(spark, sf).groupBy("tag", "gen_idx").agg(
-        F.min("arm").alias("arm"),
+    """One row per (tag, gen_idx); grouping by exactly these keys lets later groupings reuse the shuffle.
+
+    The arm travels as a number, since a string in an aggregation buffer would force a sort.
+    """
+    code = F.when(F.col("arm") == "A", 0).when(F.col("arm") == "B", 1).otherwise(2)
+    x = lines(spark, sf).groupBy("tag", "gen_idx").agg(
+        F.min(code).alias("code"),
         F.min("seed").alias("seed"),
         F.avg("l_discount").alias("rho_A"),
         (F.avg("l_tax") * 1.25).alias("rho_B"),
         (F.avg("l_quantity") / 500).alias("rho_C"),
         (F.avg("l_extendedprice") / 1e6).alias("rho_D"),
     )
+    arm = F.when(F.col("code") == 0, "A").when(F.col("code") == 1, "B").otherwise("base")
+    return x.select("tag", "gen_idx", arm.alias("arm"), "seed", "rho_A", "rho_B", "rho_C", "rho_D")
 
 
 def long(spark: SparkSession, sf: str) -> DataFrame:

@@ -254,7 +254,8 @@ def closed_set_attribution(spark, sf):
     """Confusion counts of block-mean attribution with raw and main-effect-corrected scores."""
     x = materialise(pc.arms_long(spark, sf).select("tag", "arm", "gen_idx", "K", "rho"))
     b = op.main_effects(x, "K", "arm", "rho", F.lit(1.0))
-    parts = [op.attribute_blocks(x, "tag", "arm", "K", "rho", "gen_idx", BLOCK, m).withColumn("score", F.lit(s)) for s, m in (("raw", None), ("corrected", b))]
+    blocks = materialise(op.block_means(x, "tag", "arm", "K", "rho", "gen_idx", BLOCK))
+    parts = [op.attribute(blocks, "tag", "arm", "K", m).withColumn("score", F.lit(s)) for s, m in (("raw", None), ("corrected", b))]
     return sg.union_all(parts).groupBy("score", "arm", "picked").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -264,7 +265,7 @@ def closed_set_attribution(spark, sf):
     hr="SELECT vec_id, row_number() OVER (PARTITION BY device ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY device) AS n FROM v_vec WHERE split = 'H'"))
 def real_ceiling(spark, sf):
     s = materialise(scored(spark, sf).select("vec_id", "device", F.col("device").alias("own"), "K", "rho_mult"))
-    parts = [op.attribute_blocks(s, "device", "own", "K", "rho_mult", "vec_id", g).withColumn("g", F.lit(g)) for g in (1, 4)]
+    parts = [op.attribute(op.block_means(s, "device", "own", "K", "rho_mult", "vec_id", g), "device", "own", "K").withColumn("g", F.lit(g)) for g in (1, 4)]
     return sg.union_all(parts).groupBy("g").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.col("picked") == F.col("own")).alias("hits"))
 
 
