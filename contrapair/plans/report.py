@@ -23,11 +23,16 @@ from contrapair.streaming import activity, resumable
 
 
 def lean(spark, sf):
-    """From long score rows to one row per arm: parse tags, pair, average, test, limit."""
-    x = cn.parse_tag(d.long(spark, sf).drop("arm", "seed")).where(F.col("arm").isin(d.ARMS))
-    other = F.when(F.col("arm") == "A", "B").otherwise("A")
-    c = cn.paired_contrast(x, ["tag", "gen_idx", "arm", "seed"], "K", "rho", F.col("arm"), other)
-    means = materialise(c.groupBy("arm", "tag", "seed").agg(F.avg("c").alias("theta"), F.count(F.lit(1)).alias("n")))
+    """From long score rows to one row per arm: pair on the item, average per adapter, parse tags, test, limit.
+
+    The difference of the two candidates is averaged first and given its own-minus-other sign
+    per adapter, so tags are parsed once per adapter and not once per row.
+    """
+    x = d.long(spark, sf).select("tag", "gen_idx", "K", "rho").where(F.col("K").isin(d.ARMS))
+    diff = cn.paired_contrast(x, ["tag", "gen_idx"], "K", "rho", F.lit("A"), F.lit("B"))
+    per = cn.parse_tag(diff.groupBy("tag").agg(F.avg("c").alias("m"), F.count(F.lit(1)).alias("n")))
+    per = per.where(F.col("arm").isin(d.ARMS))
+    means = materialise(per.select("arm", "tag", "seed", F.when(F.col("arm") == "A", F.col("m")).otherwise(-F.col("m")).alias("theta"), "n"))
     flip = rs_op.sign_flip(means, "arm", "seed", "theta").select("arm", "p", "floor")
     arms = means.groupBy("arm").agg(F.avg("theta").alias("theta"), F.stddev_samp("theta").alias("sd"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n_items"))
     arms = arms.withColumn("u99", cn.upper_limit(F.col("theta"), F.col("sd"), F.col("k"))).join(flip, "arm")
