@@ -22,8 +22,11 @@ MAX_EXACT = 24
 
 
 def scaled(c: Column, scale: int = SCALE) -> Column:
-    """Whole-number form of a mean, so that equal sums compare equal in any order of addition."""
-    return F.round(c * scale).cast("long")
+    """Whole-number form of a mean, so that equal sums compare equal in any order of addition.
+
+    The thousandth keeps exact halves on one side whatever their last bit.
+    """
+    return F.round(c * scale + 0.001).cast("long")
 
 
 def masks(spark: SparkSession, k: int) -> DataFrame:
@@ -43,11 +46,11 @@ def _bit_sum(values: Column, mask: Column, k: int) -> Column:
     return reduce(lambda a, b: a + b, [bit(mask, i) * values[i] for i in range(k)])
 
 
-def sign_flip(means: DataFrame, group: str, order: str, value: str) -> DataFrame:
+def sign_flip(means: DataFrame, group: str, order: str, value: str, scale: int = SCALE) -> DataFrame:
     """Exact one-sided sign-flip p of each group's mean over all 2^k sign assignments."""
     spark = means.sparkSession
     rows = means.groupBy(group).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), scaled(F.col(value)).alias("v")))).alias("a"), F.count(F.lit(1)).alias("k"))
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), scaled(F.col(value), scale).alias("v")))).alias("a"), F.count(F.lit(1)).alias("k"))
     rows = rows.select(group, F.transform("a", lambda s: s["v"]).alias("v"), "k")
     top = rows.agg(F.max("k")).first()[0]
     pack = rows.agg(F.collect_list(F.struct(group, "v", "k")))

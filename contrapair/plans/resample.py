@@ -22,7 +22,7 @@ from contrapair.plans.signatures import bootstrap_signatures
 from contrapair.plans.sqlkit import big, fix, i64, oracle, r, rounded, rs, view
 from contrapair.session import materialise
 
-INT = "CAST(round({0} * 1000000000) AS BIGINT)"
+INT = "CAST(round({0} * 1000000000 + 0.001) AS BIGINT)"
 MASKED = "list_sum([CASE WHEN (m.mask >> i::INT) & 1 = 1 THEN v[i + 1] ELSE 0 END for i in range(len(v))])"
 
 view("v_flip", f"""SELECT arm, count(*) FILTER (hit) AS hits, count(*) AS assignments, any_value(k) AS k FROM (SELECT arm, len(v) AS k,

@@ -38,14 +38,19 @@ def oracle(sql: str, **local: str) -> str:
     return (f"WITH {', '.join(parts)} " if parts else "") + sql
 
 
+def _nudge(digits: int) -> float:
+    """A thousandth of the last digit: exact halves, whose sums differ in the last bit, all go up."""
+    return float(f"1e-{digits + 3}")
+
+
 def r(expr: str, digits: int = 8) -> str:
     """Rounded double, never negative zero."""
-    return f"(round(({expr})::DOUBLE, {digits}) + 0.0::DOUBLE)"
+    return f"(round(({expr})::DOUBLE + {_nudge(digits)!r}::DOUBLE, {digits}) + 0.0::DOUBLE)"
 
 
 def rounded(c: Column | str, digits: int = 8) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), digits) + F.lit(0.0)
+    return F.round(c.cast("double") + F.lit(_nudge(digits)), digits) + F.lit(0.0)
 
 
 def i64(expr: str) -> str:
