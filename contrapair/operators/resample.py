@@ -118,11 +118,13 @@ def monte_carlo_sign_flip(df: DataFrame, group: str, uid: Column, value: str, re
         "p", (F.col("hits") + 1) / (F.col("reps") + 1))
 
 
-def monte_carlo_two_sample(df: DataFrame, first: Column, uid: Column, value: str, reps: int, salt: int, cells: int = 1024) -> DataFrame:
+def monte_carlo_two_sample(df: DataFrame, first: Column, uid: Column, value: str, reps: int, salt: int, cells: int | None = None) -> DataFrame:
     """Two-sample permutation p: in each replicate the nA units of smallest hash form group A.
 
     The cut is found from counts per hash cell; only the cell that holds it is ordered row by row.
     """
+    # cells grow with the cluster, so that one cell stays a small task
+    cells = cells or min(1 << 20, max(1024, 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     x = df.select(first.alias("__a"), uid.alias("__u"), scaled(F.col(value)).alias("__v"))
     tot = x.agg(F.count_if("__a").alias("na"), F.sum(F.when(F.col("__a"), F.col("__v"))).alias("obs"))
     y = x.select("__u", "__v", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))

@@ -8,11 +8,14 @@ Everything inside one item stays an array expression and needs no shuffle at all
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from contrapair.functions import vectors as V
 from contrapair.functions.hashing import portable_hash
@@ -37,6 +40,23 @@ def standardised_residual(df: DataFrame, y: str, out: str, half: int = 2) -> Dat
     return df.withColumn(out, V.let(F.col(y), residual))
 
 
+def plugged_residual(df: DataFrame, y: str, out: str, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The caller's own residual of one item, run inside Arrow batches and standardised afterwards."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(batch: pd.Series) -> pd.Series:
+        def one(v: np.ndarray) -> np.ndarray:
+            r = np.asarray(fn(np.asarray(v, float)), float)
+            sd = r.std()
+            if not np.isfinite(sd) or sd == 0:
+                raise ValueError("degenerate residual")
+            return (r - r.mean()) / sd
+
+        return batch.map(one)
+
+    return df.withColumn(out, run(y))
+
+
 def positions(df: DataFrame, keep: list[str], **arrays: str) -> DataFrame:
     """Rows (keep..., pos, one column per array)."""
     zipped = F.arrays_zip(*[F.col(a).alias(o) for o, a in arrays.items()])

@@ -58,9 +58,12 @@ def compare(spark, con, sf_dir, fn, sql):
     compare.seconds = time.time() - t
     if sql is None:
         return "" if got else "no rows", len(got)
+    t = time.time()
     rel = con.execute(sql)
     desc = {c[0]: str(c[1]) for c in rel.description}
-    want_cols, want = normal(list(desc), rel.fetchall())
+    rows = rel.fetchall()
+    compare.sql_seconds = time.time() - t
+    want_cols, want = normal(list(desc), rows)
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}", len(got)
     types = {c: (KIND.get(t, t), desc[c]) for c, t in df.dtypes}
@@ -92,14 +95,14 @@ def main() -> int:
     for name, fn in entry.queries().items():
         if args.names and not any(name.startswith(p) for p in args.names):
             continue
-        t = time.time()
+        compare.seconds = compare.sql_seconds = 0.0
         try:
             msg, n = compare(spark, con, sf_dir, fn, checks.get(name))
         except Exception as e:  # report and go on to the next query
             msg, n = f"{type(e).__name__}: {str(e)[:700]}", 0
         failed += bool(msg)
         mark = "FAIL" if msg else ("ok" if name in checks else "rows")
-        print(f"{mark:5s}{name:32s}{n:8d} rows {getattr(compare, "seconds", 0):6.2f}s of {time.time() - t:6.2f}s  {msg}", flush=True)
+        print(f"{mark:5s}{name:32s}{n:8d} rows {compare.seconds:7.2f}s  sql {compare.sql_seconds:6.2f}s  {msg}", flush=True)
     print(f"{failed} failed")
     return failed
 

@@ -118,6 +118,13 @@ def test_flat_item_is_an_error(spark):
         sg.standardised_residual(df, "y", "w").collect()
 
 
+def test_plugged_residual(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 4.0],)], "y array<double>")
+    got = sg.plugged_residual(df, "y", "w", lambda v: v - v.mean()).first()["w"]
+    v = np.array([1.0, 2.0, 4.0])
+    assert np.allclose(got, (v - v.mean()) / v.std())
+
+
 def test_signature_and_scores_match_numpy(spark, near):
     rng = np.random.default_rng(0)
     y, w = rng.normal(10, 1, (6, 16)), rng.normal(0, 1, (6, 16))
