@@ -47,7 +47,8 @@ def own_minus_rest(df: DataFrame, keys: list[str], cand: str, value: str, own: C
 
 
 def wide_scores(df: DataFrame, keys: list[str], cand: str, value: str, candidates: list[str]) -> DataFrame:
-    return df.groupBy(*keys).pivot(cand, candidates).agg(F.first(value))
+    """One column per listed candidate, by one hash aggregation."""
+    return df.groupBy(*keys).agg(*[F.max(F.when(F.col(cand) == c, F.col(value))).alias(c) for c in candidates])
 
 
 def mean_se(df: DataFrame, keys: list[str], value: str) -> DataFrame:
