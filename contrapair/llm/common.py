@@ -100,3 +100,44 @@ def map_texts(df: DataFrame, text_col: str, carry: list[str], fields: dict[str,
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=[*carry, *fields])
 
     return narrow.mapInArrow(run, StructType([*narrow.schema.fields[:-1], *new.fields]))
+
+
+class Index:
+    """Finds whole numbers in a fixed set, many at once (open addressing)."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.int64)
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+        waiting, step = np.arange(len(keys)), 0
+        while len(waiting):
+            at = self._slot(self.keys[waiting], step)
+            free = self.slots[at] < 0
+            taken, first = np.unique(at[free], return_index=True)
+            placed = waiting[free][first]
+            self.slots[taken] = placed
+            waiting, step = np.setdiff1d(waiting, placed), step + 1
+
+    def _slot(self, keys: np.ndarray, step: int) -> np.ndarray:
+        h = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+        return (h.astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each number in the set, -1 if it isn't there."""
+        out = np.full(len(keys), -1, dtype=np.int32)
+        if not len(self.keys):
+            return out
+        live, step = None, 0
+        while live is None or len(live):
+            asked = keys if live is None else keys[live]
+            got = self.slots[self._slot(asked, step)]
+            hit = (got >= 0) & (self.keys[got] == asked)
+            more = (got >= 0) & ~hit
+            if live is None:
+                out[hit] = got[hit]
+                live = np.flatnonzero(more)
+            else:
+                out[live[hit]] = got[hit]
+                live = live[more]
+            step += 1
+        return out

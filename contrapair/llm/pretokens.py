@@ -8,6 +8,10 @@ import regex
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
+#: A blank, then a space.
+BLANK_PAIRS = tuple(chr(c) + " " for c in range(0x3001) if regex.match(r"\p{White_Space}", chr(c)))
+
+
 class Splitter:
     """Cuts a text into pre-tokens; the strings of special tokens stay whole."""
 
@@ -27,3 +31,13 @@ class Splitter:
         for i, part in enumerate(parts):  # odd places hold the special tokens
             out += [part] if i % 2 else self.find(part)
         return out
+
+    def segments(self, text: str) -> list[str] | None:
+        """The text cut at its spaces, if pre-tokens never cross the cuts; else None.
+
+        The space belongs to the segment after it. A run of blanks is only cut differently by the pattern where a
+        space follows another blank, or where a special token stands; such texts are left to the pattern.
+        """
+        if any(pair in text for pair in BLANK_PAIRS) or any(s in text for s in self.specials):
+            return None
+        return text.split(" ")

@@ -37,6 +37,24 @@ def test_splits_like_the_tokenizer():
         assert [i for w in split(text) for i in vocab.merge(w.encode())] == want.ids, repr(text)
 
 
+def test_merging_many_words():
+    vocab, rng = transducer_bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json")), random.Random(2)
+    words = [bytes(rng.choices(b" etaoinshrdlu\xc3\xa9.", k=rng.randrange(45))) for _ in range(5000)] + [b" the", b"aaaaaaaaaaaaaaaa"]
+    assert vocab.merge_many(words) == [vocab.merge(w) for w in words] and vocab.merge_many([]) == []
+
+
+def test_segments_split_like_whole_texts():
+    rng, split = random.Random(4), Splitter(("<|endoftext|>",))
+    kinds = {True: 0, False: 0}
+    for _ in range(20000):
+        text = "".join(rng.choices(["a", "b,", " ", " ", "\n", "\t", "\xa0", "1", "'s", "'", "é", "<|endoftext|>"], weights=[9, 3, 6, 2, 2, 1, 1, 2, 1, 1, 1, .1], k=rng.randrange(12)))
+        parts = split.segments(text)
+        kinds[parts is None] += 1
+        if parts is not None:
+            assert split(parts[0]) + [w for p in parts[1:] for w in split(" " + p)] == split(text), repr(text)
+    assert min(kinds.values()) > 1000
+
+
 def test_encoding_is_the_tokenizers(spark):
     t = tokenizer()
     done = transducer_bpe.encode_decode(table(spark, ODD), "text", ["doc_id", "score"], public_tokenizers.path("byte_bpe_50k.json"), lexicon_words=3, cache_words=4)
@@ -102,7 +120,7 @@ def test_token_counts(spark):
         return [known[w] for w in words]
 
     texts = [t for t in ODD if t is None or len(t) != 5000]
-    for rows, texts, nodes in ((trie_counts.token_counts(table(spark, texts), "text", ["doc_id"], scores, max_nodes=50), texts, 50),):
+    for rows, texts, nodes in ((trie_counts.token_counts(table(spark, texts), "text", ["doc_id"], scores, max_words=5), texts, 5),):
         for row, text in zip(rows.collect(), texts, strict=True):
             assert row["n_tokens"] == sum(count(text)) and row["n_words"] == len(split(text or ""))
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
