@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from contrapair.llm.common import Index, map_texts, slices, unit_hash
 
 UNDECIDED = "und"
-WINDOW = 1 << 20  # bytes scored at a time
+WINDOW = 1 << 18  # bytes scored at a time
 
 
 class Trees:

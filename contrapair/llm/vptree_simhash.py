@@ -283,7 +283,7 @@ def bits_apart(similarity: float, bits: int) -> int:
     return int(bits * p + 1.6 * np.sqrt(bits * p * (1 - p)))
 
 
-def similar_classes(prints: DataFrame, similarity: float, *, times: int = 12, radius: int = 2, shard_rows: int = 4096) -> DataFrame:
+def similar_classes(prints: DataFrame, similarity: float, *, times: int = 12, radius: int = 2, shard_rows: int = 32768) -> DataFrame:
     """(node, root) over wide fingerprints (print binary, node long) of texts of at least this similarity.
 
     A wide fingerprint is cut into pieces of 32 bits, each a table of vantage-point trees; fingerprints within ``radius`` bits
