@@ -75,7 +75,11 @@ def manifest_stamp(df: DataFrame, columns: list[str], config: dict) -> DataFrame
 
     Row hashes are summed, so the stamp is a plain aggregate and needs no sort.
     """
-    row = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
+    def cell(c: str) -> Column:  # its length marks where a value ends, and a null is unlike any value
+        text = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    row = F.sha2(F.concat(*[cell(c) for c in columns]), 256)
     part = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
     s = df.select(part.alias("h")).agg(F.sum("h").cast("decimal(38,0)").cast("string").alias("s"), F.count(F.lit(1)).alias("n_rows"))
     text = F.concat_ws(":", "s", F.col("n_rows").cast("string"), F.lit(config_stamp(config)))

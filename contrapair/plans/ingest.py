@@ -126,8 +126,8 @@ RUN_STEPS = 4
     steps="SELECT *, row_number() OVER (PARTITION BY user_id, c ORDER BY event_id) AS step FROM crashes",
     text=f"""SELECT event_id, '[00:00:00] job' || user_id::VARCHAR || ' ' || step::VARCHAR || '/{RUN_STEPS} loss ' ||
     CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS line FROM steps WHERE step <= {RUN_STEPS}""",
-    parsed=f"""SELECT event_id, regexp_extract(line, '{op.LOG_LINE}', 1) AS job, {i64(f"regexp_extract(line, '{op.LOG_LINE}', 2)")} AS step,
-    regexp_extract(line, '{op.LOG_LINE}', 4)::DOUBLE AS loss FROM text WHERE regexp_matches(line, '{op.LOG_LINE}')""",
+    parsed="""SELECT event_id, p[2] AS job, TRY_CAST(string_split(p[3], '/')[1] AS BIGINT) AS step, TRY_CAST(p[5] AS DOUBLE) AS loss
+    FROM (SELECT event_id, string_split_regex(trim(line), '\\s+') AS p FROM text) WHERE p[4] = 'loss' AND TRY_CAST(p[5] AS DOUBLE) IS NOT NULL""",
     runs=f"""SELECT *, {i64('sum(CASE WHEN step = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY job ORDER BY event_id)')} AS run FROM parsed"""))
 def last_complete_run(spark, sf):
     """Each user's events are one job's log; an error event restarts its step counter."""

@@ -124,8 +124,11 @@ def quality_gate(spark, sf):
 CONFIG = {"guard": 4, "splits": ["E1", "E2", "T", "H"], "version": 1}
 
 
+cells = " || ".join(f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "device", "split"))
+
+
 @query("g6_manifest_stamp", oracle(f"""SELECT n AS n_rows, sha256(s::VARCHAR || ':' || n::VARCHAR || ':' || '{op.config_stamp(CONFIG)}') AS stamp FROM (SELECT count(*) AS n,
-    sum(('0x' || substr(sha256(doc_id::VARCHAR || '|' || device || '|' || split), 1, 15))::BIGINT) AS s FROM v_items)"""))
+    sum(('0x' || substr(sha256({cells}), 1, 15))::BIGINT) AS s FROM v_items)"""))
 def manifest_stamp(spark, sf):
     return op.manifest_stamp(d.items(spark, sf), ["doc_id", "device", "split"], CONFIG)
 

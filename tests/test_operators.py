@@ -313,6 +313,18 @@ def test_union_length(spark):
     assert (r["covered"], r["islands"]) == (13, 2)
 
 
+def test_manifest_stamp_tells_nulls_and_marks_apart(spark):
+    rows = [("x", None, "y"), ("x", "y", None), ("x", "-", "y"), ("x1", ":y", None), ("x", "1:y", None)]
+    stamps = {audit.manifest_stamp(spark.createDataFrame([r], "a string, b string, c string"), ["a", "b", "c"], {}).first()["stamp"] for r in rows}
+    assert len(stamps) == len(rows)
+
+
+def test_log_reads_any_number(spark):
+    lines = ["[00:00:01] j1 1/3 loss 1e-05", "[00:00:02] j1 2/3  loss nan", "[00:00:03] j1 3/3 loss 0.25 more", "[00:00:04] j1 x/3 loss 1", "[00:00:05] j1 3/3 loss", "", "note"]
+    got = ingest.parse_log(spark.createDataFrame([(x,) for x in lines], "line string"), "line").orderBy("step").collect()
+    assert [(r["job"], r["step"], r["total"], str(r["loss"])) for r in got] == [("j1", 1, 3, "1e-05"), ("j1", 2, 3, "nan"), ("j1", 3, 3, "0.25")]
+
+
 def test_manifest_stamp_ignores_order_but_not_content(spark):
     df = spark.createDataFrame([(i, f"d{i % 3}") for i in range(50)], "id bigint, device string")
     stamp = lambda x, c: audit.manifest_stamp(x, ["id", "device"], c).first()["stamp"]
