@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from contrapair.session import scratch_path
 
@@ -67,9 +68,18 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string"
          "array<double>": pa.list_(pa.float64()), "array<binary>": pa.list_(pa.binary())}
 
 
-def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Runs of a batch's rows whose last column, a string, holds about ``size`` bytes; a longer text is a run of its own."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
+def release() -> None:
+    """Give memory that earlier tasks no longer need back to the system, since Spark keeps its Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU's C library has it
+    if trim:
+        trim(0)
+
+
+def slices(batch: pa.RecordBatch, rows: int, size: int, column: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows whose string column (the last) holds about ``size`` bytes; a longer text is a run of its own."""
+    column = batch.num_columns - 1 if column is None else column
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         past = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
@@ -83,23 +93,32 @@ def map_texts(df: DataFrame, text_col: str, carry: list[str], fields: dict[str,
     """The columns ``carry`` beside new ones computed from whole texts, a slice of an Arrow batch at a time.
 
     ``start`` is called once in each task and returns what turns a list of texts (None for null) into a list for each field.
+    A string column that is also carried goes to the tasks once.
     """
-    inner = "text"
-    while inner in carry:
-        inner += "_"
-    narrow = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string").alias(inner))
+    narrow = df.select(*[F.col(f"`{c}`") for c in carry])
+    carried = narrow.schema
+    if text_col in carry and carried[text_col].dataType == StringType():
+        at = carry.index(text_col)
+    else:
+        inner, at = "text", len(carry)
+        while inner in carry:
+            inner += "_"
+        narrow = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string").alias(inner))
     new = StructType.fromDDL(", ".join(f"`{n}` {kind}" for n, kind in fields.items()))
     kinds = [ARROW[k] for k in fields.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         work = start()
         for batch in batches:
-            for part in slices(batch, rows, size):
-                made = work(part.column(part.num_columns - 1).to_pylist())
+            for part in slices(batch, rows, size, at):
+                made = work(part.column(at).to_pylist())
                 arrays = [pa.array(made[n], type=kind) for n, kind in zip(fields, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=[*carry, *fields])
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(carry)], *arrays], names=[*carry, *fields])
+        del work
+        release()
 
-    return narrow.mapInArrow(run, StructType([*narrow.schema.fields[:-1], *new.fields]))
+    return narrow.mapInArrow(run, StructType([*carried.fields, *new.fields]))
 
 
 class Index:

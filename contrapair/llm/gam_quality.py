@@ -169,6 +169,30 @@ def learn(table: DataFrame, labels: DataFrame, id_col: str, label_col: str, may_
     return fit(x, np.clip(sample["label"].to_numpy(dtype=np.float64), 0.0, 1.0))
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, may_learn: Column, *,
+                   sample_rows: int = 20_000) -> DataFrame:
+    """Id and text of about ``sample_rows`` rows that have a label and may be learnt from, so that features are made for these alone.
+
+    Ids are counted first without their texts; then a hash of the id decides which texts are read.
+    """
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id")).distinct()
+    rows = docs.where(may_learn).select(id_col, text_col)
+    labelled = F.col(id_col) == F.col("label_id")
+    n = rows.select(id_col).join(known, labelled, "left_semi").count()
+    return rows.where(unit_hash(id_col) < min(1.0, sample_rows / max(1, n))).join(known, labelled, "left_semi")
+
+
+def score_texts(docs: DataFrame, text_col: str, carry: list[str], model: Gam) -> DataFrame:
+    """The columns ``carry`` with ``score`` and ``predicted`` as ``score`` gives them, in one pass over the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
+
+    def start():
+        gam: Gam = shared.value
+        return lambda texts: {"score": gam.score(np.stack([features(t) for t in texts]))}
+
+    return map_texts(docs, text_col, carry, {"score": "double"}, start).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def score(table: DataFrame, model: Gam) -> DataFrame:
     """The feature table's other columns with ``score``, the probability of label 1, and ``predicted`` (1 if it is 0.5 or more).
 

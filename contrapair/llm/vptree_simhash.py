@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contrapair.llm.common import map_texts, unit_hash
+from contrapair.llm.common import map_texts, release, unit_hash
 from contrapair.session import materialise
 
 LEAF = 128
@@ -198,6 +198,7 @@ def links(prints: DataFrame, radius: int, *, shard_rows: int = 4096, sample_rows
     shared = prints.sparkSession.sparkContext.broadcast(trees)  # two numbers for each of at most sample_rows / 16 splits
 
     def deal(batches):
+        release()
         for batch in batches:
             for tab, part in batch.groupby("tab", sort=False):
                 x = part["print"].to_numpy(dtype=np.int64).view(np.uint64)

@@ -28,17 +28,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trees = ppm_langid.learn(docs, "doc_id", "text", "lang", crc_fold("doc_id", 4) != 2)
     if trees is None:
         return docs
-    return ppm_langid.identify(docs.withColumn("whole", F.col("text")), "whole", COLUMNS, trees).where(
+    return ppm_langid.identify(docs, "text", COLUMNS, trees).where(
         F.col("lang_pred") != ppm_langid.UNDECIDED).select(COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts whose probability of label 1 is one half or more. Without labels all stay."""
     docs = docs.select(COLUMNS)
-    features = gam_quality.feature_table(docs.withColumn("whole", F.col("text")), "whole", COLUMNS)
-    narrow = materialise(gam_quality.feature_table(docs, "text", ["doc_id"]))
-    model = gam_quality.learn(narrow, table(spark, sf_dir, "labels"), "doc_id", "quality", crc_fold("doc_id", 3) != 1)
-    return gam_quality.score(features, model).where("predicted = 1").select(COLUMNS)
+    labels = table(spark, sf_dir, "labels")
+    sample = gam_quality.labelled_texts(docs, labels, "doc_id", "text", "quality", crc_fold("doc_id", 3) != 1)
+    narrow = materialise(gam_quality.feature_table(sample, "text", ["doc_id"]))
+    model = gam_quality.learn(narrow, labels, "doc_id", "quality", F.lit(True))
+    return gam_quality.score_texts(docs, "text", COLUMNS, model).where("predicted = 1").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

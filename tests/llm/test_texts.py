@@ -219,6 +219,22 @@ def test_quality_of_odd_rows(spark):
     assert gam_quality.score(features.limit(0), gam_quality.fit(np.zeros((0, 30)), np.zeros(0))).count() == 0
 
 
+def test_quality_in_one_pass_equals_the_feature_table(spark):
+    from pyspark.sql import functions as F
+    docs = table(spark, ODD)
+    labels = spark.createDataFrame([(1, 0), (2, 1), (4, 1), (6, 1), (6, 0), (None, 1), (7, None), (99, 1)], "doc_id long, quality int")
+    texts = gam_quality.labelled_texts(docs, labels, "doc_id", "text", "quality", F.col("doc_id") != 2)
+    assert sorted(r["doc_id"] for r in texts.collect()) == [1, 4, 6]
+    features = gam_quality.feature_table(docs, "text", ["doc_id", "score"])
+    model = gam_quality.learn(features, labels, "doc_id", "quality", F.col("doc_id") != 2)
+    again = gam_quality.learn(gam_quality.feature_table(texts, "text", ["doc_id"]), labels, "doc_id", "quality", F.lit(True))
+    want = {r["doc_id"]: r["score"] for r in gam_quality.score(features.drop("score"), model).collect()}
+    got = gam_quality.score_texts(docs, "text", ["doc_id", "text", "main_text"], again).collect()
+    assert {r["doc_id"]: r["score"] for r in got} == want
+    assert {r["doc_id"]: (r["text"], r["main_text"]) for r in got} == {None if i == 3 else i: (t, "clash") for i, t in enumerate(ODD)}
+    assert gam_quality.labelled_texts(docs, labels.limit(0), "doc_id", "text", "quality", F.lit(True)).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <header><a href=/>Site</a></header><nav><ul><li><a href="/a">Menu one</a></li><li>Two, three.</li></ul></nav><div class="cookie-notice">We use cookies, as all do. Accept them.</div>
 <div id=wrap><!-- ad --><div class="ad">Buy now, it is cheap.</div><article><h1>A headline</h1><p><b>First &amp; foremost,  text.<br><p>Second
