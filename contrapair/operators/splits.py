@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contrapair.functions.hashing import portable_hash
 from contrapair.functions.ordered import with_rank, with_running
+from contrapair.session import materialise
 
 
 def _with_position(df: DataFrame, device: str, order: list[str]) -> DataFrame:
@@ -124,3 +125,24 @@ def estimate_variants(df: DataFrame, pos: str = "rn", half: Column | None = None
         F.when(first, "first_half").otherwise("second_half"),
     )
     return df.select("*", F.explode(names).alias("estimate"))
+
+
+def device_ring(devices: DataFrame, device: str = "device") -> DataFrame:
+    """Each distinct device with the next in alphabetical order, the last followed by the first: device, next_device, ring_place.
+
+    Codes may be any strings; null ones are left out. A device alone is its own neighbour.
+    """
+    names = materialise(devices.select(F.col(device).alias("device")).where("device IS NOT NULL").distinct())
+    # ranks need a leading number: the first six bytes, which order as the strings do
+    lead = F.conv(F.rpad(F.hex(F.substring(F.col("device").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    ranked = materialise(with_rank(names.withColumn("__lead", lead), [], ["__lead", "device"], "ring_place").drop("__lead"))
+    n = F.lit(ranked.count())
+    following = ranked.select(F.col("device").alias("next_device"), F.col("ring_place").alias("__p"))
+    out = ranked.join(following, F.col("__p") == F.col("ring_place") % n + 1)
+    return out.select("device", "next_device", (F.col("ring_place") - 1).alias("ring_place"))
+
+
+def of_next_device(facts: DataFrame, ring: DataFrame) -> DataFrame:
+    """The facts of each device's next one, under the name of the device before it."""
+    pairs = ring.select(F.col("device").alias("__before"), F.col("next_device").alias("device"))
+    return facts.join(pairs, "device").drop("device").withColumnRenamed("__before", "device")

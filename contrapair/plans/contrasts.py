@@ -9,6 +9,7 @@ from contrapair.functions.critical import t995_sql, t_crit_sql
 from contrapair.operators import contrasts as op
 from contrapair.operators import scoring as sc
 from contrapair.operators import signatures as sg
+from contrapair.operators.splits import of_next_device
 from contrapair.plans import derived as d
 from contrapair.plans.registry import query
 from contrapair.plans.scoring import ncc_sql
@@ -18,13 +19,8 @@ from contrapair.functions import vectors as V
 from contrapair.session import materialise
 
 
-
-def previous_device():
-    """The device whose `next` neighbour is this row's device; joins a device's facts to the one before it."""
-    return ((F.col("device").cast("int") + 9) % 10).cast("string")
-
-
-NEXT_SQL = "((device::INT + 1) % 10)::VARCHAR"
+#: Devices take the two arms in turn, by their place in the ring.
+RING_ARM_SQL = "CASE WHEN ring_place % 2 = 0 THEN 'A' ELSE 'B' END"
 
 
 def arms_long(spark, sf):
@@ -123,13 +119,13 @@ def welch_limits(spark, sf):
                     (F.col("theta_sym") + cr.t_quantile_udf(F.lit(0.99), "df") * F.col("se")).alias("upper99"))
 
 
-view("v_real", f"""SELECT vec_id, device, CASE WHEN device::INT % 2 = 0 THEN 'A' ELSE 'B' END AS role,
-    max(rho_mult) FILTER (K = device) - max(rho_mult) FILTER (K = {NEXT_SQL}) AS c FROM v_score GROUP BY vec_id, device""")
+view("v_real", f"""SELECT vec_id, device, {RING_ARM_SQL} AS role,
+    max(rho_mult) FILTER (K = device) - max(rho_mult) FILTER (K = next_device) AS c FROM v_score JOIN v_ring USING (device) GROUP BY vec_id, device, ring_place""")
 view("v_post0", "SELECT *, floor(y / 4 + 0.5) * 4 AS yy, 'post' AS variant FROM v_h")
 view("v_post1", """SELECT *, yy - avg(yy) OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS w1 FROM v_post0""")
 view("v_post2", "SELECT *, (w1 - avg(w1) OVER g) / stddev_pop(w1) OVER g AS ww FROM v_post1 WINDOW g AS (PARTITION BY vec_id)")
 view("v_post3", f"""SELECT h.vec_id, h.device, t.device AS K, {ncc_sql('h.ww', 'h.yy * t.k')} AS rho FROM v_post2 h JOIN v_e2 t USING (pos) GROUP BY ALL""")
-view("v_post", f"""SELECT vec_id, device, max(rho) FILTER (K = device) - max(rho) FILTER (K = {NEXT_SQL}) AS c FROM v_post3 GROUP BY vec_id, device""")
+view("v_post", """SELECT vec_id, device, max(rho) FILTER (K = device) - max(rho) FILTER (K = next_device) AS c FROM v_post3 JOIN v_ring USING (device) GROUP BY vec_id, device""")
 view("v_den", f"""SELECT (avg(c) FILTER (role = 'A') + avg(c) FILTER (role = 'B')) / 2 AS r, sqrt((var_samp(c) FILTER (role = 'A') / count(c) FILTER (role = 'A')
     + var_samp(c) FILTER (role = 'B') / count(c) FILTER (role = 'B')) / 4) AS r_se FROM v_real""")
 
@@ -139,16 +135,16 @@ def real_contrasts(spark, sf, stages=("pre",)):
     x = materialise(d.planted(spark, sf))
     t = materialise(signature_arrays(x, "E2"))
     h = x.where("split = 'H'").select("vec_id", "device", "y", "w").join(t, "device")
-    h = h.join(t.select(previous_device().alias("device"), F.col("k").alias("ko")), "device")
+    ring = d.ring(spark, sf)
+    h = h.join(of_next_device(t.select("device", F.col("k").alias("ko")), ring), "device")
     parts = []
     if "pre" in stages:
         parts.append(h.withColumn("stage", F.lit("pre")))
     if "post" in stages:
         q = h.drop("w").withColumn("y", F.transform("y", lambda v: F.floor(v / 4 + 0.5) * 4.0)).withColumn("stage", F.lit("post"))
         parts.append(sg.standardised_residual(q, "y", "w").select(*parts[0].columns) if parts else sg.standardised_residual(q, "y", "w"))
-    z = op_scores(sg.union_all(parts))
-    role = F.when(F.col("device").cast("int") % 2 == 0, "A").otherwise("B")
-    return z.select("vec_id", "device", role.alias("role"), "stage", (F.col("own") - F.col("oth")).alias("c"))
+    z = op_scores(sg.union_all(parts)).join(ring, "device")
+    return z.select("vec_id", "device", d.ring_arm().alias("role"), "stage", (F.col("own") - F.col("oth")).alias("c"))
 
 
 def op_scores(x):
@@ -231,21 +227,22 @@ def transmission_by_arm(spark, sf):
 
 
 LEVELS_SQL = ", ".join(f"({a}::DOUBLE)" for a in d.LEVELS)
-view("v_lev0", f"""SELECT h.vec_id, h.device, h.rn, h.pos, lv.alpha, h.y * (1 + lv.alpha * p.k) AS yy FROM v_h h
-    JOIN v_pattern p ON p.pos = h.pos AND p.device = ((h.device::INT + 1) % 10)::VARCHAR, (VALUES {LEVELS_SQL}) lv(alpha)""")
+view("v_lev0", f"""SELECT h.vec_id, h.device, h.next_device, h.rn, h.pos, lv.alpha, h.y * (1 + lv.alpha * p.k) AS yy FROM v_h h
+    JOIN v_pattern p ON p.pos = h.pos AND p.device = h.next_device, (VALUES {LEVELS_SQL}) lv(alpha)""")
 view("v_lev1", """SELECT *, yy - avg(yy) OVER (PARTITION BY vec_id, alpha ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS w1 FROM v_lev0""")
 view("v_lev2", "SELECT *, (w1 - avg(w1) OVER g) / stddev_pop(w1) OVER g AS ww FROM v_lev1 WINDOW g AS (PARTITION BY vec_id, alpha)")
 view("v_levels", f"""SELECT l.vec_id, l.device, l.rn, l.alpha, {ncc_sql('l.ww', 'l.yy * o.k')} AS rho_other,
     {ncc_sql('l.ww', 'l.yy * o.k')} - {ncc_sql('l.ww', 'l.yy * t.k')} AS c FROM v_lev2 l JOIN v_e2 t USING (device, pos)
-    JOIN v_e2 o ON o.pos = l.pos AND o.device = ((l.device::INT + 1) % 10)::VARCHAR GROUP BY l.vec_id, l.device, l.rn, l.alpha""")
+    JOIN v_e2 o ON o.pos = l.pos AND o.device = l.next_device GROUP BY l.vec_id, l.device, l.rn, l.alpha""")
 
 
 def levels(spark, sf):
     """Held-out items marked with the next device's pattern at each level; contrast toward that device."""
     x = materialise(d.planted(spark, sf))
     t = materialise(signature_arrays(x, "E2"))
-    other = t.select(previous_device().alias("device"), F.col("k").alias("ko"))
-    mark = d.pattern(spark, sf).select(previous_device().alias("device"), F.col("k").alias("mark"))
+    ring = d.ring(spark, sf)
+    other = of_next_device(t.select("device", F.col("k").alias("ko")), ring)
+    mark = of_next_device(d.pattern(spark, sf).select("device", F.col("k").alias("mark")), ring)
     h = x.where("split = 'H'").select("vec_id", "device", "rn", "y").join(t, "device").join(other, "device").join(mark, "device")
     h = sc.at_levels(h, d.LEVELS).withColumn("y", sc.marked(F.col("y"), F.col("mark"), F.col("alpha")))
     z = op_scores(sg.standardised_residual(h, "y", "w"))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from contrapair.functions.hashing import hash_sign, hash_sign_sql
 from contrapair.functions.vectors import doubles
 from contrapair.operators.signatures import standardised_residual
-from contrapair.operators.splits import percent_splits
+from contrapair.operators.splits import device_ring, percent_splits
 from contrapair.plans.sqlkit import view
+from contrapair.session import materialise
 
 ARMS = ["A", "B"]
 CANDIDATES = ["A", "B", "C", "D", "E"]
@@ -104,6 +105,16 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return percent_splits(e, "device", ["vec_id"], SPLITS)
 
 
+def ring(spark: SparkSession, sf: str) -> DataFrame:
+    """device, next_device, ring_place of all devices of the vectors."""
+    return materialise(device_ring(table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("device"))))
+
+
+def ring_arm() -> Column:
+    """Devices take the two arms in turn."""
+    return F.when(F.col("ring_place") % 2 == 0, "A").otherwise("B")
+
+
 def planted(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors carrying a multiplicative +-2 % device pattern, with their standardised residual."""
     v = vectors(spark, sf)
@@ -156,6 +167,8 @@ def split_case(splits=SPLITS) -> str:
     return f"(CASE {arms} ELSE 'guard' END)"
 
 
+view("v_ring", """SELECT device, coalesce(lead(device) OVER (ORDER BY device), first_value(device) OVER (ORDER BY device)) AS next_device,
+  row_number() OVER (ORDER BY device) - 1 AS ring_place FROM (SELECT DISTINCT label::VARCHAR AS device FROM embeddings WHERE label IS NOT NULL)""")
 view("v_vec0", """SELECT vec_id, label::VARCHAR AS device, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn,
   count(*) OVER (PARTITION BY label) AS n FROM embeddings""")
 view("v_vec", f"SELECT vec_id, device, embedding::DOUBLE[] AS y, rn, n, {split_case()} AS split FROM v_vec0")

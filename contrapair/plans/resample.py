@@ -13,6 +13,7 @@ from contrapair.operators import models as md
 from contrapair.operators import resample as op
 from contrapair.operators import scoring as sc
 from contrapair.operators import signatures as sg
+from contrapair.operators.splits import of_next_device
 from contrapair.plans import contrasts as pc
 from contrapair.plans import derived as d
 from contrapair.plans import models as pm
@@ -350,18 +351,18 @@ def calibrated_multiplier(spark, sf):
 @query("f17_estimation_inflated", oracle(f"""SELECT count(*) AS reps, {rs(8, mean_theta='avg(th)', v_adapter='avg(se * se)', v_estimate='var_samp(th)')}, {rs(6, estimate_share='var_samp(th) / (var_samp(th) + avg(se * se))',
     limit_z=f'avg(th) + {Z99!r} * sqrt(avg(se * se) + var_samp(th))')} FROM (SELECT rep, {pc.SYM} AS th, {pc.SE} AS se FROM two)""",
     sc=f"""SELECT t.rep, h.vec_id, h.device, {ncc_sql('h.w', 'h.y * t.k')} - {ncc_sql('h.w', 'h.y * o.k')} AS c FROM v_h h JOIN v_bootsig t USING (device, pos)
-    JOIN v_bootsig o ON o.rep = t.rep AND o.pos = h.pos AND o.device = ((h.device::INT + 1) % 10)::VARCHAR GROUP BY t.rep, h.vec_id, h.device""",
-    dm="SELECT rep, device, CASE WHEN device::INT % 2 = 0 THEN 'A' ELSE 'B' END AS arm, avg(c) AS theta FROM sc GROUP BY rep, device",
+    JOIN v_bootsig o ON o.rep = t.rep AND o.pos = h.pos AND o.device = h.next_device GROUP BY t.rep, h.vec_id, h.device""",
+    dm=f"SELECT rep, device, {pc.RING_ARM_SQL} AS arm, avg(c) AS theta FROM sc JOIN v_ring USING (device) GROUP BY rep, device, ring_place",
     two=pc.two_sql("dm").replace("SELECT ", "SELECT rep, ", 1) + " GROUP BY rep"))
 def estimation_inflated(spark, sf):
     """Spread between bootstrap signatures added to the spread between devices."""
     x = materialise(d.planted(spark, sf))
     t = materialise(sg.to_arrays(bootstrap_signatures(x), ["rep", "device"]))
-    other = t.select("rep", pc.previous_device().alias("device"), F.col("k").alias("ko"))
+    ring = d.ring(spark, sf)
+    other = of_next_device(t.select("rep", "device", F.col("k").alias("ko")), ring)
     h = x.where("split = 'H'").select("device", "vec_id", "y", "w").join(t.join(other, ["rep", "device"]), "device")
     c = pc.op_scores(h).withColumn("c", F.col("own") - F.col("oth"))
-    arm = F.when(F.col("device").cast("int") % 2 == 0, "A").otherwise("B")
-    m = c.groupBy("rep", "device", arm.alias("arm")).agg(F.avg("c").alias("theta"))
+    m = c.join(ring, "device").groupBy("rep", "device", d.ring_arm().alias("arm")).agg(F.avg("c").alias("theta"))
     s = cn.welch(cn.symmetric_parts(cn.two_arms(m, "arm", "theta", ["rep"])))
     return fix(fix(inflated(s), 8, "mean_theta", "v_adapter", "v_estimate"), 6, "estimate_share", "limit_z")
 

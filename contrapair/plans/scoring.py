@@ -9,6 +9,7 @@ from contrapair.functions.hashing import portable_hash_sql
 from contrapair.functions.ordered import exact_quantiles, with_rank
 from contrapair.operators import scoring as op
 from contrapair.operators import signatures as sg
+from contrapair.operators.splits import of_next_device
 from contrapair.plans import derived as d
 from contrapair.plans import splits  # noqa: F401  (defines v_variant)
 from contrapair.plans.registry import query
@@ -23,7 +24,7 @@ def ncc_sql(a: str, b: str) -> str:
     return NCC.format(a=a, b=b)
 
 
-view("v_h", "SELECT * FROM v_planted WHERE split = 'H'")
+view("v_h", "SELECT p.*, g.next_device, g.ring_place FROM v_planted p JOIN v_ring g USING (device) WHERE p.split = 'H'")
 view("v_score", f"""SELECT h.vec_id, h.device, t.device AS K, {ncc_sql('h.w', 'h.y * t.k')} AS rho_mult, {ncc_sql('h.w', 't.k')} AS rho_add
     FROM v_h h JOIN v_e2 t USING (pos) GROUP BY h.vec_id, h.device, t.device""")
 
@@ -182,8 +183,8 @@ def _rescored(y: str) -> str:
     WHERE variant IN ('raw', 'swap') GROUP BY variant, vec_id) GROUP BY variant)""",
     pair="""SELECT h.vec_id, h.device, h.pos, h.y, e1.k AS k1, o1.k AS k1_other, e2.k AS k_own, o2.k AS k_other FROM v_h h
     JOIN v_e1 e1 USING (device, pos) JOIN v_e2 e2 USING (device, pos)
-    JOIN v_e1 o1 ON o1.pos = h.pos AND o1.device = ((h.device::INT + 1) % 10)::VARCHAR
-    JOIN v_e2 o2 ON o2.pos = h.pos AND o2.device = ((h.device::INT + 1) % 10)::VARCHAR""",
+    JOIN v_e1 o1 ON o1.pos = h.pos AND o1.device = h.next_device
+    JOIN v_e2 o2 ON o2.pos = h.pos AND o2.device = h.next_device""",
     changed="""SELECT vec_id, pos, k_own, k_other, v.variant, CASE v.variant WHEN 'raw' THEN y WHEN 'clean' THEN greatest(least(y * (1 - k1), 255.0), 0.0)
     ELSE greatest(least(y * (1 - k1) * (1 + k1_other), 255.0), 0.0) END AS yy FROM pair, (VALUES ('raw'), ('clean'), ('swap')) v(variant)""",
     scored=_rescored("changed")))
@@ -192,8 +193,7 @@ def suppress_and_swap(spark, sf):
     x = materialise(d.planted(spark, sf))
     e1, e2 = signature_arrays(x, "E1"), signature_arrays(x, "E2")
     both = materialise(e1.withColumnRenamed("k", "k1").join(e2.withColumnRenamed("k", "k2"), "device"))
-    other = both.select(
-        ((F.col("device").cast("int") + 9) % 10).cast("string").alias("device"), F.col("k1").alias("o1"), F.col("k2").alias("o2"))
+    other = of_next_device(both.select("device", F.col("k1").alias("o1"), F.col("k2").alias("o2")), d.ring(spark, sf))
     h = x.where("split = 'H'").select("vec_id", "device", "y").join(both, "device").join(other, "device")
     variants = F.array(
         F.struct(F.lit("raw").alias("variant"), F.col("y").alias("yy")),
@@ -219,12 +219,11 @@ def suppress_and_swap(spark, sf):
     )
 
 
-BANK = 8
-view("v_bank", f"""SELECT device, vec_id, pos, w, row_number() OVER (PARTITION BY device, pos ORDER BY vec_id) - 1 AS place
-    FROM v_planted WHERE split = 'T' QUALIFY place < {BANK}""")
+view("v_bank", """SELECT device, vec_id, pos, w, row_number() OVER (PARTITION BY device, pos ORDER BY vec_id) - 1 AS place
+    FROM v_planted WHERE split = 'T'""")
 view("v_transplant", f"""SELECT h.vec_id, h.device, h.rn, lv.s, {ncc_sql('h.w', '(h.y + lv.s * b.w) * t.k')} AS rho,
     {ncc_sql('(h.w + lv.s * b.w)', 'h.y * t.k')} AS rho_w FROM v_h h
-    JOIN v_bank b ON b.device = ((h.device::INT + 1) % 10)::VARCHAR AND b.pos = h.pos AND b.place = h.rn % (SELECT max(place) + 1 FROM v_bank b2 WHERE b2.device = b.device)
+    JOIN v_bank b ON b.device = h.next_device AND b.pos = h.pos AND b.place = h.rn % (SELECT max(place) + 1 FROM v_bank b2 WHERE b2.device = b.device)
     JOIN v_e2 t ON t.device = b.device AND t.pos = h.pos, (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) lv(s) GROUP BY ALL""")
 
 
@@ -237,15 +236,15 @@ def residual_transplant(spark, sf):
 def transplants(spark, sf):
     """Each held-out item receives a residual of the next device's bank, cycling through it."""
     x = materialise(d.planted(spark, sf))
-    t = materialise(signature_arrays(x, "E2"))
-    first = with_rank(x.where("split = 'T'").select("device", "vec_id", "w"), ["device"], ["vec_id"], "place").where(F.col("place") <= BANK)
-    bank = first.groupBy("device").agg(F.array_sort(F.collect_list(F.struct("place", "w"))).alias("b"))
-    donor = bank.select("device", F.col("b.w").alias("bank")).join(t, "device")
-    donor = donor.withColumn("device", ((F.col("device").cast("int") + 9) % 10).cast("string"))
-    h = op.at_levels(x.where("split = 'H'").join(donor, "device"), [0.0, 0.25, 0.5, 1.0], "s")
-    place = F.col("rn") % F.size("bank")
-    y2 = op.transplanted(F.col("y"), F.col("bank"), place, F.col("s"))
-    w2 = op.transplanted(F.col("w"), F.col("bank"), place, F.col("s"))
+    ring = d.ring(spark, sf)
+    t = of_next_device(signature_arrays(x, "E2"), ring)
+    donors = with_rank(x.where("split = 'T'").select("device", "vec_id", F.col("w").alias("donor")), ["device"], ["vec_id"], "place", "n_bank")
+    bank = materialise(of_next_device(donors.select("device", (F.col("place") - 1).alias("place"), "n_bank", "donor"), ring))
+    sizes = bank.select("device", "n_bank").distinct()
+    h = x.where("split = 'H'").join(sizes, "device").withColumn("place", F.col("rn") % F.col("n_bank"))
+    h = op.at_levels(h.join(bank.drop("n_bank"), ["device", "place"]).join(t, "device"), [0.0, 0.25, 0.5, 1.0], "s")
+    y2 = op.transplanted(F.col("y"), F.array("donor"), F.lit(0), F.col("s"))
+    w2 = op.transplanted(F.col("w"), F.array("donor"), F.lit(0), F.col("s"))
     return h.select(
         "vec_id", "device", "rn", "s", op.ncc(F.col("w"), V.times(y2, F.col("k"))).alias("rho"),
         op.ncc(w2, V.times(F.col("y"), F.col("k"))).alias("rho_w"),
@@ -256,10 +255,10 @@ def transplants(spark, sf):
     (sum(w * p) * sum(q * q) - sum(w * q) * sum(p * q)) / (sum(p * p) * sum(q * q) - sum(p * q) ** 2) AS a,
     (sum(w * q) * sum(p * p) - sum(w * p) * sum(p * q)) / (sum(p * p) * sum(q * q) - sum(p * q) ** 2) AS b FROM pq GROUP BY vec_id) USING (vec_id)""",
     pq="""SELECT h.vec_id, h.pos, h.w, h.y * t.k AS p, h.y * o.k AS q FROM v_h h JOIN v_e2 t USING (device, pos)
-    JOIN v_e2 o ON o.pos = h.pos AND o.device = ((h.device::INT + 1) % 10)::VARCHAR"""))
+    JOIN v_e2 o ON o.pos = h.pos AND o.device = h.next_device"""))
 def remove_templates(spark, sf):
     items, t = held_out_and_templates(spark, sf)
-    other = t.select(((F.col("device").cast("int") + 9) % 10).cast("string").alias("device"), F.col("k").alias("ko"))
+    other = of_next_device(t.select("device", F.col("k").alias("ko")), d.ring(spark, sf))
     x = items.join(t, "device").join(other, "device")
     x = x.withColumns({"p": V.times(F.col("y"), F.col("k")), "q": V.times(F.col("y"), F.col("ko"))})
     x = x.withColumn("w", op.remove_two(F.col("w"), F.col("p"), F.col("q")))

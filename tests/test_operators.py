@@ -379,3 +379,15 @@ def test_tests_tell_null_from_effect(spark):
     df = spark.createDataFrame(rows, "arm string, seed int, theta double")
     p = {r["arm"]: r["p"] for r in rs.sign_flip(df, "arm", "seed", "theta").collect()}
     assert 0.3 < p["null"] < 0.7 and p["shift"] < 0.01
+
+
+@pytest.mark.parametrize("names", [["0", "1", "2", "3", "4", "5", "6", "7", "8"], [str(i) for i in range(12)], ["x1", "cam b", "Ä"], ["alone"]])
+def test_ring_of_devices_comes_from_the_data(spark, names):
+    rows = spark.createDataFrame([(n,) for n in names + names[:2] + [None]], "device string")
+    ring = splits.device_ring(rows)
+    order = sorted(names)
+    want = {(d, order[(i + 1) % len(order)], i) for i, d in enumerate(order)}
+    got = ring.collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    facts = spark.createDataFrame([(n, "k" + n) for n in names], "device string, k string")
+    assert {tuple(r) for r in splits.of_next_device(facts, ring).select("device", "k").collect()} == {(d, "k" + n) for d, n, _ in want}
