@@ -209,6 +209,7 @@ def links(prints: DataFrame, radius: int, *, shard_rows: int = 4096, sample_rows
                                         "print": part["print"].to_numpy()[at], "node": node[at]})
 
     def join(_key, group):
+        group = group.sort_values(["print", "node"])  # the shuffle's order must not choose the links
         i, j = forest_links(group["print"].to_numpy(dtype=np.int64).view(np.uint64), radius)
         node = group["node"].to_numpy()
         return pd.DataFrame({"a": node[i], "b": node[j]})
