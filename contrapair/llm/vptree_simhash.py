@@ -129,8 +129,12 @@ class ShardTree:
         return out
 
 
-def forest_links(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of linked fingerprints that join all linked ones of a set: a spanning forest, not all pairs."""
+def forest_links(x: np.ndarray, radius: int, wide: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) of linked fingerprints that join all linked ones of a set, a spanning forest and not all pairs, and their trees.
+
+    With ``wide``, a matrix of words, linked ones must also differ in at most ``most`` bits of their rows there.
+    A tree goes by the place of one of its fingerprints.
+    """
     label = np.arange(len(x))
     out: list[tuple[int, int]] = []
 
@@ -176,19 +180,29 @@ def forest_links(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             close = np.bitwise_count(x[rows[at:at + step], None] ^ x[rows[at:]][None, :]) <= radius
             i, j = np.nonzero(close)
             up = j > i
-            join(rows[at + i[up]], rows[at + j[up]])
-    return np.array([p for p, _ in out], dtype=np.int64), np.array([q for _, q in out], dtype=np.int64)
+            i, j = rows[at + i[up]], rows[at + j[up]]
+            if wide is None:
+                join(i, j)
+                continue
+            for part in range(0, len(i), 1 << 16):
+                p, q = i[part:part + (1 << 16)], j[part:part + (1 << 16)]
+                apart = label[p] != label[q]  # what is joined already needs no look at its rows
+                p, q = p[apart], q[apart]
+                same = np.bitwise_count(wide[p] ^ wide[q]).sum(axis=1, dtype=np.int64) <= most
+                join(p[same], q[same])
+    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1], label[pairs[:, 0]]
 
 
 def links(prints: DataFrame, radius: int, *, shard_rows: int = 4096, sample_rows: int = 1 << 18) -> DataFrame:
     """Links (a, b) between nodes whose fingerprints in the same table differ in at most ``radius`` bits.
 
-    ``prints`` has (tab int, print long, node long). The links connect exactly what all such pairs connect.
-    ``sample_rows`` bounds the sample the shards are chosen by; every fingerprint is dealt out.
+    ``prints`` has (tab int, print long, node long). The links connect exactly what all such pairs connect. ``tree`` tells
+    which links of a shard hang together. ``sample_rows`` bounds the sample the shards are chosen by; every fingerprint is dealt out.
     """
     sizes = {r["tab"]: r["n"] for r in prints.groupBy("tab").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return prints.sparkSession.createDataFrame([], "a long, b long")
+        return prints.sparkSession.createDataFrame([], LINK)
     want = min(1.0, sample_rows / sum(sizes.values()), 16.0 * 64 / shard_rows)
     rows = prints.where(unit_hash("tab", "print") < want).select("tab", "print").toPandas()
     trees: dict[int, ShardTree] = {}
@@ -208,14 +222,21 @@ def links(prints: DataFrame, radius: int, *, shard_rows: int = 4096, sample_rows
                     yield pd.DataFrame({"tab": np.int32(tab), "shard": np.repeat(np.array([s for s, _ in out], dtype=np.int32), [len(r) for _, r in out]),
                                         "print": part["print"].to_numpy()[at], "node": node[at]})
 
-    def join(_key, group):
+    def join(key, group):
         group = group.sort_values(["print", "node"])  # the shuffle's order must not choose the links
-        i, j = forest_links(group["print"].to_numpy(dtype=np.int64).view(np.uint64), radius)
+        i, j, tree = forest_links(group["print"].to_numpy(dtype=np.int64).view(np.uint64), radius)
         node = group["node"].to_numpy()
-        return pd.DataFrame({"a": node[i], "b": node[j]})
+        return link_rows(key, node[i], node[j], node[tree])
 
     dealt = prints.select("tab", "print", "node").mapInPandas(deal, "tab int, shard int, print long, node long")
-    return dealt.groupBy("tab", "shard").applyInPandas(join, "a long, b long").where("a <> b")
+    return dealt.groupBy("tab", "shard").applyInPandas(join, LINK).where("a <> b")
+
+
+LINK = "tab int, shard int, tree long, a long, b long"
+
+
+def link_rows(key: tuple, a: np.ndarray, b: np.ndarray, tree: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"tab": np.int32(key[0]), "shard": np.int32(key[1]), "tree": tree, "a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -292,15 +313,33 @@ def similar_classes(prints: DataFrame, similarity: float, *, times: int = 12, ra
     in some piece are candidates, and those within the bits the similarity allows overall are links. With 24 pieces a pair
     of similarity 0.8 is a candidate with probability 0.96, one of 0.85 with 0.995, one of 0.9 with 0.9999, and a class is
     found through any of its pairs; unrelated texts differ in half of all bits and never link.
+
+    A shard hands on one tree for fingerprints that hang together as candidates. Where a tree holds a candidate that is no link,
+    two of its fingerprints may be linked without a path of links between them, so its members meet again in their shard, this
+    time with all their bits: the classes are those of all candidates that are links.
     """
     halves = F.flatten(F.transform(as_longs("print"), lambda w: F.array(F.shiftrightunsigned(w, 32), w.bitwiseAND(F.lit(0xFFFFFFFF)))))
     pieces = prints.select("node", F.posexplode(halves).alias("tab", "print"))
-    found = links(pieces.select("tab", "print", "node"), radius, shard_rows=shard_rows).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = materialise(found)
+    found = materialise(links(pieces.select("tab", "print", "node"), radius, shard_rows=shard_rows))
     whole = prints.select("node", as_longs("print").alias("bits"))
     left, right = whole.toDF("a", "x"), whole.toDF("b", "y")
     apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
-    return classes(found.join(left, "a").join(right, "b").where(apart <= bits_apart(similarity, 64 * times)).select("a", "b"))
+    most = bits_apart(similarity, 64 * times)
+    seen = materialise(found.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", (apart <= most).alias("same")))
+
+    def rejoin(key, group):
+        group = group.sort_values("node")
+        wide = np.frombuffer(b"".join(group["print"]), dtype=">u8").reshape(len(group), -1).astype(np.uint64)
+        piece = wide[:, key[0] // 2] >> np.uint64(0 if key[0] % 2 else 32) & np.uint64(0xFFFFFFFF)
+        i, j, tree = forest_links(piece, radius, wide, most)
+        node = group["node"].to_numpy()
+        return link_rows(key, node[i], node[j], node[tree])
+
+    place = ["tab", "shard", "tree"]
+    broken = found.join(seen.where("not same"), ["a", "b"], "left_semi").select(place).distinct()
+    again = found.join(broken, place, "left_semi").select("tab", "shard", F.explode(F.array("a", "b")).alias("node")).distinct()
+    again = again.join(prints.select("node", "print"), "node").groupBy("tab", "shard").applyInPandas(rejoin, LINK)
+    return classes(seen.where("same").select("a", "b").union(again.select("a", "b")))
 
 
 def keep_one(docs: DataFrame, id_col: str, text_col: str, *, words: int = 5, similarity: float = 0.8, times: int = 12) -> DataFrame:

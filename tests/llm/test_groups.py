@@ -101,6 +101,41 @@ def test_trees_lose_no_link(spark, bits, spread):
     assert same_partition([root.get(i, i) for i in range(len(x))], slow_classes(x, 2))
 
 
+def test_wide_trees_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+
+    def flipped(x, places, n):
+        return x ^ sum(1 << int(k) for k in rng.choice(places, n, replace=False))
+
+    def piece(x, tab):
+        return x >> 32 * (23 - tab) & 0xFFFFFFFF
+
+    prints = []
+    for _ in range(40):
+        a = int.from_bytes(rng.bytes(96), "big")
+        c = flipped(a, 768, 90)
+        tabs = [t for t in range(24) if (piece(a, t) ^ piece(c, t)).bit_count() <= 2]
+        prints += [a, c]
+        for t in range(24):  # a stranger that is near to both in this piece, and would hide their link
+            stranger = int.from_bytes(rng.bytes(96), "big")
+            near = flipped(piece(a if rng.integers(2) else c, t), 32, 1)
+            prints.append(stranger ^ (piece(stranger, t) ^ near) << 32 * (23 - t))
+        assert len(tabs) < 24
+    prints = list(dict.fromkeys(prints))
+    order = rng.permutation(len(prints)).tolist()
+    df = spark.createDataFrame([(prints[i].to_bytes(96, "big"), n) for n, i in enumerate(order)], "print binary, node long")
+    got = {r["node"]: r["root"] for r in vptree_simhash.similar_classes(df, 0.8, shard_rows=200).collect()}
+    x = [prints[i] for i in order]
+    most, of = vptree_simhash.bits_apart(0.8, 768), list(range(len(x)))
+    for i in range(len(x)):
+        for j in range(i):
+            apart = x[i] ^ x[j]
+            if apart.bit_count() <= most and any(piece(apart, t).bit_count() <= 2 for t in range(24)):
+                of = [of[j] if v == of[i] else v for v in of]
+    assert len(set(of)) < len(of) - 10
+    assert same_partition([got.get(i, i) for i in range(len(x))], of)
+
+
 def test_classes_of_a_long_chain(spark):
     edges = spark.range(300).selectExpr("(id * 11) % 301 as a", "((id + 1) * 11) % 301 as b")
     root = {r["node"]: r["root"] for r in vptree_simhash.classes(edges).collect()}
