@@ -65,7 +65,7 @@ def publish(spark: SparkSession, name: str, content: bytes) -> str:
 
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
-         "array<double>": pa.list_(pa.float64()), "array<binary>": pa.list_(pa.binary())}
+         "array<double>": pa.list_(pa.float64()), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
 
 
 def release() -> None:

@@ -78,6 +78,23 @@ def fingerprints(docs: DataFrame, text_col: str, carry: list[str], words: int, t
     return map_texts(docs, text_col, carry, {"print": "binary"}, start)
 
 
+def shingle_sets(docs: DataFrame, text_col: str, carry: list[str], words: int, times: int) -> DataFrame:
+    """The columns ``carry`` with ``shingles``, the sorted set of a text's shingle hashes, and ``print``, the fingerprint of that set."""
+
+    def one(text):
+        h = np.unique(shingle_hashes(text, words))
+        bits = np.packbits(2 * bit_counts(widened(h, times)) > len(h)).tobytes() if len(h) else bytes(8 * times)
+        return h.view(np.int64), bits
+
+    def start():
+        def work(texts):
+            made = [one(t) for t in texts]
+            return {"shingles": [h for h, _ in made], "print": [b for _, b in made]}
+        return work
+
+    return map_texts(docs, text_col, carry, {"shingles": "array<long>", "print": "binary"}, start)
+
+
 # ---- vantage-point trees ------------------------------------------------------------------------------------------
 
 
@@ -129,13 +146,24 @@ class ShardTree:
         return out
 
 
-def forest_links(x: np.ndarray, radius: int, wide: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / max(1, len(a) + len(b) - common)
+
+
+def forest_links(x: np.ndarray, radius: int, wide: np.ndarray | None = None, most: int = 0, sets: list[np.ndarray] | None = None,
+                 similarity: float = 0.0, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places (i, j) of linked fingerprints that join all linked ones of a set, a spanning forest and not all pairs, and their trees.
 
-    With ``wide``, a matrix of words, linked ones must also differ in at most ``most`` bits of their rows there.
+    With ``wide``, a matrix of words, linked ones must also differ in at most ``most`` bits of their rows there; with ``sets``, they must
+    have this Jaccard similarity. Fingerprints with equal numbers in ``joined`` count as joined before.
     A tree goes by the place of one of its fingerprints.
     """
     label = np.arange(len(x))
+    if joined is not None:
+        first, of = np.unique(joined, return_index=True, return_inverse=True)[1:]
+        label = first[of]
     out: list[tuple[int, int]] = []
 
     def join(i: np.ndarray, j: np.ndarray) -> None:
@@ -184,12 +212,17 @@ def forest_links(x: np.ndarray, radius: int, wide: np.ndarray | None = None, mos
             if wide is None:
                 join(i, j)
                 continue
-            for part in range(0, len(i), 1 << 16):
-                p, q = i[part:part + (1 << 16)], j[part:part + (1 << 16)]
+            block = 1 << (16 if sets is None else 10)  # sets take longer to compare, so what has been joined is looked at more often
+            for part in range(0, len(i), block):
+                p, q = i[part:part + block], j[part:part + block]
                 apart = label[p] != label[q]  # what is joined already needs no look at its rows
                 p, q = p[apart], q[apart]
                 same = np.bitwise_count(wide[p] ^ wide[q]).sum(axis=1, dtype=np.int64) <= most
-                join(p[same], q[same])
+                p, q = p[same], q[same]
+                if sets is not None:
+                    same = np.array([jaccard(sets[a], sets[b]) >= similarity for a, b in zip(p.tolist(), q.tolist(), strict=True)], dtype=bool)
+                    p, q = p[same], q[same]
+                join(p, q)
     pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1], label[pairs[:, 0]]
 
@@ -298,15 +331,39 @@ def exact_classes(docs: DataFrame, id_col: str, text_col: str, *, words: int = 3
 
 
 def bits_apart(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of texts of this Jaccard similarity differ, with room for 1.6 deviations.
+    """Bits in which fingerprints of texts of this Jaccard similarity differ, with room for five deviations.
 
     Sets of equal size and similarity s have cosine 2s / (1 + s), and a bit differs with the angle's share of a half turn.
+    Sets of few shingles differ in more bits than that, because an even count can be a tie.
     """
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + 1.6 * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + 5 * np.sqrt(bits * p * (1 - p)))
 
 
-def similar_classes(prints: DataFrame, similarity: float, *, times: int = 12, radius: int = 2, shard_rows: int = 32768) -> DataFrame:
+def short_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b) among sets (node, shingles) so small that similar ones differ by one shingle on each side at most.
+
+    A node's number is ``set_number`` of its shingles, so a set without one of its shingles is found by number. Sets that
+    share such a rest are tied to the smallest of them where the rest makes them similar.
+    """
+    n = F.size("shingles")
+    small = sets.where((n * (1 - similarity) < 2) & ((n - 1) / F.greatest(n, F.lit(1)) >= similarity)).select("node", "shingles", n.alias("n")).dropDuplicates(["node"])
+    cut = materialise(small.select("node", "n", F.explode(F.transform("shingles", lambda s: set_number(F.array_remove("shingles", s)))).alias("rest")))
+    whole = sets.where(n * (1 - similarity) < 2).select(F.col("node").alias("b")).distinct()
+    within = cut.join(whole, F.col("rest") == F.col("b")).select(F.col("node").alias("a"), "b")
+    both = cut.where((F.col("n") - 1) / (F.col("n") + 1) >= similarity)
+    least = both.groupBy("rest", "n").agg(F.min("node").alias("b"))
+    beside = both.join(least, ["rest", "n"]).select(F.col("node").alias("a"), "b")
+    return within.union(beside).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def set_number(shingles) -> Column:
+    """64 bits of a sorted set of shingles."""
+    return F.xxhash64(shingles)
+
+
+def similar_classes(prints: DataFrame, similarity: float, *, times: int = 12, radius: int = 2, shard_rows: int = 32768,
+                    sets: DataFrame | None = None) -> DataFrame:
     """(node, root) over wide fingerprints (print binary, node long) of texts of at least this similarity.
 
     A wide fingerprint is cut into pieces of 32 bits, each a table of vantage-point trees; fingerprints within ``radius`` bits
@@ -314,6 +371,10 @@ def similar_classes(prints: DataFrame, similarity: float, *, times: int = 12, ra
     of similarity 0.8 is a candidate with probability 0.96, one of 0.85 with 0.995, one of 0.9 with 0.9999, and a class is
     found through any of its pairs; unrelated texts differ in half of all bits and never link.
 
+    With ``sets`` (node, shingles: sorted array of long; rows may repeat) the bits only choose the candidates: what is within them is
+    a link if the sets have the similarity, and small sets get their candidates from ``short_pairs`` as well. Only the sets of
+    fingerprints that are within the bits are moved.
+
     A shard hands on one tree for fingerprints that hang together as candidates. Where a tree holds a candidate that is no link,
     two of its fingerprints may be linked without a path of links between them, so its members meet again in their shard, this
     time with all their bits: the classes are those of all candidates that are links.
@@ -339,21 +400,54 @@ def similar_classes(prints: DataFrame, similarity: float, *, times: int = 12, ra
     broken = found.join(seen.where("not same"), ["a", "b"], "left_semi").select(place).distinct()
     again = found.join(broken, place, "left_semi").select("tab", "shard", F.explode(F.array("a", "b")).alias("node")).distinct()
     again = again.join(prints.select("node", "print"), "node").groupBy("tab", "shard").applyInPandas(rejoin, LINK)
-    return classes(seen.where("same").select("a", "b").union(again.select("a", "b")))
+    if sets is None:
+        return classes(seen.where("same").select("a", "b").union(again.select("a", "b")))
+    within = materialise(found.join(broken, place, "left_anti").union(again.select(found.columns)))
+    pairs = materialise(within.select("a", "b").union(short_pairs(sets, similarity)).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wide = materialise(sets.join(wanted, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"]))
+    both = pairs.join(wide.toDF("a", "x"), "a").join(wide.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    alike = common / F.greatest(F.lit(1), F.size("x") + F.size("y") - common) >= similarity
+    sure = materialise(both.select("a", "b", alike.alias("same")))
+    root = materialise(classes(sure.where("same")))
+    # a tree with a pair that is no link is looked at again, unless its members are all in one class by other pairs
+    parted = within.join(sure.where("not same"), ["a", "b"], "left_semi").select(place).distinct()
+    members = within.join(parted, place, "left_semi").select(*place, F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = members.join(root, "node", "left").select(*place, "node", F.coalesce("root", "node").alias("root"))
+    members = materialise(members)
+    unsettled = members.groupBy(place).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select(place)
+
+    def confirm(key, group):
+        group = group.sort_values("node")
+        bits = np.frombuffer(b"".join(group["print"]), dtype=">u8").reshape(len(group), -1).astype(np.uint64)
+        piece = bits[:, key[0] // 2] >> np.uint64(0 if key[0] % 2 else 32) & np.uint64(0xFFFFFFFF)
+        i, j, tree = forest_links(piece, radius, bits, most, group["shingles"].tolist(), similarity, group["root"].to_numpy())
+        node = group["node"].to_numpy()
+        return link_rows(key, node[i], node[j], node[tree])
+
+    members = members.join(unsettled, place, "left_semi").join(prints.select("node", "print"), "node").join(wide, "node")
+    more = materialise(members.groupBy(place).applyInPandas(confirm, LINK).select("a", "b"))
+    if more.isEmpty():
+        return root
+    return classes(root.toDF("a", "b").union(more))
 
 
 def keep_one(docs: DataFrame, id_col: str, text_col: str, *, words: int = 5, similarity: float = 0.8, times: int = 12) -> DataFrame:
     """One row of each class of near-duplicates, with all its columns: the one of the smallest id.
 
-    * Texts are near-duplicates from ``similarity`` on shingles of ``words`` words (repeats weigh), by their fingerprints.
+    * Texts are near-duplicates if their sets of shingles of ``words`` words have a Jaccard similarity of ``similarity`` or more, or through
+      others that are. Fingerprints of the sets find candidates; the sets themselves decide.
     * Texts without words are copies of each other. A null id is larger than any. Of rows with equal id the one of the smaller
       text hash stays, of equal rows one. An empty table stays empty; other columns are carried whatever their names.
     """
     key = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("text"))
-    rows = materialise(fingerprints(key, "text", ["id", "h"], words, times))
+    rows = materialise(shingle_sets(key, "text", ["id", "h"], words, times).withColumn("node", set_number(F.col("shingles"))))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")
-    nodes = materialise(rows.groupBy("print").agg(first).withColumn("node", F.xxhash64("print")))
-    root = similar_classes(nodes.select("print", "node"), similarity, times=times).toDF("n", "root")
+    nodes = materialise(rows.groupBy("print", "node").agg(first))
+    sets = rows.join(nodes.select(F.col("node").alias("n"), "first"), (F.col("node") == F.col("n")) & (F.col("h") == F.col("first.h"))
+                     & F.col("id").eqNullSafe(F.col("first.id"))).select("node", "shingles")
+    root = similar_classes(nodes.select("print", "node"), similarity, times=times, sets=sets).toDF("n", "root")
     tied = nodes.select("node", "first").join(root, F.col("node") == F.col("n"), "left").select(F.coalesce("root", "node").alias("root"), "first")
     chosen = materialise(tied.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.h").alias("kept_h")))
     same = F.col("kept_id").eqNullSafe(F.col("id")) & (F.col("kept_h") == F.col("h"))

@@ -185,6 +185,37 @@ def test_keep_one(spark):
     assert vptree_simhash.keep_one(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_keep_one_confirms_by_jaccard(spark):
+    rng = np.random.default_rng(8)
+    pairs = {}
+
+    def add(kind, a, b):
+        pairs.setdefault(kind, []).append((" ".join(a), " ".join(b)))
+
+    for _ in range(20):
+        w, line = sentence(rng, 404), sentence(rng, 10)
+        add("above", w, [*w[:360], *sentence(rng, 44)])  # 356 of 444 shingles: 0.802
+        add("below", w, [*w[:358], *sentence(rng, 46)])  # 354 of 446: 0.794
+        add("line", [*line * 24, *sentence(rng, 160)], [*line * 24, *sentence(rng, 160)])
+    for n in (4, 5, 6, 7, 8):  # shingles of n + 4 words
+        w = sentence(rng, n + 4)
+        add("short", w, [*w, "more"])
+    w = sentence(rng, 12)
+    add("short", ["one", *w], [*w, "two"])  # 8 of 10 shingles
+    w = sentence(rng, 11)
+    add("different", ["one", *w], [*w, "two"])  # 7 of 9
+    for n in (1, 2, 3):
+        w = sentence(rng, n + 4)
+        add("different", w, [*w, "more"])
+    texts = [t for kind in pairs.values() for pair in kind for t in pair]
+    df = spark.createDataFrame([(n, t, "en", "s", 0) for n, t in enumerate(texts)], DOCS)
+    kept = {r["text"] for r in vptree_simhash.keep_one(df, "doc_id", "text").select("text").collect()}
+    gone = {kind: sum(a not in kept or b not in kept for a, b in of) for kind, of in pairs.items()}
+    assert gone["below"] == gone["line"] == 0
+    assert gone["above"] >= 16
+    assert gone["short"] == 6 and gone["different"] == 0
+
+
 # ---- mixing -------------------------------------------------------------------------------------------------------
 
 
