@@ -63,41 +63,47 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     * The offset and the order come from hashes of source and id with ``seed``: reruns agree.
     """
     size = word_count(F.col("text")) if size is None else size
+    taken = place_copies(docs, id_col, source_col, size, weights, share, most, seed)
+    return taken.select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def place_copies(docs: DataFrame, id_col: str, source_col: str, size: Column, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5,
+                 most: float = 2.0, seed: str = "mix", carry: dict[str, Column] | None = None) -> DataFrame:
+    """What ``mix`` gives, with the columns ``carry``; the first of these orders rows that are equal in source, size and id."""
+    carry = carry or {}
+    order = ["size", "h", *list(carry)[:1]]
     h = text_hash(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     rows = materialise(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), h.alias("h")))
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), h.alias("h"),
+        *[c.alias(name) for name, c in carry.items()]))
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     offset = text_hash(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit("")))) / F.lit(float(1 << 60))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     aims = aims.withColumn("rate", rate).withColumn("offset", offset)
-    placed = materialise(rows.repartitionByRange("source", "size", "h").withColumn("range", F.spark_partition_id()))
+    placed = materialise(rows.repartitionByRange("source", *order).withColumn("range", F.spark_partition_id()))
     held = placed.groupBy("source", "range").agg(F.count("*").alias("n"))
     # a range with smaller number holds smaller keys, so a source's earlier documents
     before = held.withColumn("before", F.coalesce(F.sum("n").over(
         Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     facts = before.drop("n").withColumnRenamed("source", "s").join(
         aims.withColumnRenamed("source", "s2"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2").withColumnRenamed("range", "r")
-    inside = F.row_number().over(Window.partitionBy("range", "source").orderBy("size", "h"))
+    inside = F.row_number().over(Window.partitionBy("range", "source").orderBy(*order))
     numbered = placed.withColumn("inside", inside).join(
         materialise(facts), (F.col("range") == F.col("r")) & F.col("source").eqNullSafe(F.col("s")))
     k = F.col("before") + F.col("inside")
     crossed = F.floor(F.col("rate") * k + F.col("offset")) - F.floor(F.col("rate") * (k - 1) + F.col("offset"))
     copies = F.least(crossed, F.lit(int(-(-most // 1)))).cast("long")
-    return numbered.select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return numbered.select("id", "source", "size", "source_size", "target", copies.alias("copies"), *carry)
 
 
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: each row as often as ``mix`` takes it, with all its columns.
 
-    Rows with equal ids share their copies: each takes the whole part, and the rest goes to rows by the hash of their text.
+    Rows go through the numbering themselves and are not found again by id, so null and repeated ids are rows of their own source.
     """
-    taken = mix(docs, id_col, source_col, word_count(F.col(f"`{text_col}`")), **options).groupBy("id").agg(
-        F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").alias("own"),
-                       (F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(1 << 31)) / F.lit(float(1 << 31))).alias("draw"))
-    both = rows.join(taken, F.col("own").eqNullSafe(F.col("id")))
-    extra = F.when(F.col("draw") < F.pmod(F.col("copies"), F.col("rows")) / F.col("rows"), 1).otherwise(0)
-    times = (F.floor(F.col("copies") / F.col("rows")) + extra).cast("int")
-    both = both.where(times > 0).withColumn("copy", F.explode(F.array_repeat(F.lit(1), times)))
-    return both.select(*[F.col("row").getField(c).alias(c) for c in names])
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(names)])
+    text = F.col(f"`{text_col}`")
+    taken = place_copies(docs, id_col, source_col, word_count(text), carry={"tie": F.xxhash64(text), "row": row}, **options).where("copies > 0")
+    both = taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return both.select(*[F.col("row").getField(f"c{n}").alias(c) for n, c in enumerate(names)])

@@ -269,6 +269,25 @@ def test_mix_of_odd_rows(spark):
     assert systematic_mix.mix(df.limit(0)).count() == 0 and systematic_mix.repeat_rows(df.limit(0)).count() == 0
 
 
+def test_rows_of_null_and_repeated_ids_keep_their_sources(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if n % 3 == 0 else n % 50, " ".join(sentence(rng, int(rng.integers(5, 40)))), "en", s, 0) for s in ("a", "b") for n in range(600)]
+    rows += [(None, "the same words here", "en", s, 0) for s in ("a", "b") for _ in range(300)]
+    df = spark.createDataFrame(rows, DOCS)
+    sizes, got, largest = collections.Counter(), collections.Counter(), 40
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    copies = collections.Counter()
+    for r in systematic_mix.repeat_rows(df, weights=(2.0, 0.5), share=1.25).collect():
+        got[r["source"]] += len(r["text"].split())
+        copies[r["source"], r["text"]] += 1
+    want = slow_targets(sizes, (2.0, 0.5), 1.25)
+    assert want["a"] > 3 * want["b"]
+    for s in sizes:
+        assert abs(got[s] - want[s]) <= largest
+        assert abs(copies[s, "the same words here"] - 300 * want[s] / sizes[s]) <= 1
+
+
 # ---- pipeline -----------------------------------------------------------------------------------------------------
 
 
