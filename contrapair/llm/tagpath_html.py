@@ -34,34 +34,45 @@ CLOSED_BY = {  # an open element that the start of another ends
     "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option"]), "head": frozenset(["body"]),
 }
 SCOPES = frozenset("table td th ul ol dl select button article section div main body html".split())
-ASIDE_TAGS = frozenset("head nav footer aside form button select menu dialog svg canvas audio video object applet datalist search".split())
+ASIDE_TAGS = frozenset("head nav footer aside button select menu dialog svg canvas audio video object applet datalist search".split())
 ASIDE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb
 breadcrumbs masthead topbar toolbar footer foot sidebar sidebars side rail aside widget widgets related recommended share sharing social comment comments commentlist
 reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search pagination
 pager copyright skip hidden""".split())
+# Of these, names that a section of an article may have as well, and parts of a name that say nothing of the role.
+WEAK_WORDS = frozenset("share sharing side notice notices reply replies related alert skip foot rail social hidden".split())
+NEUTRAL_WORDS = frozenset("""area bar block body bottom box column container content contents group holder inner item items left link links list outer page panel posts right
+section site slot text top unit wrap wrapper""".split())
 PLAIN_ROLES = {"navigation": 1, "banner": 1, "contentinfo": 1, "complementary": 1, "search": 1, "form": 1, "dialog": 1, "alert": 1, "menu": 1}
 PUNCTUATION = re.compile(r"[.,;:!?…、。，？！]")
 
 
 class Node:
-    """A run of text: its path, its block, and whether it is inside a link or an element that holds no article."""
+    """A run of text: its path, its block, whether it is inside a link or an element that holds no article, and the doubtful elements around it."""
 
-    __slots__ = ("path", "text", "block", "linked", "aside")
+    __slots__ = ("path", "text", "block", "linked", "aside", "doubts")
 
-    def __init__(self, path, text, block, linked, aside):
-        self.path, self.text, self.block, self.linked, self.aside = path, text, block, linked, aside
+    def __init__(self, path, text, block, linked, aside, doubts):
+        self.path, self.text, self.block, self.linked, self.aside, self.doubts = path, text, block, linked, aside, doubts
+
+
+class Doubt:
+    """An element that by its class or id or as a form would hold no article, which its contents may refute."""
+
+    __slots__ = ("weak", "article", "weight", "released")
+
+    def __init__(self, weak, article):
+        self.weak, self.article, self.weight, self.released = weak, article, 0.0, False
 
 
 def _aside(tag: str, attributes: str, inside: list[tuple]) -> bool:
-    """True for an element that by its name, class, id or role holds no article."""
+    """True for an element that by its tag, role or style holds no article."""
     if tag in ASIDE_TAGS or tag == "header" and not any(e[0] in ("article", "main") for e in inside):
         return True
     if tag in ("html", "body", "main", "article") or not attributes:
         return False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and not ASIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
         if name == "hidden" or name == "role" and value in PLAIN_ROLES or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -69,6 +80,49 @@ def _aside(tag: str, attributes: str, inside: list[tuple]) -> bool:
     return False
 
 
+def _named(attributes: str) -> set[str]:
+    """Words for asides in the classes and the id; a name counts if all its parts are such words or neutral ones."""
+    found: set[str] = set()
+    for name, value in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for one in value.strip("\"'").lower().split():
+                parts = {w for w in re.split(r"[^a-z]+", one) if len(w) > 1}
+                if parts <= ASIDE_WORDS | NEUTRAL_WORDS:
+                    found |= parts & ASIDE_WORDS
+    return found
+
+
+def _settle(nodes: list[Node], marks: list[tuple]) -> None:
+    """Decides which doubtful elements hold no article after all; ``marks`` are the doubts around each h1, article and main, in page order.
+
+    An element is released if it holds the page's first h1, article or main and a fifth of its plain text, or, where none of these stands
+    elsewhere, three fifths of it. A section of an article with a weak name is released if its text runs like the rest of the article.
+    """
+    total, rest = 0.0, [0, 0]
+    for n in nodes:
+        if n.aside or n.linked:
+            continue
+        w = len(n.text) * (1.0 + len(PUNCTUATION.findall(n.text)))
+        total += w
+        for d in n.doubts:
+            d.weight += w
+        if not n.doubts:
+            rest[0] += len(n.text)
+            rest[1] += 1
+    doubts = {id(d): d for n in nodes for d in n.doubts}.values()
+    strong = [around for around in marks if all(d.weight >= 0.2 * total for d in around)]
+    for d in doubts:
+        d.released = bool(strong) and d in strong[0] or d.weight >= 0.6 * total and all(d in around for around in strong)
+    for d in doubts:
+        if d.weak and d.article and not d.released:
+            own = [n for n in nodes if d in n.doubts and not n.aside]
+            plain = [n.text for n in own if not n.linked]
+            long = sum(map(len, plain))
+            d.released = long > sum(len(n.text) for n in own if n.linked) and bool(PUNCTUATION.search("".join(plain))) and long / len(plain) >= 0.5 * rest[0] / max(1, rest[1])
+    for n in nodes:
+        n.aside = n.aside or not all(d.released for d in n.doubts)
+
+
 def _label(tag: str, attributes: str) -> str:
     if tag in ("div", "section", "span", "td", "table"):
         for name, value in ATTRIBUTE.findall(attributes):
@@ -80,14 +134,15 @@ def _label(tag: str, attributes: str) -> str:
 def text_nodes(page: str) -> list[Node]:
     """Text nodes of a page in order; text of scripts, styles and other raw elements is none."""
     nodes: list[Node] = []
-    stack: list[tuple] = []  # tag, label, linked, aside
+    stack: list[tuple] = []  # tag, label, linked, aside, doubts
+    marks: list[tuple] = []
     block, at = 0, 0
     path: tuple = ()
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
-            top = stack[-1] if stack else ("", "", False, False)
-            nodes.append(Node(path, raw, block, top[2], top[3]))
+            top = stack[-1] if stack else ("", "", False, False, ())
+            nodes.append(Node(path, raw, block, top[2], top[3], top[4]))
         elif raw and nodes and nodes[-1].block == block:
             nodes[-1].text += " "
 
@@ -96,6 +151,7 @@ def text_nodes(page: str) -> list[Node]:
         m = find(page, at)
         if m is None:
             text(page[at:])
+            _settle(nodes, marks)
             return nodes
         text(page[at:m.start()])
         at = m.end()
@@ -128,7 +184,13 @@ def text_nodes(page: str) -> list[Node]:
                 break
         linked = tag == "a" or bool(stack) and stack[-1][2]
         aside = bool(stack) and stack[-1][3] or _aside(tag, attributes, stack)
-        stack.append((tag, _label(tag, attributes), linked, aside))
+        doubts = stack[-1][4] if stack else ()
+        words = _named(attributes) if attributes and tag not in ("html", "body", "main", "article") else set()
+        if words or tag == "form":
+            doubts = (*doubts, Doubt(tag != "form" and words <= WEAK_WORDS, any(e[0] in ("article", "main") for e in stack)))
+        if tag in ("h1", "article", "main") and not aside:
+            marks.append(doubts)
+        stack.append((tag, _label(tag, attributes), linked, aside, doubts))
         path = tuple(e[1] for e in stack)
 
 

@@ -252,6 +252,26 @@ def test_main_text_of_a_page():
     assert tagpath_html.main_text(plain) == "\n".join(f"Sentence {i}, and so on it goes, at length." for i in range(9))
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content no-sidebar'", "div class='with-sidebar'", "div id='main-widget'", "div class='entry comments-open'",
+                                     "div class=sidebar", "form action=/page.aspx"])
+@pytest.mark.parametrize("heading", ["<h1>A headline</h1>", "<h2>A headline</h2>"])
+def test_names_alone_lose_no_article(wrapper, heading):
+    said = [f"Sentence {i}, and so on it goes, at length." for i in range(9)]
+    page = (f"<html><body><div class=masthead><a href=/>Site</a></div><{wrapper}>{heading}" + "".join(f"<p>{t}</p>" for t in said)
+            + f"<div class=ad>Buy now, it is cheap.</div></{wrapper.split()[0]}><div class=sidebar><p>Elsewhere, others write.</p></div></body></html>")
+    assert tagpath_html.main_text(page) == "\n".join(["A headline", *said])
+
+
+def test_sections_and_comments_of_an_article():
+    said = [f"Sentence {i}, and so on it goes, at length." for i in range(3)]
+    own = "".join(f"<div class={name}><p>The {name} part, as long as any of the others.</p></div>" for name in ("notice", "side", "related"))
+    comments = "<div id=comments>" + "<article class=comment><p>I disagree, strongly, and at length, with all of it.</p></article>" * 20 + "</div>"
+    share = "<div class=share><a href=1>Mail</a> <a href=2>Print</a></div>"
+    page = "<body><article><h1>A headline</h1>" + "".join(f"<p>{t}</p>" for t in said) + own + share + "</article>" + comments + "</body>"
+    want = ["A headline", *said, *[f"The {name} part, as long as any of the others." for name in ("notice", "side", "related")]]
+    assert tagpath_html.main_text(page) == "\n".join(want)
+
+
 def test_main_text_of_given_pages(spark):
     import re
     import html
