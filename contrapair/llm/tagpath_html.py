@@ -2,8 +2,10 @@
 
 A page is read into text nodes, each with its path of tags from the root. For each path, text length and punctuation are
 added up over its nodes and divided by their number; the ratios are smoothed over neighbouring nodes in page order and fused
-into one weight, which links and elements that by name hold no article (menus, adverts, forms, comments ...) reduce. The part
-of the page that holds most weight is found by walking down the paths, and the paths in it that pass a threshold are content.
+into one weight, which links reduce and elements that by tag or name hold no article (menus, adverts, forms, comments ...) don't have.
+The part of the page that holds most weight is found by walking down the paths. Ratios choose this container; inside it every path is
+content but for those of such names and of mostly links, so that short items of an article stay. Outside it, and on a page that
+falls into several parts of which none holds most, paths must pass a threshold.
 
 Everything about a page is decided within the page, so pages are mapped where they lie: nothing is shuffled.
 """
@@ -33,6 +35,7 @@ CLOSED_BY = {  # an open element that the start of another ends
     "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "thead", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
     "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option"]), "head": frozenset(["body"]),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("table td th ul ol dl select button article section div main body html".split())
 ASIDE_TAGS = frozenset("head nav footer aside button select menu dialog svg canvas audio video object applet datalist search".split())
 ASIDE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb
@@ -224,6 +227,7 @@ def main_text(page: str | None, *, share: float = 0.6, threshold: float = 0.25,
         return ""
     # walk down to the container that holds most of the weight
     container: tuple = ()
+    parted = False
     while True:
         below: dict[tuple, float] = defaultdict(float)
         d = len(container)
@@ -233,6 +237,8 @@ def main_text(page: str | None, *, share: float = 0.6, threshold: float = 0.25,
         if not below:
             break
         best = max(below, key=lambda c: (below[c], c))
+        parted = below[best] < share * total and container[-1:] in ((), ("html",), ("body",)) and not any(
+            len(path) > d and path[d].split(".")[0] not in SECTIONS and weight[i] > 0 for path, i in index.items())
         if below[best] < share * total or best[-1].split(".")[0] not in SECTIONS or any(path == best for path in index):
             break
         container = best
@@ -249,7 +255,8 @@ def main_text(page: str | None, *, share: float = 0.6, threshold: float = 0.25,
             around = [j for other, j in index.items() if other[:len(above)] == above]
             if plain[around].sum() < within_links[around].sum():
                 continue
-        content[i] = path[:d] == container or weight[i] / max(1.0, plain[i] + within_links[i]) >= threshold * mean
+        whole = path[:d] == container and (not parted or path[-1:] and path[-1] in HEADINGS)
+        content[i] = whole or weight[i] / max(1.0, plain[i] + within_links[i]) >= threshold * mean
     lines: dict[int, list[str]] = {}
     for n, i, t in zip(nodes, of, decoded, strict=True):
         if content[i] and not n.aside:

@@ -272,6 +272,14 @@ def test_sections_and_comments_of_an_article():
     assert tagpath_html.main_text(page) == "\n".join(want)
 
 
+def test_page_in_parts_has_a_threshold():
+    parts = [[f"Sentence {i} of part {k}, and so on it goes, at length, as sentences do." for i in range(6)] for k in range(2)]
+    made = "".join(f"<div class=part{k}><h2>Part {k}</h2>" + "".join(f"<p>{t}</p>" for t in part) + "</div>" for k, part in enumerate(parts))
+    menu = "<div class=top>" + "".join(f"<div class=entry>Item {i}</div>" for i in range(8)) + "</div>"
+    page = f"<html><body>{menu}{made}</body></html>"
+    assert tagpath_html.main_text(page) == "\n".join(["Part 0", *parts[0], "Part 1", *parts[1]])
+
+
 def test_main_text_of_given_pages(spark):
     import re
     import html
