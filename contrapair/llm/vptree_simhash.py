@@ -404,7 +404,7 @@ def similar_classes(prints: DataFrame, similarity: float, *, times: int = 12, ra
         return classes(seen.where("same").select("a", "b").union(again.select("a", "b")))
     within = materialise(found.join(broken, place, "left_anti").union(again.select(found.columns)))
     pairs = materialise(within.select("a", "b").union(short_pairs(sets, similarity)).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     wide = materialise(sets.join(wanted, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"]))
     both = pairs.join(wide.toDF("a", "x"), "a").join(wide.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -445,9 +445,7 @@ def keep_one(docs: DataFrame, id_col: str, text_col: str, *, words: int = 5, sim
     rows = materialise(shingle_sets(key, "text", ["id", "h"], words, times).withColumn("node", set_number(F.col("shingles"))))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")
     nodes = materialise(rows.groupBy("print", "node").agg(first))
-    sets = rows.join(nodes.select(F.col("node").alias("n"), "first"), (F.col("node") == F.col("n")) & (F.col("h") == F.col("first.h"))
-                     & F.col("id").eqNullSafe(F.col("first.id"))).select("node", "shingles")
-    root = similar_classes(nodes.select("print", "node"), similarity, times=times, sets=sets).toDF("n", "root")
+    root = similar_classes(nodes.select("print", "node"), similarity, times=times, sets=rows).toDF("n", "root")
     tied = nodes.select("node", "first").join(root, F.col("node") == F.col("n"), "left").select(F.coalesce("root", "node").alias("root"), "first")
     chosen = materialise(tied.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.h").alias("kept_h")))
     same = F.col("kept_id").eqNullSafe(F.col("id")) & (F.col("kept_h") == F.col("h"))
