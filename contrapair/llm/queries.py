@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrapair.llm import (bitsliced_topk, chat_grammar, gam_quality, hilbert_ann, ppm_langid, systematic_mix, tagpath_html, transducer_bpe,
-                            trie_counts, vptree_simhash)
+from contrapair.llm import (bitsliced_topk, chat_grammar, filter_audit, gam_quality, hilbert_ann, license_join, ppm_langid, systematic_mix,
+                            tagpath_html, transducer_bpe, trie_counts, vptree_simhash)
 from contrapair.llm.common import crc_fold, table
 from contrapair.session import materialise
 
@@ -77,6 +77,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam_quality.score(features, model).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_join.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP2_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
@@ -133,10 +142,68 @@ SELECT doc_id, size, source_size, target, CAST(floor(rate * k + start) - floor(r
 """
 
 
+def _notices() -> str:
+    vocabulary = license_join.Vocabulary(license_join.NOTICES, license_join.PHRASES)
+    rows = ", ".join(f"({k}, '{label}', [{', '.join(repr(w.decode()) for w in ws)}])" for k, (label, ws) in enumerate(vocabulary.sets))
+    return f"(VALUES {rows}) t(notice, label, words)"
+
+
+def _places() -> str:
+    vocabulary = license_join.Vocabulary(license_join.NOTICES, license_join.PHRASES)
+    parts = [f"SELECT row, '{label}' AS label, unnest(list_filter(range(0, len(w) - {len(ws) - 1}), lambda i: {' AND '.join(f'w[i + {j + 1}] = {x.decode()!r}' for j, x in enumerate(ws))})) AS spot FROM d"
+             for label, ws in vocabulary.runs]
+    return " UNION ALL ".join(parts)
+
+
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS ({_places()}),
+base AS (SELECT row, count(*) AS n, min(spot) AS first_word, max(spot) AS last_word, list_distinct(list(label)) AS found FROM p GROUP BY row),
+b AS (SELECT row, block, list_distinct(w[block * 32 + 1:block * 32 + 64]) AS held FROM (SELECT row, w, unnest(range(0, (len(w) + 31) // 32)) AS block FROM d)),
+m AS (SELECT row, block, label, len(list_intersect(words, held)) AS shared, len(words) AS size FROM b, {_notices()}),
+best AS (SELECT row, block, max(struct_pack(c := shared / size, s := shared, l := label)) AS x FROM m WHERE 10 * shared >= 8 * size GROUP BY row, block),
+more AS (SELECT row, list_distinct(list(x.l)) AS found, max(x.c) AS share FROM best GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(base.found), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.found, []), coalesce(more.found, [])))), ','), '') AS labels,
+  CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN base USING (row) LEFT JOIN more USING (row)
+"""
+
+
+OP13_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+f AS (
+  SELECT doc_id, part, (CASE WHEN len(words) < 100 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END) AS mask FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+x(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o(taken, before, bit, letter, step) AS (
+  SELECT '', 0, 0, '', 0 UNION ALL SELECT taken || x.letter, o.before | o.bit, x.bit, x.letter, step + 1 FROM o, x WHERE ((o.before | o.bit) & x.bit) = 0),
+m AS (
+  SELECT part, taken, letter, step, count(*) FILTER ((mask & (before | bit)) = 0) AS kept,
+    count(*) FILTER ((mask & bit) <> 0 AND (mask & before) = 0) AS removed, count(*) FILTER ((mask & bit) <> 0 AND (mask & before) <> 0) AS redundant,
+    count(*) FILTER (mask = bit) AS unique_fails, count(*) FILTER ((mask & bit) <> 0 AND (mask & before) = 0 AND good = 1) AS good_lost,
+    count(*) FILTER ((mask & bit) <> 0 AND (mask & before) = 0 AND toxic = 1) AS toxic_lost
+  FROM o, c WHERE step > 0 GROUP BY part, taken, letter, step),
+r AS (SELECT m.*, z.taken AS filter_order FROM m JOIN o z ON z.step = 5 AND left(z.taken, m.step) = m.taken)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_hilbert_neighbours, op2_bitsliced_top, op3_token_counts, op4_language, op5_bpe, op6_chat, op7_simhash, op8_mix, op9_main_text, op10_quality)
+    named = (op1_hilbert_neighbours, op2_bitsliced_top, op3_token_counts, op4_language, op5_bpe, op6_chat, op7_simhash, op8_mix, op9_main_text, op10_quality,
+             op11_license_scan, op13_filter_audit)
     return {f.__name__: f for f in named}
 
 
 def checks() -> dict[str, str]:
-    return {"op2_bitsliced_top": OP2_SQL, "op6_chat": OP6_SQL, "op8_mix": OP8_SQL}
+    return {"op2_bitsliced_top": OP2_SQL, "op6_chat": OP6_SQL, "op8_mix": OP8_SQL, "op11_license_scan": OP11_SQL,
+            "op13_filter_audit": OP13_SQL}
