@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrapair.llm import (bitsliced_topk, chat_grammar, filter_audit, gam_quality, hilbert_ann, license_join, ppm_langid, systematic_mix,
-                            tagpath_html, transducer_bpe, trie_counts, vptree_simhash)
+from contrapair.llm import (bitsliced_topk, chat_grammar, conversation_trie, filter_audit, gam_quality, hilbert_ann, license_join, ppm_langid,
+                            systematic_mix, tagpath_html, transducer_bpe, trie_counts, vptree_simhash)
 from contrapair.llm.common import crc_fold, table
 from contrapair.session import materialise
 
@@ -82,6 +82,10 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -173,6 +177,33 @@ FROM d LEFT JOIN base USING (row) LEFT JOIN more USING (row)
 """
 
 
+#: CRC-32 a bit at a time: each byte is followed by seven zeros, and each element shifts once.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+  lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))), 4294967295)"""
+
+OP12_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT *, sha256(length(role) || ':' || role || text) AS key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t),
+o AS (SELECT conv_id, list(struct_pack(k := key, w := words) ORDER BY turn NULLS FIRST, role, key) AS s, CAST({_CRC} % 4 AS INTEGER) AS h FROM k GROUP BY conv_id),
+c AS (
+  SELECT o.conv_id, list_concat(CASE WHEN o.h > 0 AND b.s IS NOT NULL THEN b.s[1:o.h] ELSE [] END, o.s[o.h + 1:]) AS p
+  FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 20),
+n AS (
+  SELECT conv_id, d, len(p) = d AS ends, CASE WHEN d > 0 THEN p[d].w ELSE 0 END AS words, md5(array_to_string(list_transform(p[1:d], lambda x: x.k), '')) AS node,
+    CASE WHEN d > 0 THEN md5(array_to_string(list_transform(p[1:d - 1], lambda x: x.k), '')) END AS above
+  FROM (SELECT conv_id, p, unnest(range(0, len(p) + 1)) AS d FROM c)),
+g AS (
+  SELECT node, d, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS members FROM n GROUP BY node, d),
+f AS (SELECT g.*, (SELECT count(*) FROM g x WHERE x.above = g.node AND x.d = g.d + 1) AS n_children FROM g),
+u AS (
+  SELECT n.node, n.d, count(*) FILTER (f.n_children = 0) AS n_leaves, CAST(sum((f.n_convs - 1) * f.words) AS BIGINT) AS saved_tokens
+  FROM f JOIN n ON n.conv_id = f.conv_id AND n.d <= f.d GROUP BY n.node, n.d)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, u.n_leaves, u.saved_tokens, sha256(f.members) AS ends_sha256
+FROM f JOIN u ON u.node = f.node AND u.d = f.d LEFT JOIN g p ON p.node = f.above AND p.d = f.d - 1
+"""
+
 OP13_SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
@@ -200,10 +231,10 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (op1_hilbert_neighbours, op2_bitsliced_top, op3_token_counts, op4_language, op5_bpe, op6_chat, op7_simhash, op8_mix, op9_main_text, op10_quality,
-             op11_license_scan, op13_filter_audit)
+             op11_license_scan, op12_prefix_trie, op13_filter_audit)
     return {f.__name__: f for f in named}
 
 
 def checks() -> dict[str, str]:
     return {"op2_bitsliced_top": OP2_SQL, "op6_chat": OP6_SQL, "op8_mix": OP8_SQL, "op11_license_scan": OP11_SQL,
-            "op13_filter_audit": OP13_SQL}
+            "op12_prefix_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}

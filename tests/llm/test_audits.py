@@ -1,12 +1,15 @@
 """License scans, filter audits and conversation tries against brute force and SQL, and on odd rows."""
 
+import hashlib
 import itertools
+import math
 import random
 import re
+import zlib
 
 import pytest
 
-from contrapair.llm import filter_audit, license_join, queries
+from contrapair.llm import conversation_trie, filter_audit, license_join, queries
 from tests.oracle import compare, connect
 
 SMALL = "/root/testdata/sf0.01"
@@ -17,7 +20,7 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", ["op11_license_scan", "op13_filter_audit"])
+@pytest.mark.parametrize("name", ["op11_license_scan", "op12_prefix_trie", "op13_filter_audit"])
 def test_queries_match_sql(spark, con, name):
     message, rows = compare(spark, con, SMALL, queries.queries()[name], queries.checks()[name])
     assert message == "" and rows
@@ -137,3 +140,65 @@ def test_filter_audit_without_rows(spark):
     assert filter_audit.audit(docs, labels).collect() == []
     one = spark.createDataFrame([(1, "a", "en")], docs.schema)
     assert filter_audit.audit(one, labels).count() == 600
+
+
+# conversation tries
+
+def brute_trie(turns):
+    own = {}
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest()
+            own.setdefault(conv, []).append((turn is not None, turn or 0, role, digest, text))
+    own = {c: [(t[2], t[4]) for t in sorted(ts)] for c, ts in own.items()}
+    paths = {}
+    for c, ts in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        paths[c] = tuple(own.get(c - int(math.fmod(c, 20)), [])[:h] + ts[h:])
+    nodes = {}
+    for c, p in paths.items():
+        for d in range(len(p) + 1):
+            nodes.setdefault(p[:d], []).append(c)
+    out = []
+    for node, members in nodes.items():
+        below = [m for m in nodes if m[:len(node)] == node]
+        leaves = [m for m in below if not any(x[:-1] == m for x in nodes if x)]
+        saved = sum((len(nodes[m]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", m[-1][1])) for m in below if m)
+        ends = ",".join(str(c) for c in sorted(members) if paths[c] == node)
+        out.append((min(members), len(node), min(nodes[node[:-1]]) if node else None, len(members), sum(x[:-1] == node for x in nodes if x), len(leaves), saved,
+                    hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(map(repr, out))
+
+
+def some_turns(rng, n):
+    said = ["", "hello", "hello there", "how are  you", None, "x\n y", "hello"]
+    out = []
+    for c in range(n):
+        conv = rng.choice([c, c, c, -c, 20 * c])
+        out += [(conv, t if rng.random() > 0.1 else None, rng.choice(["user", "assistant"]) if rng.random() > 0.1 else None, rng.choice(said)) for t in range(rng.randrange(1, 6))]
+    first = [(0, t, "user", f"long {t}") for t in range(30)]
+    copies = [(1000 + c, t, "user", "same words") for c in range(120) for t in range(3)]
+    return out + first + copies + [(None, 1, "user", "nobody"), (7, 3, "user", "twice"), (7, 3, "user", "twice")]
+
+
+@pytest.mark.parametrize("shard_turns", [None, 7, 40, 10**9])
+def test_prefix_trie_is_brute_force(spark, monkeypatch, shard_turns):
+    monkeypatch.setattr(conversation_trie, "ENDS_A_ROW", 3)
+    turns = some_turns(random.Random(6), 90)
+    rows = [(*t, "clash", 1, 2) for t in turns]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node string, depth int, id int").repartition(5)
+    if shard_turns == 7:
+        paths = conversation_trie.rebuilt(conversation_trie.conversations(table, "conv_id", "turn", "role", "text"))
+        cuts = conversation_trie.splitters(paths, 7)
+        assert len(cuts) > 5 and len({p for p, _ in cuts}) < len(cuts) and cuts == sorted(cuts)  # the copies lie in several shards
+    got = conversation_trie.prefix_trie(table, shard_turns=shard_turns)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == brute_trie(turns)
+
+
+def test_prefix_trie_of_one_and_of_none(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert conversation_trie.prefix_trie(spark.createDataFrame([], schema)).collect() == []
+    turns = [(21, 0, "user", "word " * 50000)]
+    for t in (turns, [(c, None, None, None) for c in (41, 42, 43)]):
+        assert sorted(repr(tuple(r)) for r in conversation_trie.prefix_trie(spark.createDataFrame(t, schema)).collect()) == brute_trie(t)
