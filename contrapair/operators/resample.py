@@ -6,9 +6,7 @@ aggregated to the resampling level before any replicate is formed.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrapair.functions.critical import normal_cdf_udf, normal_quantile_udf
@@ -16,71 +14,8 @@ from contrapair.functions.hashing import P, hash_sign, portable_hash
 from contrapair.functions.ordered import with_rank
 from contrapair.functions.vectors import safe_div
 from contrapair.operators.contrasts import max_arm_limit, symmetric_parts, two_arms
-
-SCALE = 10**9
-MAX_EXACT = 24
-
-
-def scaled(c: Column, scale: int = SCALE) -> Column:
-    """Whole-number form of a mean, so that equal sums compare equal in any order of addition.
-
-    The thousandth keeps exact halves on one side whatever their last bit.
-    """
-    return F.round(c * scale + 0.001).cast("long")
-
-
-def masks(spark: SparkSession, k: int) -> DataFrame:
-    """All 2^k assignments, spread over as many tasks as their number warrants."""
-    if k > MAX_EXACT:
-        raise ValueError(f"2^{k} assignments are not enumerable; use the Monte-Carlo test")
-    parts = max(1, min(4096, (1 << k) >> 16))
-    return spark.range(0, 1 << k, 1, parts).select(F.col("id").alias("mask"))
-
-
-def bit(mask: Column, i: int) -> Column:
-    return F.shiftright(mask, i).bitwiseAND(F.lit(1))
-
-
-def _bit_sum(values: Column, mask: Column, k: int) -> Column:
-    """Sum of the packed values whose bit is set: k plain additions that compile to a loop-free expression."""
-    return reduce(lambda a, b: a + b, [bit(mask, i) * values[i] for i in range(k)])
-
-
-def sign_flip(means: DataFrame, group: str, order: str, value: str, scale: int = SCALE) -> DataFrame:
-    """Exact one-sided sign-flip p of each group's mean over all 2^k sign assignments."""
-    spark = means.sparkSession
-    rows = means.groupBy(group).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), scaled(F.col(value), scale).alias("v")))).alias("a"), F.count(F.lit(1)).alias("k"))
-    rows = rows.select(group, F.transform("a", lambda s: s["v"]).alias("v"), "k")
-    top = rows.agg(F.max("k")).first()[0]
-    pack = rows.agg(F.collect_list(F.struct(group, "v", "k")))
-    x = masks(spark, top).select("mask", F.inline(pack.scalar())).where(F.col("mask") < F.pow(F.lit(2.0), F.col("k")).cast("long"))
-    padded = F.concat("v", F.array_repeat(F.lit(0).cast("long"), (F.lit(top) - F.col("k")).cast("int")))
-    x = x.withColumn("v", padded)
-    # flipped sum >= observed sum  <=>  sum over the flipped (unset) bits <= 0
-    total = F.aggregate("v", F.lit(0).cast("long"), lambda a, b: a + b)
-    hit = _bit_sum(F.col("v"), F.col("mask"), top) >= total
-    return x.groupBy(group).agg(
-        F.max("k").alias("k"), F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("assignments")
-    ).withColumns({"p": F.col("hits") / F.col("assignments"), "floor": 1 / F.col("assignments")})
-
-
-def label_permutation(means: DataFrame, arm: str, order: list[str], value: str, first: str = "A") -> DataFrame:
-    """Exact one-sided p of the difference of arm means over all relabellings with the same arm sizes.
-
-    With fixed sizes the difference grows with the sum over arm A, so only that sum is compared.
-    """
-    spark = means.sparkSession
-    rows = means.agg(
-        F.array_sort(F.collect_list(F.struct(*order, scaled(F.col(value)).alias("v")))).alias("a"),
-        F.count_if(F.col(arm) == first).alias("na"), F.sum(F.when(F.col(arm) == first, scaled(F.col(value)))).alias("obs"), F.count(F.lit(1)).alias("n"))
-    one = rows.select(F.struct(F.transform("a", lambda s: s["v"]).alias("v"), "na", "obs", "n").alias("r"))
-    n = rows.select("n").first()[0]
-    x = masks(spark, n).select("mask", one.scalar().alias("r")).where(F.bit_count("mask") == F.col("r.na"))
-    hit = _bit_sum(F.col("r.v"), F.col("mask"), n) >= F.col("r.obs")
-    return x.agg(
-        F.max("r.n").alias("n"), F.max("r.na").alias("n_first"), F.count(F.lit(1)).alias("relabellings"), F.count_if(hit).alias("hits")
-    ).withColumns({"p": F.col("hits") / F.col("relabellings"), "floor": 1 / F.col("relabellings")})
+from contrapair.operators.exact import SCALE, label_permutation, scaled, sign_flip, swap_counts  # noqa: F401
+from contrapair.session import materialise
 
 
 def prediction_permutation(pairs: DataFrame, key: str, predicted: str, observed: str) -> DataFrame:
@@ -162,23 +97,15 @@ def seed_pair_relabelling(pairs: DataFrame, cond: str, seed: str, value: str, n_
 
     Pairs sharing a seed are left out; under every swap the two kinds keep their counts.
     """
-    spark = pairs.sparkSession
     x = pairs.where(F.col(f"{seed}_x") != F.col(f"{seed}_y")).select(
         F.col(f"{seed}_x").cast("int").alias("sx"), F.col(f"{seed}_y").cast("int").alias("sy"),
         (F.col(f"{cond}_x") == F.col(f"{cond}_y")).alias("same"), scaled(F.col(value)).alias("v"))
     # swapping exactly one of the two seeds turns same-label into cross-label
-    g = x.groupBy("sx", "sy").agg(F.sum(F.when(F.col("same"), F.col("v")).otherwise(-F.col("v"))).alias("d"))
-    n = x.agg(F.count_if("same").alias("same"))
-    pack = g.agg(F.collect_list(F.struct("sx", "sy", "d")))
-    y = masks(spark, n_seeds).select("mask", F.inline(pack.scalar()))
-    at = [F.call_function("shiftright", F.col("mask"), F.col(c)) for c in ("sx", "sy")]
-    flip = at[0].bitwiseXOR(at[1]).bitwiseAND(F.lit(1))
-    s = y.groupBy("mask").agg(F.sum(F.col("d") * (1 - 2 * flip)).alias("s"))
-    obs = s.where("mask = 0").select("s")
-    z = s.select("s", obs.scalar().alias("obs"), n.scalar().alias("n"))
-    return z.agg(
-        F.max(F.col("obs") / F.col("n") / SCALE).alias("d"), F.count(F.lit(1)).alias("relabellings"), F.count_if(F.col("s") >= F.col("obs")).alias("hits")
-    ).withColumn("p", F.col("hits") / F.col("relabellings"))
+    signed = F.when(F.col("same"), F.col("v")).otherwise(-F.col("v"))
+    g = materialise(x.groupBy("sx", "sy").agg(F.sum(signed).alias("d"), F.count_if("same").alias("same")))
+    facts = g.agg((F.sum("d") / F.sum("same") / SCALE).alias("d"))
+    return swap_counts(g.select("sx", "sy", "d"), n_seeds).select(facts.scalar().alias("d"), "relabellings", "hits").withColumn(
+        "p", F.col("hits") / F.col("relabellings"))
 
 
 def cluster_draws(clusters: DataFrame, arm: str, place: str, k: str, reps: int, salt: int) -> DataFrame:
