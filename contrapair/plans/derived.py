@@ -67,10 +67,10 @@ def wide(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("tag", "gen_idx", arm.alias("arm"), "seed", "rho_A", "rho_B", "rho_C", "rho_D")
 
 
-def long(spark: SparkSession, sf: str) -> DataFrame:
-    """tag, gen_idx, K, rho for five candidates."""
+def long(spark: SparkSession, sf: str, candidates: list[str] = CANDIDATES) -> DataFrame:
+    """tag, gen_idx, K, rho for five candidates, or for some of them."""
     w = wide(spark, sf).withColumn("rho_E", (F.col("rho_A") + F.col("rho_B")) / 2)
-    pairs = F.array(*[F.struct(F.lit(k).alias("K"), F.col(f"rho_{k}").alias("rho")) for k in CANDIDATES])
+    pairs = F.array(*[F.struct(F.lit(k).alias("K"), F.col(f"rho_{k}").alias("rho")) for k in candidates])
     return w.select("tag", "arm", "seed", "gen_idx", F.inline(pairs))
 
 

@@ -28,7 +28,7 @@ def lean(spark, sf):
     The difference of the two candidates is averaged first and given its own-minus-other sign
     per adapter, so tags are parsed once per adapter and not once per row.
     """
-    x = d.long(spark, sf).select("tag", "gen_idx", "K", "rho").where(F.col("K").isin(d.ARMS))
+    x = d.long(spark, sf, d.ARMS).select("tag", "gen_idx", "K", "rho")
     diff = cn.paired_contrast(x, ["tag", "gen_idx"], "K", "rho", F.lit("A"), F.lit("B"))
     per = cn.parse_tag(diff.groupBy("tag").agg(F.avg("c").alias("m"), F.count(F.lit(1)).alias("n")))
     per = per.where(F.col("arm").isin(d.ARMS))
@@ -49,7 +49,8 @@ view("v_lean", f"""SELECT arm, k, n_items, theta, theta + {t995_sql('k - 1')} *
 def lean_report(spark, sf):
     """Is there an own-candidate lean, what is its 99 % upper limit, and what is the exact p?"""
     _, arms, both = lean(spark, sf)
-    x = arms.select("arm", "k", "n_items", "theta", "u99", "p", "floor", *[both.select(c).scalar().alias(c) for c in ("theta_sym", "additive", "u_max")])
+    one = both.select(F.struct("theta_sym", "additive", "u_max").alias("b"))
+    x = arms.select("arm", "k", "n_items", "theta", "u99", "p", "floor", one.scalar().alias("b")).select("*", "b.*").drop("b")
     x = x.withColumn("reading", F.when((F.col("p") <= 0.01) & (F.col("theta") > 0), "lean").otherwise("no lean"))
     return fix(x, 9, "theta", "u99", "p", "floor", "theta_sym", "additive", "u_max")
 

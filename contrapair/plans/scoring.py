@@ -68,13 +68,9 @@ def component_scores(spark, sf):
     })
     packed = parts.groupBy("device").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "kd", "kp"))).alias("a"))
     bank = materialise(packed.select(F.col("device").alias("K"), F.col("a.k").alias("tk"), F.col("a.kd").alias("kd"), F.col("a.kp").alias("kp")))
-    x = op.beside(op.item_sums(items), bank, "tk")
-    sums = F.col("__sw"), F.col("__sww")
-    return x.select(
-        "vec_id", "K", rounded(op.ncc(F.col("w"), F.col("tk"), *sums), 6).alias("rho_add"),
-        rounded(op.ncc(F.col("w"), V.times(F.col("y"), F.col("kd")), *sums), 6).alias("rho_def"),
-        rounded(op.ncc(F.col("w"), V.times(F.col("y"), F.col("kp")), *sums), 6).alias("rho_prnu"),
-    )
+    sums = op.pair_sums(items, bank, {"add": ("tk", False), "def": ("kd", True), "prnu": ("kp", True)})
+    x = op.correlations(sums, rho_add="add", rho_def="def", rho_prnu="prnu")
+    return x.select("vec_id", "K", *[rounded(c, 6).alias(c) for c in ("rho_add", "rho_def", "rho_prnu")])
 
 
 @query("d3_many_templates", oracle(f"""SELECT split, K, t_split, count(*) AS n, {r('avg(rho)', 6)} AS rho FROM
@@ -139,6 +135,22 @@ def peak_energy(spark, sf):
     return peaks(spark, sf).select("vec_id", "device", "K", rounded("pce0", 4).alias("pce0"), rounded("pce_max", 4).alias("pce_max"), "shift")
 
 
+GRID = 8
+view("v_surface2", f"""SELECT x.vec_id, x.device, x.K, s.s, sum(y.a * x.b) AS c FROM v_unit2 x, range(0, 64) s(s), v_unit2 y
+    WHERE y.vec_id = x.vec_id AND y.K = x.K AND y.pos = (x.pos // {GRID} + s.s // {GRID}) % {GRID} * {GRID} + (x.pos % {GRID} + s.s % {GRID}) % {GRID} GROUP BY ALL""")
+view("v_peak2", f"""SELECT vec_id, device, K, max(c) FILTER (s = 0) AS c0, max_by(c, abs(c)) AS cm, max_by(s, abs(c)) AS shift,
+    avg(c * c) FILTER (least(s // {GRID}, {GRID} - s // {GRID}) > 1 OR least(s % {GRID}, {GRID} - s % {GRID}) > 1) AS e FROM v_surface2 GROUP BY vec_id, device, K""")
+
+
+@query("d6_peak_energy_2d", oracle(f"""SELECT vec_id, device, K, {r('sign(c0) * c0 * c0 / e', 4)} AS pce0, {r('sign(cm) * cm * cm / e', 4)} AS pce_max,
+    shift // {GRID} AS shift_row, shift % {GRID} AS shift_col FROM v_peak2"""))
+def peak_energy_2d(spark, sf):
+    """The vectors as square fields: the surface over both displacements, with an exclusion zone of 3 x 3 on the torus."""
+    items, t = held_out_and_templates(spark, sf)
+    x = op.peak_energy(op.beside(items, as_templates(t), "tk"), exclude=3, width=GRID)
+    return x.select("vec_id", "device", "K", rounded("pce0", 4).alias("pce0"), rounded("pce_max", 4).alias("pce_max"), "shift_row", "shift_col")
+
+
 @query("d7_shift_residues", oracle(f"""SELECT device, K, {r('avg((shift % 8 = 0)::INT)')} AS mod8, {r('avg((shift % 16 = 0)::INT)')} AS mod16,
     count(*) AS n, count(*) FILTER (shift = 0) AS at_zero, {r('0.125')} AS chance8, {r('0.0625')} AS chance16 FROM v_peak GROUP BY device, K"""))
 def shift_residues(spark, sf):

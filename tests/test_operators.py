@@ -138,15 +138,6 @@ def test_signature_and_scores_match_numpy(spark, near):
     near(got[3]["rho_add"], np.corrcoef(w[3], want)[0, 1], 1e-9)
 
 
-def test_templates_in_several_chunks_give_the_same_scores(spark, monkeypatch):
-    items = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(4)], "id int, y array<double>").withColumn("w", F.col("y"))
-    t = spark.createDataFrame([(f"k{j}", [1.0, float(j), 3.0]) for j in range(9)], "K string, tk array<double>")
-    one = {(r["id"], r["K"]): r["rho_mult"] for r in sc.score(items, t).collect()}
-    monkeypatch.setattr(sc, "CHUNK_BYTES", 60)
-    many = {(r["id"], r["K"]): r["rho_mult"] for r in sc.score(items, t).collect()}
-    assert one == many and len(one) == 36
-
-
 def test_grid_centring_and_band_map(spark):
     rng = np.random.default_rng(1)
     k = rng.normal(size=(4, 8))
