@@ -6,6 +6,7 @@ partitioning, retries or cluster size. x -> x^5 is a permutation modulo P.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +21,13 @@ def portable_hash(item: Column, rep: Column, salt: int) -> Column:
     return x4 * x % P
 
 
+def hash_array(item: np.ndarray, rep: np.ndarray, salt: int) -> np.ndarray:
+    """portable_hash of whole arrays of non-negative numbers, inside a task."""
+    x = (item.astype(np.int64) % P * _ID + rep.astype(np.int64) % _REP_MOD * _REP + salt) % P
+    x2 = x * x % P
+    return x2 * x2 % P * x % P
+
+
 def hash_sign(item: Column, rep: Column, salt: int) -> Column:
     """-1 or +1."""
     bit = F.shiftright(portable_hash(item, rep, salt), 16).bitwiseAND(F.lit(1))

@@ -116,22 +116,6 @@ def cluster_draws(clusters: DataFrame, arm: str, place: str, k: str, reps: int,
     return x.select(arm, "rep", "slot", drawn.alias(place))
 
 
-def hierarchical_means(items: DataFrame, draws: DataFrame, arm: str, tag: str, place: str, values: list[str], salt: int, shared: bool = False) -> DataFrame:
-    """Mean of each drawn cluster's own resample of items: (arm, rep, slot, tag, values...).
-    With shared=True all slots of a replicate use the same resampled places.
-
-    items: arm, tag, place (cluster number), rn, n, values. A slot's i-th draw takes place
-    h(i, rep, slot) mod n + 1 of the cluster; items meet their draws on (tag, rn), so the
-    join spreads over all items however large one cluster is.
-    """
-    lots = items.select(arm, tag, place, "rn", "n").join(draws, [arm, place])
-    own_draws = F.col("slot") * 2 + F.when(F.col(arm) == "A", 0).otherwise(1)
-    stream = F.col("rep") * 1000 + (F.lit(0) if shared else own_draws)
-    lots = lots.select(arm, "rep", "slot", tag, (portable_hash(F.col("rn"), stream, salt) % F.col("n") + 1).alias("rn"))
-    x = lots.join(items.select(tag, "rn", *values), [tag, "rn"])
-    return x.groupBy(arm, "rep", "slot", tag).agg(*[F.avg(v).alias(v) for v in values])
-
-
 def limits_by_replicate(slots: DataFrame, arm: str, value: str) -> DataFrame:
     """rep, theta_sym, additive, u_max."""
     return max_arm_limit(symmetric_parts(two_arms(slots, arm, value, ["rep"])))
@@ -223,6 +207,18 @@ def attribution_margins(cells: DataFrame, main: DataFrame, tag: str, own: str, c
     return x.groupBy(tag, own).agg((F.max(F.when(~mine, F.col("__c"))) - F.max(F.when(mine, F.col("__c")))).alias("margin"))
 
 
+def accuracy_at_shifts(margins: DataFrame, keys: list[str], rep: str, margin: str, shifts: list[float]) -> DataFrame:
+    """keys, shift, reps, accuracy, low, high: share of units whose margin lies below each shift, with its 95 % range over replicates.
+
+    All shifts are conditional means of one aggregation; units are not repeated for them.
+    """
+    per = margins.groupBy(*keys, rep).agg(F.array(*[
+        F.struct(F.lit(float(s)).alias("shift"), F.avg((F.col(margin) < s).cast("double")).alias("a")) for s in shifts]).alias("s"))
+    x = per.select(*keys, rep, F.inline("s"))
+    return x.groupBy(*keys, "shift").agg(F.count(F.lit(1)).alias("reps"), F.avg("a").alias("accuracy"),
+                                         F.percentile("a", F.lit(0.025)).alias("low"), F.percentile("a", F.lit(0.975)).alias("high"))
+
+
 def hashed_subsets(items: DataFrame, tag: str, uid: Column, value: str, size: int, reps: int, salt: int) -> DataFrame:
     """Mean of `size` items per adapter and replicate, the ones of smallest hash.
 

@@ -129,22 +129,6 @@ def defect_split(sig: DataFrame, keys: list[str], value: str = "k", factor: floa
     return y.select(*keys, "pos", value, (F.col("__d") > F.lit(factor) * F.col("__mad") / 0.6745).alias("defect"))
 
 
-def bootstrap_multiplicities(
-    items: DataFrame, group: str, rn: str, n: str, reps: int, salt: int, stream: Column | None = None
-) -> DataFrame:
-    """How often replicate `rep` draws the item in place rn of its group: (group, rep, rn, m).
-
-    Slot s of a group of n draws place h(s, rep) mod n. Slots are the items' own places, so
-    drawing is one narrow pass, and counting shuffles by (group, rep, place). `stream`, a whole
-    number, gives groups independent draws; without it they share one resampled index.
-    """
-    st = F.lit(0).cast("long") if stream is None else stream.cast("long")
-    x = items.select(group, rn, n, st.alias("__stream"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    key = F.col("rep") if stream is None else F.col("rep") + F.col("__stream") * 1009
-    place = portable_hash(F.col(rn), key, salt) % F.col(n) + 1
-    return x.groupBy(group, "rep", place.alias(rn)).agg(F.count(F.lit(1)).alias("m"))
-
-
 def band_matrix(size: int, low: int, high: int) -> list[list[float]]:
     """Keep frequencies low..high of the orthonormal cosine transform, as one linear map."""
     k = np.arange(size)[:, None]

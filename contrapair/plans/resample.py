@@ -10,9 +10,11 @@ from contrapair.functions.hashing import P, hash_sign_sql, portable_hash_sql
 from contrapair.functions.ordered import with_rank
 from contrapair.operators import contrasts as cn
 from contrapair.operators import models as md
+from contrapair.operators import poisson
 from contrapair.operators import resample as op
 from contrapair.operators import scoring as sc
 from contrapair.operators import signatures as sg
+from contrapair.operators.poisson import item_copies_sql
 from contrapair.operators.splits import of_next_device
 from contrapair.plans import contrasts as pc
 from contrapair.plans import derived as d
@@ -105,14 +107,12 @@ STREAM = "CASE WHEN arm = 'A' THEN 0 ELSE 1 END"
 view("v_ranked", """SELECT arm, tag, seed, c, gen_idx, row_number() OVER (PARTITION BY tag ORDER BY gen_idx) AS rn, count(*) OVER (PARTITION BY tag) AS n FROM v_con""")
 view("v_clusters", "SELECT arm, tag, seed, theta, row_number() OVER (PARTITION BY arm ORDER BY seed) AS place, count(*) OVER (PARTITION BY arm) AS k FROM v_adapter")
 view("v_draws", f"SELECT arm, rep, place AS slot, {portable_hash_sql('place', f'(rep * 2 + {STREAM})', 51)} % k + 1 AS drawn FROM v_clusters, range(0, {BOOT}) t(rep)")
-view("v_slots", f"""SELECT l.arm, l.rep, l.slot, avg(i.c) AS theta FROM (SELECT d.arm, d.rep, d.slot, q.tag,
-    {portable_hash_sql('q.rn', f'(d.rep * 1000 + d.slot * 2 + {STREAM.replace("arm", "d.arm")})', 53)} % q.n + 1 AS rn FROM v_draws d JOIN v_clusters k ON k.arm = d.arm AND k.place = d.drawn
-    JOIN v_ranked q ON q.tag = k.tag) l JOIN v_ranked i ON i.tag = l.tag AND i.rn = l.rn GROUP BY l.arm, l.rep, l.slot""")
+view("v_slots", f"""SELECT arm, rep, slot, sum(m * c) / nullif(sum(m), 0) AS theta FROM (SELECT d.arm, d.rep, d.slot, q.c,
+    {item_copies_sql('q.gen_idx', 'd.rep', '(d.slot * 2 + ' + STREAM.replace('arm', 'd.arm') + ')', 53)} AS m FROM v_draws d JOIN v_clusters k ON k.arm = d.arm AND k.place = d.drawn
+    JOIN v_con q ON q.tag = k.tag) GROUP BY arm, rep, slot""")
 view("v_two_rep", pc.two_sql("v_slots").replace("SELECT ", "SELECT rep, ", 1) + " GROUP BY rep")
-view("v_real_rank", "SELECT *, row_number() OVER (PARTITION BY role ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY role) AS n FROM v_real")
-view("v_real_boot", f"""SELECT rep, (avg(m) FILTER (role = 'A') + avg(m) FILTER (role = 'B')) / 2 AS r FROM (SELECT x.role, x.rep, avg(y.c) AS m FROM
-    (SELECT role, rep, {portable_hash_sql('rn', "(rep * 2 + CASE WHEN role = 'A' THEN 0 ELSE 1 END)", 57)} % n + 1 AS rn FROM v_real_rank, range(0, {BOOT}) t(rep)) x JOIN v_real_rank y USING (role, rn)
-    GROUP BY x.role, x.rep) GROUP BY rep""")
+view("v_real_boot", f"""SELECT rep, (avg(m) FILTER (role = 'A') + avg(m) FILTER (role = 'B')) / 2 AS r FROM (SELECT role, rep, sum(m * c) / sum(m) AS m FROM
+    (SELECT role, c, rep, {item_copies_sql('vec_id', 'rep', None, 57)} AS m FROM v_real, range(0, {BOOT}) t(rep)) GROUP BY role, rep) GROUP BY rep""")
 
 
 def ranked_items(spark, sf, values=None):
@@ -130,26 +130,27 @@ def ranked_items(spark, sf, values=None):
     return materialise(with_rank(x, ["tag"], ["gen_idx"]).join(n.drop("arm"), "tag")), n
 
 
+def clusters(spark, sf):
+    """arm, tag, place of the adapters of arms A and B, in order of their seeds."""
+    from pyspark.sql import Window
+
+    n = d.lines(spark, sf).where(F.col("arm").isin(d.ARMS)).groupBy("arm", "tag").agg(F.min("seed").alias("s"))
+    return materialise(n.select("arm", "tag", F.row_number().over(Window.partitionBy("arm").orderBy("s")).alias("place")))
+
+
 def real_bootstrap(spark, sf):
     """Denominator of each replicate from resampled held-out items."""
     real = materialise(pc.real_contrasts(spark, sf).select("role", "vec_id", "c"))
-    n = real.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
-    x = with_rank(real, ["role"], ["vec_id"]).join(n, "role")
-    st = F.when(F.col("role") == "A", 0).otherwise(1)
-    slots = x.select("role", "rn", "n", F.explode(F.sequence(F.lit(0), F.lit(BOOT - 1))).alias("rep"))
-    from contrapair.functions.hashing import portable_hash
-
-    drawn = slots.select("role", "rep", (portable_hash(F.col("rn"), F.col("rep") * 2 + st, 57) % F.col("n") + 1).alias("rn"))
-    m = drawn.join(x.select("role", "rn", "c"), ["role", "rn"]).groupBy("role", "rep").agg(F.avg("c").alias("m"))
-    boot = m.groupBy("rep").agg(((F.avg(F.when(F.col("role") == "A", F.col("m"))) + F.avg(F.when(F.col("role") == "B", F.col("m")))) / 2).alias("r"))
+    m = poisson.poisson_means(real, ["role"], "vec_id", ["c"], BOOT, 57)
+    boot = m.groupBy("rep").agg(((F.avg(F.when(F.col("role") == "A", F.col("c"))) + F.avg(F.when(F.col("role") == "B", F.col("c")))) / 2).alias("r"))
     return boot, cn.denominator(real, "role", "c")
 
 
 def hierarchical(spark, sf):
     """rep, theta_sym, u_max, r, lambda_hat, lambda_u."""
-    items, clusters = ranked_items(spark, sf)
-    draws = op.cluster_draws(clusters, "arm", "place", "k", BOOT, 51)
-    slots = op.hierarchical_means(items, draws, "arm", "tag", "place", ["c"], 53)
+    places = clusters(spark, sf)
+    items = d.contrasts(spark, sf).join(places.select("tag", "place"), "tag")
+    slots = poisson.hierarchical_means(items, places, "arm", "tag", "place", "gen_idx", ["c"], BOOT, 51, 53)
     boot, den = real_bootstrap(spark, sf)
     x = op.limits_by_replicate(slots, "arm", "c").join(boot, "rep")
     return materialise(x.withColumns({"lambda_hat": F.col("theta_sym") / F.col("r"), "lambda_u": F.col("u_max") / F.col("r")})), den
@@ -224,14 +225,36 @@ def shared_index_bootstrap(spark, sf):
 CANDS = [f"rho_{k}" for k in d.CANDIDATES]
 
 
-@query("f10_attribution_bootstrap")
+SHIFT_GRID = [-0.01, -0.002, 0.0, 0.002, 0.01, 0.02, 0.05]
+view("v_wide_e", "SELECT *, (rho_A + rho_B) / 2 AS rho_E FROM v_wide WHERE arm IN ('A', 'B')")
+view("v_draws10", f"SELECT arm, rep, place AS slot, {portable_hash_sql('place', f'(rep * 2 + {STREAM})', 71)} % k + 1 AS drawn FROM v_clusters, range(0, {BOOT}) t(rep)")
+
+
+def _attributed(scheme: str, stream: str) -> dict[str, str]:
+    means = ", ".join(f"sum(m * {c}) / sum(m) AS {c}" for c in CANDS)
+    return {
+        f"mean_{scheme}": f"""SELECT arm, rep, slot, {means} FROM (SELECT x.arm, x.rep, x.slot, q.* EXCLUDE (arm), {item_copies_sql('q.gen_idx', 'x.rep', stream, 73)} AS m
+            FROM v_draws10 x JOIN v_clusters k ON k.arm = x.arm AND k.place = x.drawn JOIN v_wide_e q ON q.tag = k.tag) GROUP BY arm, rep, slot""",
+        f"long_{scheme}": " UNION ALL ".join(f"SELECT arm, rep, slot, '{k}' AS K, rho_{k} AS v FROM mean_{scheme}" for k in d.CANDIDATES),
+        f"margin_{scheme}": f"""SELECT rep, arm, slot, max(v - b) FILTER (K <> arm) - max(v - b) FILTER (K = arm) AS margin FROM long_{scheme} JOIN
+            (SELECT rep, K, avg(v) AS b FROM long_{scheme} WHERE K <> arm GROUP BY rep, K) USING (rep, K) GROUP BY rep, arm, slot""",
+    }
+
+
+_F10 = {**_attributed("independent", "(x.slot * 2 + " + STREAM.replace("arm", "x.arm") + ")"), **_attributed("shared", "0")}
+
+
+@query("f10_attribution_bootstrap", oracle(f"""SELECT scheme, shift, count(*) AS reps, {rs(8, accuracy='avg(a)', low='quantile_cont(a, 0.025)', high='quantile_cont(a, 0.975)')} FROM
+    (SELECT scheme, shift, rep, avg((margin < shift)::INT) AS a FROM (SELECT 'independent' AS scheme, * FROM margin_independent UNION ALL SELECT 'shared', * FROM margin_shared),
+    (VALUES {', '.join(f'({x}::DOUBLE)' for x in SHIFT_GRID)}) t(shift) GROUP BY scheme, shift, rep) GROUP BY scheme, shift""", **_F10))
 def attribution_bootstrap(spark, sf):
-    """Two-stage bootstrap of corrected attribution, with independent and with shared item draws."""
-    items, clusters = ranked_items(spark, sf, CANDS)
-    draws = materialise(op.cluster_draws(clusters, "arm", "place", "k", BOOT, 71))
+    """Two-stage bootstrap of corrected attribution at every shift of a grid, with independent and with shared item draws."""
+    places = clusters(spark, sf)
+    wide = d.wide(spark, sf).where(F.col("arm").isin(d.ARMS)).withColumn("rho_E", (F.col("rho_A") + F.col("rho_B")) / 2)
+    items = materialise(wide.join(places.select("tag", "place"), "tag"))
     parts = []
     for scheme, shared in (("independent", False), ("shared", True)):
-        m = op.hierarchical_means(items, draws, "arm", "tag", "place", CANDS, 73, shared)
+        m = poisson.hierarchical_means(items, places, "arm", "tag", "place", "gen_idx", CANDS, BOOT, 71, 73, shared)
         pairs = F.array(*[F.struct(F.lit(k).alias("K"), F.col(f"rho_{k}").alias("v")) for k in d.CANDIDATES])
         parts.append(m.select(F.lit(scheme).alias("scheme"), "rep", F.col("arm").alias("own"), F.concat_ws("#", "tag", "slot").alias("unit"), F.inline(pairs)))
     x = materialise(sg.union_all(parts))
@@ -239,8 +262,8 @@ def attribution_bootstrap(spark, sf):
     y = x.join(b, ["scheme", "rep", "K"]).withColumn("c", F.col("v") - F.col("b"))
     mine = F.col("K") == F.col("own")
     z = y.groupBy("scheme", "rep", "own", "unit").agg((F.max(F.when(~mine, F.col("c"))) - F.max(F.when(mine, F.col("c")))).alias("margin"))
-    acc = z.groupBy("scheme", "rep").agg(F.avg((F.col("margin") < 0).cast("double")).alias("a"))
-    return acc.groupBy("scheme").agg(F.count(F.lit(1)).alias("reps"), F.avg("a").alias("accuracy"), F.percentile("a", F.lit(0.025)).alias("low"), F.percentile("a", F.lit(0.975)).alias("high"))
+    out = op.accuracy_at_shifts(z, ["scheme"], "rep", "margin", SHIFT_GRID)
+    return fix(out, 8, "accuracy", "low", "high")
 
 
 BLOCK = 50

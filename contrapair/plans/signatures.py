@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contrapair.functions.hashing import portable_hash_sql
+from contrapair.operators import poisson
 from contrapair.operators import signatures as op
+from contrapair.operators.poisson import item_copies_sql
 from contrapair.operators.splits import estimate_variants
 from contrapair.plans import derived as d
 from contrapair.plans.registry import query
@@ -70,32 +71,19 @@ def defect_split(spark, sf):
 
 
 REPS = 6
-STREAM = "device::BIGINT"
-view("v_e2rank", """SELECT *, row_number() OVER (PARTITION BY device ORDER BY vec_id) AS ern, count(*) OVER (PARTITION BY device) AS en
-    FROM v_vec WHERE split = 'E2'""")
-view("v_mult", f"""SELECT device, rep, {portable_hash_sql('ern', f'(rep + {STREAM} * 1009)', 23)} % en + 1 AS ern, count(*) AS m
-    FROM v_e2rank, range(0, {REPS}) t(rep) GROUP BY ALL""")
-view("v_bootsig", """SELECT rep, device, pos, sum(m * w * y) / greatest(sum(m * y * y), 1e-6) AS k
-    FROM v_planted JOIN v_e2rank USING (vec_id, device) JOIN v_mult USING (device, ern) GROUP BY rep, device, pos""".replace(
-    "v_planted JOIN v_e2rank USING (vec_id, device)",
-    "(SELECT p.vec_id, p.device, p.pos, p.w, p.y, e.ern FROM v_planted p JOIN v_e2rank e ON p.vec_id = e.vec_id)"))
+view("v_bootsig", f"""SELECT rep, device, pos, sum(m * w * y) / greatest(sum(m * y * y), 1e-6) AS k FROM
+    (SELECT *, {item_copies_sql('vec_id', 'rep', None, 23)} AS m FROM v_planted, range(0, {REPS}) t(rep) WHERE split = 'E2') GROUP BY rep, device, pos""")
 
 
 def bootstrap_signatures(x, reps=REPS):
-    """Signatures of each bootstrap replicate of the E2 items: one aggregation for all replicates."""
-    from contrapair.functions.ordered import with_rank
-
-    e2 = x.where("split = 'E2'")
-    n = e2.groupBy("device").agg(F.count(F.lit(1)).alias("en"))
-    ranked = with_rank(e2.drop("rn", "n"), ["device"], ["vec_id"], "ern").join(n, "device")
-    m = op.bootstrap_multiplicities(ranked, "device", "ern", "en", reps, 23, F.col("device"))
-    return op.multiplicative(ranked.join(m, ["device", "ern"]), ["rep", "device"], weight="m")
+    """Signatures of each bootstrap replicate of the E2 items: one pass for all replicates."""
+    return poisson.bootstrap_signatures(x.where("split = 'E2'"), "device", "vec_id", "y", "w", reps, 23)
 
 
 @query("c7_bootstrap_signatures", oracle(f"SELECT rep, device, pos, {r('k')} AS k FROM v_bootsig"))
 def bootstrap(spark, sf):
     out = bootstrap_signatures(materialise(d.planted(spark, sf)))
-    return out.select(F.col("rep").cast("long").alias("rep"), "device", "pos", rounded("k").alias("k"))
+    return out.select("rep", "device", "pos", rounded("k").alias("k"))
 
 
 @query("c8_band_map", oracle(f"""SELECT vec_id, (pos // 8) * 8 + o AS pos, {r('sum(coef * w)', 6)} AS w FROM v_planted JOIN basis ON i = pos % 8
