@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths written inside each open scope, innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table that several later plans read to the shared folder and read it back.
 
@@ -46,4 +52,38 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of a scope; ``keep`` writes one that outlives it."""
+
+    def __init__(self, paths: list[str]):
+        self._paths = paths
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        kept = materialise(df)
+        outer = self._paths.pop()
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(outer)
+        return kept
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Deletes what ``materialise`` wrote inside when it ends; nothing that leaves the scope may read these tables.
+
+    Whoever returns a DataFrame computes it inside, keeps the tables it reads, and gives the rest of the space back.
+    """
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield Scratch(paths)
+    finally:
+        _SCOPES.pop()
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
