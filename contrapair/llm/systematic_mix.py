@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrapair.llm.common import WORD
-from contrapair.session import materialise
+from contrapair.session import materialise, scratch
 
 
 def word_count(text: Column) -> Column:
@@ -73,23 +73,24 @@ def place_copies(docs: DataFrame, id_col: str, source_col: str, size: Column, we
     carry = carry or {}
     order = ["size", "h", *list(carry)[:1]]
     h = text_hash(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    rows = materialise(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), h.alias("h"),
-        *[c.alias(name) for name, c in carry.items()]))
-    aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     offset = text_hash(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit("")))) / F.lit(float(1 << 60))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    aims = aims.withColumn("rate", rate).withColumn("offset", offset)
-    placed = materialise(rows.repartitionByRange("source", *order).withColumn("range", F.spark_partition_id()))
-    held = placed.groupBy("source", "range").agg(F.count("*").alias("n"))
-    # a range with smaller number holds smaller keys, so a source's earlier documents
-    before = held.withColumn("before", F.coalesce(F.sum("n").over(
-        Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    facts = before.drop("n").withColumnRenamed("source", "s").join(
-        aims.withColumnRenamed("source", "s2"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2").withColumnRenamed("range", "r")
+    with scratch(docs.sparkSession) as tables:
+        rows = materialise(docs.select(
+            F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), h.alias("h"),
+            *[c.alias(name) for name, c in carry.items()]))
+        aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+        aims = aims.withColumn("rate", rate).withColumn("offset", offset)
+        placed = tables.keep(rows.repartitionByRange("source", *order).withColumn("range", F.spark_partition_id()))
+        held = placed.groupBy("source", "range").agg(F.count("*").alias("n"))
+        # a range with smaller number holds smaller keys, so a source's earlier documents
+        before = held.withColumn("before", F.coalesce(F.sum("n").over(
+            Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        facts = tables.keep(before.drop("n").withColumnRenamed("source", "s").join(
+            aims.withColumnRenamed("source", "s2"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2").withColumnRenamed("range", "r"))
     inside = F.row_number().over(Window.partitionBy("range", "source").orderBy(*order))
     numbered = placed.withColumn("inside", inside).join(
-        materialise(facts), (F.col("range") == F.col("r")) & F.col("source").eqNullSafe(F.col("s")))
+        facts, (F.col("range") == F.col("r")) & F.col("source").eqNullSafe(F.col("s")))
     k = F.col("before") + F.col("inside")
     crossed = F.floor(F.col("rate") * k + F.col("offset")) - F.floor(F.col("rate") * (k - 1) + F.col("offset"))
     copies = F.least(crossed, F.lit(int(-(-most // 1)))).cast("long")

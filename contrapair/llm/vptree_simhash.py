@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrapair.llm.common import map_texts, release, unit_hash
-from contrapair.session import materialise
+from contrapair.session import materialise, scratch
 
 LEAF = 128
 
@@ -442,14 +442,15 @@ def keep_one(docs: DataFrame, id_col: str, text_col: str, *, words: int = 5, sim
       text hash stays, of equal rows one. An empty table stays empty; other columns are carried whatever their names.
     """
     key = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("text"))
-    rows = materialise(shingle_sets(key, "text", ["id", "h"], words, times).withColumn("node", set_number(F.col("shingles"))))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")
-    nodes = materialise(rows.groupBy("print", "node").agg(first))
-    root = similar_classes(nodes.select("print", "node"), similarity, times=times, sets=rows).toDF("n", "root")
-    tied = nodes.select("node", "first").join(root, F.col("node") == F.col("n"), "left").select(F.coalesce("root", "node").alias("root"), "first")
-    chosen = materialise(tied.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.h").alias("kept_h")))
     same = F.col("kept_id").eqNullSafe(F.col("id")) & (F.col("kept_h") == F.col("h"))
-    repeated = rows.join(chosen, same).groupBy("id", "h").count().where("count > 1").limit(1).count()
+    with scratch(docs.sparkSession) as tables:  # the sets of shingles are as large as the texts; only the choice outlives the stage
+        rows = materialise(shingle_sets(key, "text", ["id", "h"], words, times).withColumn("node", set_number(F.col("shingles"))))
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")
+        nodes = materialise(rows.groupBy("print", "node").agg(first))
+        root = similar_classes(nodes.select("print", "node"), similarity, times=times, sets=rows).toDF("n", "root")
+        tied = nodes.select("node", "first").join(root, F.col("node") == F.col("n"), "left").select(F.coalesce("root", "node").alias("root"), "first")
+        chosen = tables.keep(tied.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.h").alias("kept_h")))
+        repeated = rows.join(chosen, same).groupBy("id", "h").count().where("count > 1").limit(1).count()
     names = docs.columns
     pair = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
     kept = pair.join(chosen, same, "left_semi")
