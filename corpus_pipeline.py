@@ -55,7 +55,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids (little-endian unsigned 32-bit) and whether decoding gives back the text."""
     docs = docs.select("doc_id", "source", "text", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("digest"))
-    done = transducer_bpe.encode_decode(docs, "text", ["doc_id", "source", "digest"], public_tokenizers.path("byte_bpe_50k.json"))
+    # smaller caches than on its own: the workers of earlier stages still hold memory
+    done = transducer_bpe.encode_decode(docs, "text", ["doc_id", "source", "digest"], public_tokenizers.path("byte_bpe_50k.json"), cache_words=100_000)
     same = F.sha2(F.col("decoded").cast("binary"), 256) == F.col("digest")
     return done.select("doc_id", "source", "n_tokens", "ids", same.alias("round_trip"))
 
