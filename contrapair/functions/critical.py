@@ -1,6 +1,6 @@
-"""Student t, normal and F tails and quantiles, vectorised with numpy.
+"""Critical values of Student's t as a table and a series, and the plain functions they come from.
 
-Only summary rows (one per arm or design) pass through these, inside Arrow batches.
+Column expressions of the tails are in ``tails``.
 """
 
 from __future__ import annotations
@@ -9,10 +9,8 @@ import math
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 Z99 = 2.3263478740408408
 Z995 = 2.5758293035489004
@@ -78,31 +76,6 @@ def f_sf(f: float, d1: float, d2: float) -> float:
     return beta_inc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * max(f, 0.0)))
 
 
-@F.pandas_udf(DoubleType())
-def t_sf_udf(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_sf(a, b) for a, b in zip(t.astype(float), df.astype(float))])
-
-
-@F.pandas_udf(DoubleType())
-def t_quantile_udf(p: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_quantile(a, b) for a, b in zip(p.astype(float), df.astype(float))])
-
-
-@F.pandas_udf(DoubleType())
-def f_sf_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series([f_sf(a, b, c) for a, b, c in zip(f, d1, d2)])
-
-
-@F.pandas_udf(DoubleType())
-def normal_cdf_udf(z: pd.Series) -> pd.Series:
-    return z.map(normal_cdf)
-
-
-@F.pandas_udf(DoubleType())
-def normal_quantile_udf(p: pd.Series) -> pd.Series:
-    return p.map(lambda v: normal_quantile(min(max(v, 1e-9), 1 - 1e-9)))
-
-
 TABLE_DF = 60
 
 

@@ -131,11 +131,17 @@ def retention(x: DataFrame, device: str, stage: str, value: str) -> DataFrame:
     return per.select(device, "pre", "post", "eta", F.lit(None).cast("double").alias("spread")).unionByName(allrow)
 
 
-def auc(df: DataFrame, keys: list[str], value: str, positive: Column) -> DataFrame:
-    """Mann-Whitney AUC, ties counting one half; only distinct scores are ordered."""
+def auc(df: DataFrame, keys: list[str], value: str, positive: Column, ties: str = "half") -> DataFrame:
+    """Mann-Whitney AUC; only distinct scores are ordered.
+
+    ties: "half" counts a tie as one half; "ordinal" takes places in one list, own scores before equal cross ones, so a tie
+    counts nothing.
+    """
+    if ties not in ("half", "ordinal"):
+        raise ValueError(f"unknown rule for ties: {ties}")
     vc = materialise(df.groupBy(*keys, value).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q")))
     x = with_running(vc, keys, [value], {"below": ("sum", "q")}, inclusive=False)
-    wins = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2))
+    wins = F.sum(F.col("p") * (F.col("below") + (F.col("q") / 2 if ties == "half" else F.lit(0))))
     return x.groupBy(*keys).agg(F.sum("p").alias("n_own"), F.sum("q").alias("n_cross"),
                                 safe_div(wins, F.sum("p").cast("double") * F.sum("q")).alias("auc"))
 

@@ -126,13 +126,20 @@ def pooled_anova(s: DataFrame, label: str, name: str = "pooled") -> DataFrame:
 
 
 def one_way_icc(df: DataFrame, group: str, value: str) -> DataFrame:
-    """ICC(1,1) of equally replicated groups, clamped at zero."""
-    g = df.groupBy(group).agg(F.avg(value).alias("m"), F.var_pop(value).alias("v"), F.count(F.lit(1)).alias("n"))
-    s = g.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.avg("m").alias("grand"), F.var_samp("m").alias("vm"), F.sum(F.col("v") * F.col("n")).alias("ssw"))
-    ms, within = F.col("n") * F.col("vm"), F.col("ssw") / (F.col("k") * (F.col("n") - 1))
-    s = s.withColumns({"ms_between": ms, "within": within})
-    s = s.withColumn("var_u", F.greatest((F.col("ms_between") - F.col("within")) / F.col("n"), F.lit(0.0)))
-    return s.select("k", "n", "grand", "ms_between", "within", "var_u",
+    """ICC(1,1), clamped at zero; groups may differ in size.
+
+    n0 = (N - sum n^2 / N) / (k - 1) takes the place of the common size and equals it where sizes are equal; the grand mean
+    weighs values alike.
+    """
+    g = df.groupBy(group).agg(F.avg(value).alias("m"), F.var_pop(value).alias("v"), F.count(value).alias("n")).where("n > 0")
+    s = g.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.max("n").alias("n"),
+              (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"), F.sum(F.col("v") * F.col("n")).alias("ssw"),
+              F.collect_list(F.struct("n", "m")).alias("groups"))
+    between = F.aggregate("groups", F.lit(0.0), lambda a, x: a + x["n"] * (x["m"] - F.col("grand")) * (x["m"] - F.col("grand")))
+    s = s.withColumns({"n0": safe_div(F.col("total") - F.col("nn") / F.col("total"), (F.col("k") - 1).cast("double")),
+                       "ms_between": safe_div(between, (F.col("k") - 1).cast("double")), "within": safe_div(F.col("ssw"), (F.col("total") - F.col("k")).cast("double"))})
+    s = s.withColumn("var_u", F.greatest(safe_div(F.col("ms_between") - F.col("within"), F.col("n0")), F.lit(0.0)))
+    return s.select("k", "n", "n0", "grand", "ms_between", "within", "var_u",
                     F.coalesce(safe_div(F.col("var_u"), F.col("var_u") + F.col("within")), F.lit(0.0)).alias("icc"))
 
 

@@ -290,25 +290,28 @@ def softmax_share(logits: Column) -> Column:
 
 
 @F.pandas_udf(DoubleType())
-def lowrank_inner(ax: pd.Series, bx: pd.Series, ay: pd.Series, by: pd.Series, rank: pd.Series) -> pd.Series:
-    """tr((Bx' By)(Ay Ax')) per row; A is rank x in, B is out x rank, both row-major."""
-    r = int(rank.iloc[0])
-    a1, a2 = (np.stack(s.to_numpy()).reshape(len(s), r, -1) for s in (ax, ay))
-    b1, b2 = (np.stack(s.to_numpy()).reshape(len(s), -1, r) for s in (bx, by))
-    inner = np.einsum("nor,nos->nrs", b1, b2)
-    outer = np.einsum("nsi,nri->nsr", a2, a1)
-    return pd.Series(np.einsum("nrs,nsr->n", inner, outer))
+def lowrank_inner(ax: pd.Series, bx: pd.Series, ay: pd.Series, by: pd.Series, rx: pd.Series, ry: pd.Series) -> pd.Series:
+    """tr((Bx' By)(Ay Ax')) per row; A is rank x in, B is out x rank, both row-major. Ranks and shapes may differ from row to row."""
+    def one(a1, b1, a2, b2, r, s) -> float:
+        if len(a1) % r or len(b1) % r or len(a2) % s or len(b2) % s or len(a1) // r != len(a2) // s or len(b1) // r != len(b2) // s:
+            raise ValueError(f"factors of {len(a1)}, {len(b1)} and {len(a2)}, {len(b2)} numbers at ranks {r} and {s} do not belong to one layer")
+        outer, inner = a1.reshape(r, -1) @ a2.reshape(s, -1).T, b1.reshape(-1, r).T @ b2.reshape(-1, s)
+        return float((outer * inner).sum())
 
+    return pd.Series([one(*row) for row in zip(ax, bx, ay, by, rx, ry, strict=True)], dtype=float)
 
-def weight_inner(factors: DataFrame, tag: str, layer: str, a: str, b: str, rank: int) -> DataFrame:
+
+def weight_inner(factors: DataFrame, tag: str, layer: str, a: str, b: str, rank: int | str) -> DataFrame:
     """<dW_x, dW_y> summed over shared layers for each pair of adapters; dW itself is never formed.
 
-    The layer is the join key, so a task holds one layer's few factors, not an adapter's.
+    ``rank`` is one number for all or a column, so adapters and layers may differ in rank, and layers in shape; two adapters'
+    factors of one layer must fit together. The layer is the join key, so a task holds one layer's few factors, not an adapter's.
     """
-    x = factors.select(F.col(layer).alias("__l"), F.col(tag).alias("tag_x"), F.col(a).alias("ax"), F.col(b).alias("bx"))
-    y = factors.select(F.col(layer).alias("__l"), F.col(tag).alias("tag_y"), F.col(a).alias("ay"), F.col(b).alias("by"))
+    r = F.col(rank) if isinstance(rank, str) else F.lit(rank)
+    x = factors.select(F.col(layer).alias("__l"), F.col(tag).alias("tag_x"), F.col(a).alias("ax"), F.col(b).alias("bx"), r.alias("rx"))
+    y = factors.select(F.col(layer).alias("__l"), F.col(tag).alias("tag_y"), F.col(a).alias("ay"), F.col(b).alias("by"), r.alias("ry"))
     p = x.join(y, "__l").where(F.col("tag_x") <= F.col("tag_y"))
-    p = p.select("tag_x", "tag_y", lowrank_inner("ax", "bx", "ay", "by", F.lit(rank)).alias("v"))
+    p = p.select("tag_x", "tag_y", lowrank_inner("ax", "bx", "ay", "by", "rx", "ry").alias("v"))
     return p.groupBy("tag_x", "tag_y").agg(F.sum("v").alias("inner"), F.count(F.lit(1)).alias("layers"))
 
 

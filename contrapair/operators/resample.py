@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contrapair.functions.critical import normal_cdf_udf, normal_quantile_udf
+from contrapair.functions import tails
 from contrapair.functions.hashing import P, hash_sign, portable_hash
 from contrapair.functions.ordered import with_rank
 from contrapair.functions.vectors import safe_div
@@ -127,16 +127,19 @@ def percentiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame
 
 
 def bca_limit(boots: DataFrame, value: str, theta: Column, jack: DataFrame, jvalue: str, level: float = 0.995) -> DataFrame:
-    """Bias-corrected accelerated upper limit; jack holds the leave-one-cluster-out values."""
+    """Bias-corrected accelerated upper limit; jack holds the leave-one-cluster-out values.
+
+    Where no replicate or every one lies below the estimate the correction is infinite, and the limit is null.
+    """
     jm = jack.agg(F.avg(jvalue)).scalar()
     j = jack.select((jm - F.col(jvalue)).alias("d"))
     acc = j.agg(F.sum(F.pow("d", F.lit(3.0))).alias("num"), (6 * F.pow(F.sum(F.col("d") * F.col("d")), F.lit(1.5))).alias("den"))
     b = boots.select(F.col(value).alias("b"), theta.alias("theta")).agg(
         F.avg((F.col("b") < F.col("theta")).cast("double")).alias("below"), F.max("theta").alias("theta"), F.sort_array(F.collect_list("b")).alias("s"))
     x = b.select("*", acc.select(F.coalesce(safe_div(F.col("num"), F.col("den")), F.lit(0.0))).scalar().alias("a"))
-    x = x.withColumns({"z0": normal_quantile_udf("below"), "z": normal_quantile_udf(F.lit(level))})
+    x = x.withColumns({"z0": tails.normal_quantile(F.col("below")), "z": tails.normal_quantile(F.lit(level))})
     t = F.col("z0") + F.col("z")
-    x = x.withColumn("alpha", normal_cdf_udf(F.col("z0") + t / (1 - F.col("a") * t)))
+    x = x.withColumn("alpha", tails.normal_cdf(F.col("z0") + t / (1 - F.col("a") * t)))
     pos = F.greatest(F.least(F.col("alpha"), F.lit(1 - 1e-6)), F.lit(1e-6)) * (F.size("s") - 1)
     lo = F.element_at("s", F.floor(pos).cast("int") + 1)
     hi = F.element_at("s", F.ceil(pos).cast("int") + 1)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from contrapair.functions import vectors as V
+from contrapair.functions.hashing import hash_sign
 
 #: Positions of a tile, and the bytes of templates that may be broadcast or, above, that a lot holds.
 TILE = 4096
@@ -126,6 +127,22 @@ def decoy_rank(items: DataFrame, templates: DataFrame, shifts: list[int], device
     )
 
 
+def field_rank(items: DataFrame, templates: DataFrame, fields: int, salt: int, device: str = "device") -> DataFrame:
+    """Place of the true template's mean score among independent random fields; 1 is best: device, rho, n, rank, best_decoy.
+
+    Field j at position p is a sign by hash of (p, j), made where it is needed: no table of fields, nothing to ship.
+    """
+    x = item_sums(items.join(templates, device))
+    x = x.select(device, "y", "w", "k", "__sw", "__sww", F.explode(F.sequence(F.lit(0), F.lit(fields))).alias("j"))
+    field = F.transform("y", lambda v, p: v * hash_sign(p, F.col("j"), salt))
+    z = F.when(F.col("j") == 0, V.times(F.col("y"), F.col("k"))).otherwise(field)
+    x = x.withColumn("z", z).select(device, "j", ncc(F.col("w"), F.col("z"), F.col("__sw"), F.col("__sww")).alias("rho"))
+    m = x.groupBy(device, "j").agg(F.avg("rho").alias("m"), F.count(F.lit(1)).alias("n"))
+    true = m.where("j = 0").select(device, F.col("m").alias("rho"), "n")
+    return m.where("j > 0").select(device, "m").join(true, device).groupBy(device).agg(
+        F.max("rho").alias("rho"), F.max("n").alias("n"), (F.count_if(F.col("m") > F.col("rho")) + 1).alias("rank"), F.max("m").alias("best_decoy"))
+
+
 def shift_grid(items: DataFrame, templates: DataFrame, shifts: list[int], grid: int, device: str = "device") -> DataFrame:
     """Scores at chosen displacements: excess of grid-aligned over other shifts, with its Welch SE."""
     x = item_sums(items.join(templates, device))

@@ -84,6 +84,12 @@ def to_arrays(sig: DataFrame, keys: list[str], value: str = "k") -> DataFrame:
     return packed.select(*keys, F.col(f"__a.{value}").alias(value))
 
 
+def whole_blocks(a: Column, size: int) -> Column:
+    """The array, or an error where its length is no multiple of ``size``: a tail is never dropped silently."""
+    bad = F.raise_error(F.format_string(f"%d elements are no whole blocks of {size}", F.size(a))).cast("array<double>")
+    return F.when(F.size(a) % size == 0, V.doubles(a)).otherwise(bad)
+
+
 def zero_mean_grid(sig: DataFrame, keys: list[str], width: int, value: str = "k") -> DataFrame:
     """Subtract row means, then column means of the result; a signature is one array of rows of `width`."""
     def centre(a: Column) -> Column:
@@ -98,7 +104,7 @@ def zero_mean_grid(sig: DataFrame, keys: list[str], width: int, value: str = "k"
         )
         return V.let(cols, lambda c: F.flatten(F.transform(rows, lambda row: F.zip_with(row, c, lambda x, y: x - y))))
 
-    return sig.withColumn(value, centre(F.col(value)))
+    return sig.withColumn(value, V.let(whole_blocks(F.col(value), width), centre))
 
 
 def without_shared_part(sig: DataFrame, device: str, value: str = "k") -> DataFrame:
@@ -139,14 +145,16 @@ def band_matrix(size: int, low: int, high: int) -> list[list[float]]:
 
 
 def band_map(a: Column, size: int, low: int, high: int) -> Column:
-    """Band-pass every block of `size` elements."""
+    """Band-pass every block of `size` elements; an array that isn't made of whole blocks is an error."""
     rows = F.lit(band_matrix(size, low, high))
 
-    def one(b: Column) -> Column:
-        block = F.slice(a, b * size + 1, F.lit(size))
-        return F.transform(rows, lambda coef: V.dot(coef, block))
+    def whole(v: Column) -> Column:
+        def one(b: Column) -> Column:
+            return V.let(F.slice(v, b * size + 1, F.lit(size)), lambda block: F.transform(rows, lambda coef: V.dot(coef, block)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), (F.size(v) / size).cast("int") - 1), one))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), (F.size(a) / size).cast("int") - 1), one))
+    return V.let(whole_blocks(a, size), whole)
 
 
 def fold(a: Column, g: int) -> Column:
@@ -186,8 +194,8 @@ def quality(sig: DataFrame, device: str, first: str, second: str) -> DataFrame:
 
 
 def shuffle_blocks(a: Column, item: Column, size: int, salt: int) -> Column:
-    """Reorder the blocks of one item by portable hash."""
-    n = (F.size(a) / size).cast("int")
+    """Reorder the blocks of one item by portable hash; a shorter last block is one of them."""
+    n = F.ceil(F.size(a) / size).cast("int")
     ids = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.struct(portable_hash(b, item, salt).alias("h"), b.alias("b")))
     return F.flatten(F.transform(F.array_sort(ids), lambda s: F.slice(a, s["b"] * size + 1, F.lit(size))))
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contrapair.functions import critical as cr
+from contrapair.functions import tails as tl
 from contrapair.functions.critical import t995_sql, t_crit_sql
+from contrapair.operators import poisson
 from contrapair.operators import contrasts as op
 from contrapair.operators import scoring as sc
 from contrapair.operators import signatures as sg
 from contrapair.operators.splits import of_next_device
+from contrapair.operators.poisson import item_copies_sql
 from contrapair.plans import derived as d
 from contrapair.plans.registry import query
 from contrapair.plans.scoring import ncc_sql
@@ -111,12 +114,17 @@ def welch(spark, sf):
     return fix(fix(x.select("theta_sym", "se", "df", "t"), 8, "theta_sym", "se"), 6, "df", "t")
 
 
-@query("e9_welch_limits")
+view("v_nodes", tl.NODES_SQL)
+
+
+@query("e9_welch_limits", oracle(f"""SELECT {rs(8, theta_sym='th', se='se')}, {rs(6, df='df', t='th / se')}, {rs(8, p_one_sided=tl.t_sf_sql('(th / se)', 'df'),
+    upper99='th + ' + tl.t_quantile_sql('0.99::DOUBLE', 'df') + ' * se')} FROM (SELECT {SYM} AS th, {SE} AS se, {DF} AS df FROM v_two), v_nodes"""))
 def welch_limits(spark, sf):
     """One-sided p and 99 % limit: Student tails at fractional degrees of freedom."""
     x = op.welch(op.symmetric_parts(op.two_arms(d.adapter_means(spark, sf), "arm", "theta")))
-    return x.select("theta_sym", "se", "df", "t", cr.t_sf_udf("t", "df").alias("p_one_sided"),
-                    (F.col("theta_sym") + cr.t_quantile_udf(F.lit(0.99), "df") * F.col("se")).alias("upper99"))
+    x = x.select("theta_sym", "se", "df", "t", tl.t_sf(F.col("t"), F.col("df")).alias("p_one_sided"),
+                 (F.col("theta_sym") + tl.t_quantile(F.lit(0.99), F.col("df")) * F.col("se")).alias("upper99"))
+    return fix(fix(x, 8, "theta_sym", "se", "p_one_sided", "upper99"), 6, "df", "t")
 
 
 view("v_real", f"""SELECT vec_id, device, {RING_ARM_SQL} AS role,
@@ -182,6 +190,32 @@ def retention(spark, sf):
     return fix(fix(x, 7, "pre", "post", "eta"), 5, "spread")
 
 
+RETENTION_REPS = 200
+
+
+@query("e11_retention_interval", oracle(f"""SELECT count(*) AS reps, {rs(7, eta='avg(eta)', low='quantile_cont(eta, 0.025)', high='quantile_cont(eta, 0.975)')} FROM
+    (SELECT rep, sum(post) / sum(pre) AS eta FROM (SELECT rep, role, sum(m * pre) / sum(m) AS pre, sum(m * post) / sum(m) AS post FROM
+    (SELECT a.role, a.c AS pre, b.c AS post, rep, {item_copies_sql('a.vec_id', 'rep', None, 59)} AS m FROM v_real a JOIN v_post b ON a.vec_id = b.vec_id, range(0, {RETENTION_REPS}) t(rep))
+    GROUP BY rep, role) GROUP BY rep)"""))
+def retention_interval(spark, sf):
+    """Bootstrap range of the retention ratio: an item keeps one multiplicity for its scores before and after."""
+    x = real_contrasts(spark, sf, ("pre", "post"))
+    both = x.groupBy("role", "vec_id").agg(*[F.max(F.when(F.col("stage") == st, F.col("c"))).alias(st) for st in ("pre", "post")])
+    m = poisson.poisson_means(both, ["role"], "vec_id", ["pre", "post"], RETENTION_REPS, 59)
+    eta = m.groupBy("rep").agg((F.sum("post") / F.sum("pre")).alias("eta"))
+    out = eta.agg(F.count(F.lit(1)).alias("reps"), F.avg("eta").alias("eta"), F.percentile("eta", F.lit(0.025)).alias("low"), F.percentile("eta", F.lit(0.975)).alias("high"))
+    return fix(out, 7, "eta", "low", "high")
+
+
+@query("e12_auc_ordinal", oracle(f"""SELECT arm, {i64('sum(own)')} AS n_own, {i64('sum(1 - own)')} AS n_cross, {r('(avg(rk) FILTER (own = 1) - (sum(own) - 1) / 2) / sum(1 - own)')} AS auc FROM
+    (SELECT arm, own, row_number() OVER (PARTITION BY arm ORDER BY rho, own DESC) - 1 AS rk FROM
+    (SELECT arm, (K = arm)::INT AS own, round(rho, 9) AS rho FROM v_long WHERE arm IN ('A', 'B'))) GROUP BY arm"""))
+def auc_ordinal(spark, sf):
+    """The other tie rule: places in one list in which own scores stand before equal cross scores."""
+    x = arms_long(spark, sf).withColumn("rho", F.round("rho", 9))
+    return fix(op.auc(x, ["arm"], "rho", F.col("K") == F.col("arm"), ties="ordinal"), 8, "auc")
+
+
 @query("e12_auc", oracle(f"""SELECT arm, {i64('sum(own)')} AS n_own, {i64('sum(1 - own)')} AS n_cross,
     {r('(sum(rk) FILTER (own = 1) - sum(own) * (sum(own) + 1) / 2) / (sum(own)::DOUBLE * sum(1 - own))')} AS auc FROM
     (SELECT arm, own, rank() OVER (PARTITION BY arm ORDER BY rho) + (count(*) OVER (PARTITION BY arm, rho) - 1) / 2 AS rk FROM

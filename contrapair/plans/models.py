@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contrapair.functions import critical as cr
+from contrapair.functions import tails as tl
 from contrapair.functions import vectors as V
 from contrapair.functions.ordered import exact_quantiles
 from contrapair.operators import contrasts as cn
@@ -136,11 +137,13 @@ def off_diagonal(spark, sf):
     return fix(fix(x, 8, "predicted", "observed", "residual", "mean_residual"), 6, "t")
 
 
-@query("e26_icc", oracle(f"""SELECT k, n, {rs(9, grand='grand', ms_between='n * vm', within='w', var_u='greatest((n * vm - w) / n, 0)')},
-    {r('coalesce(greatest((n * vm - w) / n, 0) / nullif(greatest((n * vm - w) / n, 0) + w, 0), 0)', 6)} AS icc FROM (SELECT count(*) AS k, max(n) AS n, avg(m) AS grand, var_samp(m) AS vm,
-    sum(n * v) / (count(*) * (max(n) - 1)) AS w FROM (SELECT arm, avg(theta) AS m, var_pop(theta) AS v, count(*) AS n FROM v_adapter GROUP BY arm))"""))
+@query("e26_icc", oracle(f"""SELECT k, n, {rs(9, n0='n0', grand='grand', ms_between='msb', within='w', var_u='greatest((msb - w) / n0, 0)')},
+    {r('coalesce(greatest((msb - w) / n0, 0) / nullif(greatest((msb - w) / n0, 0) + w, 0), 0)', 6)} AS icc FROM
+    (SELECT count(*) AS k, max(n) AS n, (sum(n) - sum(n * n) / sum(n)) / (count(*) - 1) AS n0, any_value(grand) AS grand, sum(n * (m - grand) ** 2) / (count(*) - 1) AS msb,
+    sum(n * v) / (sum(n) - count(*)) AS w FROM g, (SELECT avg(theta) AS grand FROM v_adapter))""",
+    g="SELECT arm, avg(theta) AS m, var_pop(theta) AS v, count(*) AS n FROM v_adapter GROUP BY arm"))
 def icc(spark, sf):
-    return fix(fix(op.one_way_icc(d.adapter_means(spark, sf), "arm", "theta"), 9, "grand", "ms_between", "within", "var_u"), 6, "icc")
+    return fix(fix(op.one_way_icc(d.adapter_means(spark, sf), "arm", "theta"), 9, "n0", "grand", "ms_between", "within", "var_u"), 6, "icc")
 
 
 view("v_anova0", """SELECT arm, sum((rm - m) ** 2) AS ss_a, sum((cm - m) ** 2) AS ss_s, sum((x - rm - cm + m) ** 2) AS ss_e, count(DISTINCT seed) AS i, count(DISTINCT j) AS j FROM
@@ -160,11 +163,12 @@ def crossed_anova(spark, sf):
     return fix(fix(x, 10, "ms_a", "ms_s", "ms_e", "var_a", "var_e", "var_s"), 6, "f")
 
 
-@query("e27_anova_tail")
+@query("e27_anova_tail", oracle(f"""SELECT arm, {r('f', 6)} AS f, {r(tl.f_sf_sql('f', 'df_a', 'df_e'))} AS p FROM
+    (SELECT arm, (ss_a / df_a) / (ss_e / df_e) AS f, df_a, df_e FROM v_anova1 WHERE arm <> 'pooled'), v_nodes"""))
 def anova_tail(spark, sf):
     """Upper tail of the adapter F ratio."""
     x = op.anova_components(op.crossed_anova(d.crossed(spark, sf), "arm", "seed", "j", "x"))
-    return x.select("arm", "f", cr.f_sf_udf("f", "df_a", "df_e").alias("p"))
+    return fix(fix(x.select("arm", "f", tl.f_sf(F.col("f"), F.col("df_a"), F.col("df_e")).alias("p")), 6, "f"), 8, "p")
 
 
 @query("e28_seed_covariance", oracle(f"""SELECT n, {rs(10, cov='cov', vs='vs', noise='noise', vs_corrected='vs - noise')}, {r('rr', 6)} AS r FROM

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from contrapair.functions import tails as tl
 from contrapair.functions import vectors as V
 from contrapair.functions.critical import Z99, t995, t995_sql
 from contrapair.functions.hashing import P, hash_sign_sql, portable_hash_sql
@@ -165,7 +166,16 @@ def hierarchical_bootstrap(spark, sf):
     return fix(out, 7, "u_p99", "hat_p2_5", "hat_p97_5", "mean_u")
 
 
-@query("f7_bca_limit")
+@query("f7_bca_limit", oracle(f"""SELECT {rs(7, theta='theta', below='below', a='a', alpha='alpha', limit='s[floor(spot)::BIGINT + 1] + (s[ceil(spot)::BIGINT + 1] - s[floor(spot)::BIGINT + 1]) * (spot - floor(spot))')} FROM
+    (SELECT *, greatest(least(alpha, 1 - 1e-6), 1e-6) * (len(s) - 1) AS spot FROM (SELECT *, {tl.normal_cdf_sql('(z0 + (z0 + z) / (1 - a * (z0 + z)))')} AS alpha FROM
+    (SELECT *, {tl.normal_quantile_sql('below')} AS z0, {tl.normal_quantile_sql('0.995::DOUBLE')} AS z FROM bt, acc, v_nodes)))""",
+    est=f"SELECT {pc.U_MAX} / r AS theta, {pc.U_A} AS ua, {pc.U_B} AS ub, r FROM v_two, v_den",
+    bt=f"""SELECT any_value(theta) AS theta, avg((b < theta)::INT) AS below, list(b ORDER BY b) AS s FROM
+        (SELECT u / r AS b FROM (SELECT rep, {pc.U_MAX} AS u FROM v_two_rep) JOIN v_real_boot USING (rep)), est""",
+    loo=f"""SELECT arm, m + {t995_sql('n - 1')} * sd / sqrt(n) AS u FROM (SELECT a.arm, a.tag, count(*) AS n, avg(b.theta) AS m, stddev_samp(b.theta) AS sd
+        FROM v_adapter a JOIN v_adapter b ON a.arm = b.arm AND a.tag <> b.tag GROUP BY a.arm, a.tag)""",
+    jack="SELECT greatest(u, CASE WHEN arm = 'A' THEN ub ELSE ua END) / r AS j FROM loo, est",
+    acc="SELECT coalesce(sum(dv ** 3) / nullif(6 * pow(sum(dv * dv), 1.5), 0), 0) AS a FROM (SELECT (SELECT avg(j) FROM jack) - j AS dv FROM jack)"))
 def bca_limit(spark, sf):
     x, den = hierarchical(spark, sf)
     means = materialise(d.adapter_means(spark, sf))
@@ -174,7 +184,8 @@ def bca_limit(spark, sf):
     loo = cn.leave_one_out_limits(means, "arm", "tag", "theta")
     loo = loo.select("arm", "u", full.select("u_A").scalar().alias("ua"), full.select("u_B").scalar().alias("ub"), r0.alias("r"))
     jack = loo.select((F.greatest(F.col("u"), F.when(F.col("arm") == "A", F.col("ub")).otherwise(F.col("ua"))) / F.col("r")).alias("j"))
-    return op.bca_limit(x, "lambda_u", full.select(F.col("u_max") / r0).scalar(), jack, "j")
+    out = op.bca_limit(x, "lambda_u", full.select(F.col("u_max") / r0).scalar(), jack, "j")
+    return fix(out, 7, "theta", "below", "a", "alpha", "limit")
 
 
 @query("f8_cluster_bootstrap", oracle(f"""SELECT count(*) AS reps, {rs(8, low='quantile_cont(m, 0.005)', high='quantile_cont(m, 0.995)', mean='avg(m)')} FROM (SELECT rep, avg(y.residual) AS m FROM

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contrapair.functions import vectors as V
-from contrapair.functions.hashing import portable_hash_sql
+from contrapair.functions.hashing import hash_sign_sql, portable_hash_sql
 from contrapair.functions.ordered import exact_quantiles, with_rank
 from contrapair.operators import scoring as op
 from contrapair.operators import signatures as sg
@@ -102,6 +102,20 @@ def decoy_rank(spark, sf):
     return out.select("device", rounded("rho", 6).alias("rho"), "n", "rank", rounded("best_decoy", 6).alias("best_decoy"))
 
 
+DECOYS, DECOY_SALT = 30, 37
+
+
+@query("d4_independent_decoys", oracle(f"""SELECT device, {r('rho', 6)} AS rho, n, {i64('1 + count(*) FILTER (m > rho)')} AS rank, {r('max(m)', 6)} AS best_decoy FROM
+    (SELECT device, m FROM fld WHERE j > 0) JOIN (SELECT device, m AS rho, n FROM fld WHERE j = 0) USING (device) GROUP BY device, rho, n""",
+    fld=f"""SELECT device, j, avg(rho) AS m, count(*) AS n FROM (SELECT h.vec_id, h.device, t.j,
+    {ncc_sql('h.w', f"h.y * CASE WHEN t.j = 0 THEN e.k ELSE {hash_sign_sql('h.pos', 't.j', DECOY_SALT)} END")} AS rho
+    FROM v_h h JOIN v_e2 e ON e.device = h.device AND e.pos = h.pos, range(0, {DECOYS + 1}) t(j) GROUP BY h.vec_id, h.device, t.j) GROUP BY device, j"""))
+def independent_decoys(spark, sf):
+    items, t = held_out_and_templates(spark, sf)
+    out = op.field_rank(items, t, DECOYS, DECOY_SALT)
+    return out.select("device", rounded("rho", 6).alias("rho"), "n", "rank", rounded("best_decoy", 6).alias("best_decoy"))
+
+
 @query("d5_shift_grid", oracle(f"""SELECT device, {r('m_on', 6)} AS m_on, {r('m_off', 6)} AS m_off, {r('m_on - m_off', 6)} AS excess,
     {r('sqrt(v_on / n_on + v_off / n_off)', 6)} AS se, n_on, n_off FROM (SELECT device, avg(m) FILTER (d % 8 = 0) AS m_on,
     avg(m) FILTER (d % 8 <> 0) AS m_off, var_samp(m) FILTER (d % 8 = 0) AS v_on, var_samp(m) FILTER (d % 8 <> 0) AS v_off,

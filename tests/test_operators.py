@@ -247,6 +247,75 @@ def test_lowrank_inner_equals_full_product(spark, near):
     near(got[("x", "y")], ip("x", "y") / math.sqrt(ip("x", "x") * ip("y", "y")), 1e-9)
 
 
+def test_weights_of_different_shapes_and_ranks(spark, near):
+    rng = np.random.default_rng(9)
+    shape = {0: (3, 7), 1: (5, 2)}
+    rank = {"x": 2, "y": 3, "z": 1}
+    rows, dense = [], {}
+    for tag, r in rank.items():
+        for layer, (out, across) in shape.items():
+            a, b = rng.normal(size=(r, across)), rng.normal(size=(out, r))
+            rows.append((tag, layer, a.ravel().tolist(), b.ravel().tolist(), r))
+            dense[tag, layer] = b @ a
+    df = spark.createDataFrame(rows, "tag string, layer int, a array<double>, b array<double>, r int")
+    for got in nc.weight_inner(df, "tag", "layer", "a", "b", "r").collect():
+        near(got["inner"], sum((dense[got["tag_x"], i] * dense[got["tag_y"], i]).sum() for i in shape), 1e-9)
+    bad = spark.createDataFrame([("x", 0, [1.0, 2.0], [1.0], 1), ("y", 0, [1.0, 2.0, 3.0], [1.0], 1)], df.schema)
+    with pytest.raises(PySparkException):
+        nc.weight_inner(bad, "tag", "layer", "a", "b", "r").collect()
+
+
+@pytest.mark.parametrize("n", [5, 64, 70])
+def test_arrays_of_any_length_keep_their_tail(spark, n):
+    df = spark.createDataFrame([(3, [float(i) for i in range(n)])], "id long, k array<double>")
+    shuffled = df.select(sg.shuffle_blocks(F.col("k"), F.col("id"), 8, 31).alias("s")).first()["s"]
+    assert sorted(shuffled) == [float(i) for i in range(n)]
+    for make in (lambda: sg.zero_mean_grid(df, ["id"], 8), lambda: df.select(sg.band_map(F.col("k"), 8, 1, 5).alias("k"))):
+        if n % 8:
+            with pytest.raises(PySparkException):
+                make().collect()
+        else:
+            assert len(make().first()["k"]) == n
+
+
+def test_icc_of_unequal_groups(spark, near):
+    groups = {"a": [1.0, 2.0, 4.0], "b": [5.0, 7.0], "c": [9.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    got = md.one_way_icc(df, "g", "v").first()
+    every = [v for vs in groups.values() for v in vs]
+    grand, k, n = np.mean(every), 3, len(every)
+    msb = sum(len(v) * (np.mean(v) - grand) ** 2 for v in groups.values()) / (k - 1)
+    msw = sum(((np.array(v) - np.mean(v)) ** 2).sum() for v in groups.values()) / (n - k)
+    n0 = (n - sum(len(v) ** 2 for v in groups.values()) / n) / (k - 1)
+    near(got["n0"], n0)
+    near(got["var_u"], max((msb - msw) / n0, 0))
+    near(got["icc"], got["var_u"] / (got["var_u"] + msw))
+
+
+def test_auc_tie_rules(spark, near):
+    rows = [("A", True, 1.0), ("A", False, 1.0), ("A", True, 2.0), ("A", False, 0.0)]
+    df = spark.createDataFrame(rows, "arm string, own boolean, v double")
+    near(cn.auc(df, ["arm"], "v", F.col("own")).first()["auc"], 3.5 / 4)
+    near(cn.auc(df, ["arm"], "v", F.col("own"), ties="ordinal").first()["auc"], 3 / 4)
+    with pytest.raises(ValueError):
+        cn.auc(df, ["arm"], "v", F.col("own"), ties="none")
+
+
+def test_rank_among_independent_fields(spark):
+    rng = np.random.default_rng(1)
+    from contrapair.functions.hashing import hash_array
+
+    k = rng.normal(size=40)
+    y, w = rng.normal(10, 1, (8, 40)), rng.normal(size=(8, 40)) + 0.3 * k
+    items = spark.createDataFrame([("d", y[i].tolist(), w[i].tolist()) for i in range(8)], "device string, y array<double>, w array<double>")
+    t = spark.createDataFrame([("d", k.tolist())], "device string, k array<double>")
+    got = sc.field_rank(items, t, 30, 37).first()
+    sign = lambda j: ((hash_array(np.arange(40), np.array([j]), 37) >> 16) & 1) * 2 - 1
+    mean = lambda f: np.mean([np.corrcoef(w[i], y[i] * f)[0, 1] for i in range(8)])
+    decoys = [mean(sign(j)) for j in range(1, 31)]
+    assert got["rank"] == 1 + sum(m > mean(k) for m in decoys) and abs(got["best_decoy"] - max(decoys)) < 1e-9
+
+
 def test_splits_leave_guards(spark):
     df = spark.createDataFrame([("d", i) for i in range(20)], "device string, id bigint")
     got = {r["id"]: r["split"] for r in splits.sized_splits(df, "device", ["id"], [("E1", 4), ("H", 5)], 3).collect()}
