@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from contrapair.llm.common import proper_vector
 from contrapair.session import materialise
 
+LONG_MAX, LONG_MIN = 2 ** 63 - 1, -2 ** 63
+
 INDEX = "dim int, block int, count int, ids binary, low array<long>, width int, slices binary"
 
 
@@ -39,12 +41,12 @@ def build_index(rows: DataFrame, block_rows: int = 16384) -> DataFrame:
         group = group.sort_values("id", kind="stable")
         m = np.stack(group["vec"].to_numpy()).astype(np.int64)
         low = m.min(axis=0)
-        m = (m - low).T  # attributes x rows, none negative
+        m = (m.view(np.uint64) - low.view(np.uint64)).T  # attributes x rows; a difference of longs fits 64 bits without sign
         width = max(1, int(m.max()).bit_length())
         words = -(-m.shape[1] // 64)
         slices = np.zeros((m.shape[0], width, words * 8), dtype=np.uint8)
         for b in range(width):
-            packed = np.packbits(((m >> b) & 1).astype(np.uint8), axis=1, bitorder="little")
+            packed = np.packbits(((m >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little")
             slices[:, b, :packed.shape[1]] = packed
         return pd.DataFrame({
             "dim": [int(key[0])], "block": [int(key[1])], "count": [m.shape[1]], "ids": [group["id"].to_numpy(dtype=np.int64).tobytes()],
@@ -93,47 +95,82 @@ def select_top(slices: list[np.ndarray], valid: np.ndarray, k: int) -> tuple[np.
     return sure, tied
 
 
+def compare(slices: list[np.ndarray], bound: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the rows of ``whole`` whose bit-sliced number is above, and below, ``bound``."""
+    if bound < 0:
+        return whole, np.zeros_like(whole)
+    if bound >> len(slices):
+        return np.zeros_like(whole), whole
+    above, below, open_ = np.zeros_like(whole), np.zeros_like(whole), whole
+    for w in reversed(range(len(slices))):
+        if (bound >> w) & 1:
+            below, open_ = below | (open_ & ~slices[w]), open_ & slices[w]
+        else:
+            above, open_ = above | (open_ & slices[w]), open_ & ~slices[w]
+    return above, below
+
+
 def places(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
+def best_places(total: list[np.ndarray], valid: np.ndarray, k: int, base: int) -> np.ndarray:
+    """Places of the k best rows, in order of place among equals; scores beyond either end of ``long`` are equal there."""
+    over, under = compare(total, LONG_MAX - base, valid)[0], compare(total, LONG_MIN - base, valid)[1]
+    at = places(over)[:k]
+    inner = valid & ~over & ~under
+    if len(at) < k:
+        sure, tied = select_top(total, inner, k - len(at))
+        at = np.concatenate([at, places(sure)])
+        at = np.concatenate([at, places(tied)[:k - len(at)]])
+    return np.concatenate([at, places(under)[:k - len(at)]])
+
+
+def bits_of(mask: np.ndarray) -> np.ndarray:
+    return np.packbits(mask, bitorder="little").view(np.uint64)
+
+
 def search_block(block, queries: list[tuple[int, np.ndarray]], k: int) -> pd.DataFrame:
-    """The k best rows of one index block for each (id, vector) query; rows with the query's id are left out."""
+    """Rows with the k best ids of one index block for each (id, vector) query, the best row of each among them; rows with the query's id are left out."""
     count, width = int(block["count"]), int(block["width"])
     ids, low = np.frombuffer(block["ids"], dtype=np.int64), np.asarray(block["low"], dtype=np.int64)
     plus = np.frombuffer(block["slices"], dtype=np.uint64).reshape(len(low), width, -1)
     both = np.stack([plus, ~plus])  # the complement of x counts as 2**width - 1 - x: negative factors become positive ones
     whole = np.zeros(plus.shape[2] * 64, dtype=np.uint8)
     whole[:count] = 1
-    whole = np.packbits(whole, bitorder="little").view(np.uint64)
+    whole = bits_of(whole)
+    repeats = bool((ids[1:] == ids[:-1]).any())
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for qid, q in queries:
-        size, sign = np.abs(q), (q < 0).astype(np.int64)
-        if float(size.astype(float) @ (np.abs(low).astype(float) + 2.0 ** width)) > 2.0 ** 62:
-            raise ValueError("an inner product of these components does not fit a 64-bit integer")
+        size, negative = np.abs(q).view(np.uint64), (q < 0).astype(np.int64)  # the view holds 2**63 too
         planes: dict[int, list[np.ndarray]] = {}
         for a in range(int(size.max()).bit_length()):
-            js = np.flatnonzero((size >> a) & 1)
+            js = np.flatnonzero((size >> np.uint64(a)) & np.uint64(1))
             if len(js):
                 for b in range(width):
-                    planes.setdefault(a + b, []).append(both[sign[js], js, b])
-        base = int(q @ low) - int((size * sign).sum()) * ((1 << width) - 1)
-        lo, hi = np.searchsorted(ids, qid, side="left"), np.searchsorted(ids, qid, side="right")
+                    planes.setdefault(a + b, []).append(both[negative[js], js, b])
+        # Python's integers: neither the products nor their sum need fit 64 bits
+        base = sum(x * y for x, y in zip(q.tolist(), low.tolist(), strict=True)) + sum(x for x in q.tolist() if x < 0) * ((1 << width) - 1)
         valid = whole
+        lo, hi = np.searchsorted(ids, qid, side="left"), np.searchsorted(ids, qid, side="right")
         if hi > lo:
             own = np.zeros(len(whole) * 64, dtype=np.uint8)
             own[lo:hi] = 1
-            valid = whole & ~np.packbits(own, bitorder="little").view(np.uint64)
+            valid = whole & ~bits_of(own)
         total = add_slices(planes)
-        if int(np.bitwise_count(valid).sum()) <= k:
-            at = places(valid)
-        else:
-            sure, tied = select_top(total, valid, k)
-            at = places(sure)
-            at = np.concatenate([at, places(tied)[:k - len(at)]])  # rows lie in order of their ids
-        score = np.full(len(at), base, dtype=np.int64)
+        at = best_places(total, valid, k, base)
+        while repeats and len(np.unique(ids[at])) < k:  # all rows of ids already held make way until k ids are held
+            held = np.zeros(len(whole) * 64, dtype=np.uint8)
+            held[:count] = np.isin(ids, ids[at])
+            more = best_places(total, valid & ~bits_of(held), k - len(np.unique(ids[at])), base)
+            if not len(more):
+                break
+            at = np.concatenate([at, more])
+        score = [base] * len(at)
         for w, bit in enumerate(total):
-            score += ((bit[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << w
+            held = (bit[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            score = [s + (int(h) << w) for s, h in zip(score, held, strict=True)]
+        score = np.array([min(max(s, LONG_MIN), LONG_MAX) for s in score], dtype=np.int64)
         found.append((np.full(len(at), qid), ids[at], score))
     cols = [np.concatenate(c) if found else np.zeros(0, dtype=np.int64) for c in zip(*found, strict=True)] or [np.zeros(0, dtype=np.int64)] * 3
     return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
@@ -148,7 +185,8 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k: in
     * Null ids, null and empty vectors, and vectors with a null, NaN or infinite component take no part.
     * Vectors of another length than the query's are no candidates.
     * Rows repeating an id and a vector count once; an id with several vectors keeps its best score and asks by its smallest vector.
-    * An inner product that could leave the 64-bit range is an error, never a wrapped number.
+    * Components beyond ``long`` count as its nearest end. Products are added without a limit of size; a score beyond ``long``
+      becomes its nearest end, for that pair only, and ties with others there.
     * An empty table gives no rows. Other columns are not looked at.
     """
     rows = materialise(quantised(vectors, id_col, vec_col, scale, [is_query.alias("asks")]))

@@ -55,6 +55,12 @@ def parse(formatted: Column) -> Column:
     return F.when(well & F.forall(turns, lambda t: t.isNotNull()), turns)
 
 
+def trained_text(formatted: str, spans: str) -> Column:
+    """All text under the loss mask, cut from the formatted conversation and unescaped span by span; no span gives the empty text."""
+    cut = F.transform(spans, lambda s: unescape(F.substr(F.col(formatted), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    return F.array_join(cut, "")
+
+
 def format_conversations(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, *, trained_role: str = "assistant") -> DataFrame:
     """conv, formatted (string), turns (array of role, text read back from it), loss_spans (array of start, end).
 

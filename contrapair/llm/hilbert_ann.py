@@ -15,6 +15,7 @@ in 64 dimensions, need wide ranges for a recall of 0.9; on clustered vectors a h
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,25 @@ from contrapair.llm.curves import Curves
 from contrapair.session import materialise
 
 
+def directions(m: np.ndarray) -> np.ndarray:
+    """Rows of length one; the largest component comes out first, so that no square overflows or vanishes."""
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def mended(scores: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products whose terms overflowed in both senses (NaN) from rows scaled by their largest components."""
+    bad = np.isnan(scores)
+    if bad.any():
+        a, b = (np.abs(x[bad]).max(axis=1) for x in (left, right))
+        with np.errstate(over="ignore"):
+            scores[bad] = ((left[bad] / a[:, None]) * (right[bad] / b[:, None])).sum(axis=1) * a * b
+    return scores
+
+
 def nearest(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int = 20, *, curves: int = 24, axes: int = 8,
-            bits: int = 4, ranges_factor: float = 7.0, ranges_power: float = 0.2, sample_rows: int = 20000, seed: int = 7) -> DataFrame:
+            bits: int = 4, ranges_factor: float = 7.0, ranges_power: float = 0.2, sample_rows: int = 20000, seed: int = 7,
+            range_rows: int = 65536) -> DataFrame:
     """The ``k`` largest inner products found for each query: query_id, rank, vec_id, score.
 
     ``is_query`` marks the queries among the rows; candidates are all rows with another id. Ties go to the smaller id.
@@ -39,6 +57,9 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k:
       best score, and is one query, by its smallest vector.
     * Equal vectors are one candidate that carries its k + 1 smallest ids: others could not enter a result,
       so a vector that a third of all rows share costs no more than any other.
+    * A score beyond the range of doubles is infinite; infinite ones tie.
+    * A range that holds more than about ``range_rows`` candidates by the sample's estimate, as where many keys are equal, is dealt
+      out in parts by a hash of the vector; its queries go to each part.
     * An empty table gives no rows. Other columns of the table are not looked at.
     """
     rows = vectors.select(
@@ -59,6 +80,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k:
         return Curves(dim, curves, axes, bits, seed)
 
     cuts: dict[int, np.ndarray] = {}
+    parts: dict[int, np.ndarray] = {}  # of each curve's ranges
     sample = known.where(unit_hash("vec") < min(1.0, sample_rows / total)).select("vec").limit(2 * sample_rows).toPandas()["vec"]
     by_dim: dict[int, list] = {d: [] for d in sizes}
     for v in sample:
@@ -66,11 +88,13 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k:
     for dim, n in sizes.items():
         ranges = max(1, min(n, round(ranges_factor * n ** ranges_power)))
         m = stack(by_dim[dim]) if by_dim[dim] else np.eye(1, dim)
-        keys = curves_of(dim).keys(m / np.linalg.norm(m, axis=1, keepdims=True))
+        keys = curves_of(dim).keys(directions(m))
         cuts[dim] = np.quantile(keys, np.arange(1, ranges) / ranges, axis=0, method="nearest").T  # a row of cuts for each curve
+        held = np.stack([np.bincount(np.searchsorted(c, keys[:, j], side="right"), minlength=ranges) for j, c in enumerate(cuts[dim])])
+        parts[dim] = np.maximum(1, np.ceil(held * (n / len(m)) / range_rows)).astype(np.int64)
 
     def places(m: np.ndarray) -> np.ndarray:
-        keys = curves_of(m.shape[1]).keys(m / np.linalg.norm(m, axis=1, keepdims=True))
+        keys = curves_of(m.shape[1]).keys(directions(m))
         return np.stack([np.searchsorted(c, keys[:, j], side="right") for j, c in enumerate(cuts[m.shape[1]])], axis=1)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,13 +105,19 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k:
                 at, last = places(m), cuts[dim].shape[1]
                 packed = np.array([r.tobytes() for r in m], dtype=object)
                 ids, asks = part["ids"].to_numpy(), part["asks"].to_numpy(dtype=bool)
+                salt = np.fromiter((zlib.crc32(b) for b in packed), dtype=np.int64, count=len(packed))
                 for c in range(curves):
                     for step in (-1, 0, 1):
                         to = at[:, c] + step
                         take = np.flatnonzero((asks | (step == 0)) & (to >= 0) & (to <= last))
+                        count = parts[dim][c, to[take]]
+                        copies = np.where(asks[take], count, 1)
+                        first = np.repeat(np.cumsum(copies) - copies, copies)
+                        go = np.repeat(take, copies)
+                        lot = np.where(asks[go], np.arange(len(go)) - first, salt[go] % np.repeat(count, copies))
                         yield pd.DataFrame({
-                            "dim": np.int32(dim), "curve": np.int32(c), "range": to[take].astype(np.int32), "vec": packed[take],
-                            "ids": ids[take], "asks": asks[take]})
+                            "dim": np.int32(dim), "curve": np.int32(c), "range": to[go].astype(np.int32), "lot": lot.astype(np.int32),
+                            "vec": packed[go], "ids": ids[go], "asks": asks[go]})
 
     def search(_key, group):
         """Best candidates of one range for the queries that reach it."""
@@ -101,12 +131,18 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k:
         out, keep = [], min(len(m), k + 1)
         step = max(1, (1 << 22) // len(m))
         for at in range(0, len(q), step):
-            s = q[at:at + step] @ m.T
+            with np.errstate(over="ignore", invalid="ignore"):
+                s = q[at:at + step] @ m.T
+            for r in np.flatnonzero(np.isnan(s).any(axis=1)):  # only where components near 1e150 and more meet
+                c = np.flatnonzero(np.isnan(s[r]))
+                s[r, c] = mended(s[r, c], np.broadcast_to(q[at + r], (len(c), q.shape[1])), m[c])
+            finite = np.where(np.isfinite(s), np.abs(s), 0.0).max(axis=1)
             best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
             # all that reach the last kept score, up to the last bits, so that ties are settled by id
-            least = np.take_along_axis(s, best, axis=1).min(axis=1) - 1e-9 * np.maximum(1.0, np.abs(s).max(axis=1))
+            least = np.take_along_axis(s, best, axis=1).min(axis=1) - 1e-9 * np.maximum(1.0, finite)
             r, c = np.nonzero(s >= least[:, None])
-            exact = (q[at + r] * m[c]).sum(axis=1)  # term by term, so that equal pairs score equally in every range
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = mended((q[at + r] * m[c]).sum(axis=1), q[at + r], m[c])  # term by term, so that equal pairs score equally in every range
             n = np.fromiter((len(ids[j]) for j in c), dtype=np.int64, count=len(c))
             found = pd.DataFrame({
                 "query_id": np.repeat(qid[at + r], n), "vec_id": np.concatenate([np.asarray(ids[j], dtype=np.int64) for j in c]),
@@ -116,8 +152,8 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k:
         return pd.concat(out) if out else empty
 
     both = known.select("vec", "ids", F.lit(False).alias("asks")).unionByName(asked)
-    dealt = both.mapInPandas(deal, "dim int, curve int, range int, vec binary, ids array<long>, asks boolean")
-    found = dealt.groupBy("dim", "curve", "range").applyInPandas(search, "query_id long, vec_id long, score double")
+    dealt = both.mapInPandas(deal, "dim int, curve int, range int, lot int, vec binary, ids array<long>, asks boolean")
+    found = dealt.groupBy("dim", "curve", "range", "lot").applyInPandas(search, "query_id long, vec_id long, score double")
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

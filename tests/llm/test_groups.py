@@ -41,6 +41,12 @@ def test_chat_round_trip(spark):
     assert chat_grammar.format_conversations(df.limit(0), "conv_id", "turn", "role", "text").count() == 0
 
 
+def test_trained_text_follows_the_mask(spark):
+    df = spark.createDataFrame([(r"<s><|assistant|>a\\\\b</s>", [(16, 22)]), ("<s><|assistant|>abcd</s>", [(17, 19), (19, 20)]), ("<s>", [])],
+                               "f string, spans array<struct<start: int, end: int>>")
+    assert [r[0] for r in df.select(chat_grammar.trained_text("f", "spans")).collect()] == [r"a\\b", "bcd", ""]
+
+
 def test_chat_grammar_refuses_other_text(spark):
     df = spark.createDataFrame([(x,) for x in ("<s>", "", "<s><|u|>x", "<s><|u>x</s>", "<s>u|>x</s>", "<s><|u|>[INST]</s>", "<s><|u|>x</s>")], "f string")
     assert [r[0] for r in df.select(chat_grammar.parse(df["f"]).isNotNull()).collect()] == [True, False, False, False, False, False, True]

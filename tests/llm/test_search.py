@@ -10,10 +10,11 @@ from contrapair.llm import bitsliced_topk, hilbert_ann
 from contrapair.llm.curves import hilbert_index
 
 SCHEMA = "vec_id long, embedding array<float>, rank string, score string"
+DOUBLES = "vec_id long, embedding array<double>, rank string, score string"
 
 
-def table(spark, rows):
-    return spark.createDataFrame([(i, v, "clash", "clash") for i, v in rows], SCHEMA)
+def table(spark, rows, schema=SCHEMA):
+    return spark.createDataFrame([(i, v, "clash", "clash") for i, v in rows], schema)
 
 
 def brute(rows, k, scale=None):
@@ -84,10 +85,40 @@ def test_many_equal_vectors_keep_all_places(spark):
         assert {q: [i for i, _ in r] for q, r in got(found).items()} == {q: [i for i, _ in r] for q, r in brute(rows, 20, scale).items()}
 
 
-def test_large_components_do_not_wrap(spark):
-    rows = [(0, [1e30, 1.0]), (1, [1e30, 1.0])]
-    with pytest.raises(Exception, match="64-bit"):
-        bitsliced_topk.top_k(table(spark, rows), "vec_id", "embedding", F.col("vec_id") % 20 == 0).collect()
+def test_large_components_end_at_long(spark):
+    """Components and scores beyond ``long`` count as its ends, for their pairs only; brute force with whole integers."""
+    top, bottom = 2 ** 63 - 1, -2 ** 63
+    rows = [(0, [1.0, 2.0]), (1, [1e18, 0.0]), (2, [-1e18, 0.0]), (3, [3.0, 1.0]), (4, [1e17, 1e17]), (5, [-1e17, 1e15]), (6, [1e18, -1e18]), (20, [1e18, 1.0])]
+    whole = {i: [min(max(math.floor(64 * x), bottom), top) for x in v] for i, v in rows}
+    found = got(bitsliced_topk.top_k(table(spark, rows, DOUBLES), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 5, block_rows=4))
+    for q in (0, 20):
+        score = {i: min(max(sum(a * b for a, b in zip(v, whole[q], strict=True)), bottom), top) for i, v in whole.items() if i != q}
+        want = sorted(((-s, i) for i, s in score.items()))[:5]
+        assert found[q] == [(i, -s) for s, i in want]
+
+
+def test_id_of_several_vectors_takes_one_place(spark):
+    rows = [(0, [1.0, 0.0])] + [(7, [100.0 + j, float(j)]) for j in range(40)] + [(i, [i / 8.0, 1.0]) for i in range(1, 60) if i != 7 and i % 20]
+    df = table(spark, rows)
+    for found in (bitsliced_topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20), hilbert_ann.nearest(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)):
+        ids = [i for i, _ in got(found)[0]]
+        assert ids == [7] + [i for i in range(59, 0, -1) if i % 20 and i != 7][:19]
+
+
+def test_nearest_of_vectors_that_overflow(spark):
+    rows = [(i, [1e200, float(i)]) for i in range(30)] + [(40, [-1e200, 1e200]), (41, [1e-300, 1.0]), (42, [1e200, 1e200])]
+    found = got(hilbert_ann.nearest(table(spark, rows, DOUBLES), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 5))
+    assert found[0] == [(i, math.inf) for i in (1, 2, 3, 4, 5)]
+    # against 42, +1e400 and -1e400 meet and are no number term by term; scaled, the two cancel
+    assert dict(found[40])[42] == 0.0 and len(found[40]) == 5
+
+
+def test_parts_of_a_range_find_what_the_range_finds(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)]
+    df = table(spark, rows)
+    whole, parts = (got(hilbert_ann.nearest(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 5, range_rows=n)) for n in (10**6, 8))
+    assert whole == parts and sorted(map(len, whole.values())) == [5] * 20
 
 
 def test_recall_on_given_vectors(spark):
