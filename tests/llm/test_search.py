@@ -100,7 +100,7 @@ def test_large_components_end_at_long(spark):
 def test_id_of_several_vectors_takes_one_place(spark):
     rows = [(0, [1.0, 0.0])] + [(7, [100.0 + j, float(j)]) for j in range(40)] + [(i, [i / 8.0, 1.0]) for i in range(1, 60) if i != 7 and i % 20]
     df = table(spark, rows)
-    for found in (bitsliced_topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20), hilbert_ann.nearest(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)):
+    for found in (bitsliced_topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20), hilbert_ann.nearest(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20, ranges_factor=0.1)):
         ids = [i for i, _ in got(found)[0]]
         assert ids == [7] + [i for i in range(59, 0, -1) if i % 20 and i != 7][:19]
 
