@@ -1,17 +1,21 @@
 """Near-copies: exact best matches and exact threshold joins without comparing every pair.
 
-References are assigned to their most similar pivot (a bounded number of pivots per group,
-drawn by hash). By the triangle inequality a pivot's ball can hold a match of an item only
-if the item lies close enough to it, so each item meets only the balls that could still
-matter; the rest are skipped with proof. A ball that holds many references is divided over
-several join keys, so no key receives an unbounded share. Copies of a reference are merged
-first. What comes out is exact: nothing is sampled, capped or approximated.
+References form a tree of balls: at each node a bounded number of pivots, drawn by hash, divides
+them, and a ball that holds many is divided again by pivots of its own, so the number of balls
+grows with the references. For a best match an item first goes down to the ball of its nearest
+pivots and compares there, which gives it a similarity that its best match reaches at least. By
+the triangle inequality a ball can hold a match only if the item lies close enough to its pivot,
+and not much farther from it than from its own nearest pivot; an item then enters only the balls that could still matter, level by level, and the rest are
+skipped with proof. Leaves are dealt out in parts of a bounded size. Copies of a reference are
+merged first. What comes out is exact: nothing is sampled, capped or approximated. How much is
+skipped depends on the data: vectors without clusters whose best match is far skip little.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +27,9 @@ from contrapair.functions import vectors as V
 from contrapair.session import materialise
 
 PIVOTS = 48
-BALL_ROWS = 512
+#: A ball of more references is divided again, down to MAX_DEPTH; what is larger still is dealt out in parts of this size.
+BALL_ROWS = 1024
+MAX_DEPTH = 6
 SLACK = 1e-6
 
 
@@ -34,17 +40,22 @@ class Likeness:
     of: Callable[[Column, Column], Column]
     # largest similarity possible inside a ball, from item-to-pivot and the ball's least similarity
     bound: Callable[[Column, Column], Column]
+    # whether something within `need` of an item can be nearer to a pivot (at s) than to the item's own nearest (at top):
+    # the two distances then differ by twice the distance of `need` at most
+    beside: Callable[[Column, Column, Column], Column]
 
 
 def _angle(c: Column) -> Column:
     return F.acos(F.greatest(F.least(c, F.lit(1.0)), F.lit(-1.0)))
 
 
-COSINE = Likeness(V.cosine, lambda s, r: F.cos(F.greatest(_angle(s) - _angle(r), F.lit(0.0))))
-UNIT_COSINE = Likeness(V.dot, COSINE.bound)
+COSINE = Likeness(V.cosine, lambda s, r: F.cos(F.greatest(_angle(s) - _angle(r), F.lit(0.0))),
+                  lambda s, top, need: _angle(s) - _angle(top) <= 2 * _angle(need))
+UNIT_COSINE = Likeness(V.dot, COSINE.bound, COSINE.beside)
 HAMMING = Likeness(
     lambda a, b: -F.bit_count(a.bitwiseXOR(b)).cast("double"),
     lambda s, r: -F.greatest(r - s, F.lit(0.0)),
+    lambda s, top, need: top - s <= -2 * need,
 )
 
 
@@ -62,25 +73,114 @@ def merge_copies(df: DataFrame, group: list[str], iid: str, vec: str) -> DataFra
     return df.groupBy(*group, vec).agg(F.min(iid).alias(iid), F.count(F.lit(1)).alias("m"))
 
 
-def _balls(refs: DataFrame, group: list[str], keep: list[str], like: Likeness) -> tuple[DataFrame, DataFrame]:
-    """(per group: pivots and ball facts, refs with their ball and part)."""
-    h = F.xxhash64(F.col("__rid"))
-    first = Window.partitionBy(*group).orderBy("__h", "__rid")
-    top = refs.withColumn("__h", h).withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= PIVOTS)
-    packed = F.array_sort(F.collect_list(F.struct("__rn", F.col("__rid").alias("__pid"), F.col("__rv").alias("__pv"))))
-    pivots = materialise(top.groupBy(*group).agg(packed.alias("__p")))
-    x = _attach(refs, pivots, group, ["__p"])
-    x = x.withColumn("__s", V.let(F.col("__rv"), lambda v: F.transform("__p", lambda p: like.of(v, p["__pv"]))))
-    x = x.withColumn("__best", F.array_max("__s"))
-    x = x.withColumn("__ball", F.array_position("__s", F.col("__best")).cast("int") - 1)
-    member = materialise(x.select(*group, "__rid", "__rv", *keep, "__ball", "__best"))
-    stats = member.groupBy(*group, "__ball").agg(F.min("__best").alias("__r"), F.count(F.lit(1)).alias("__n"))
-    stats = stats.withColumn("__parts", F.ceil(F.col("__n") / BALL_ROWS).cast("int"))
-    per = stats.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("__ball", F.struct("__r", "__parts")))).alias("__b"))
-    facts = materialise(_attach(pivots, per, group, ["__b"]))
-    member = _attach(member, facts, group, ["__b"])
-    part = F.pmod(F.xxhash64("__rid"), F.element_at("__b", F.col("__ball"))["__parts"]).cast("int")
-    return facts, member.select(*group, "__ball", part.alias("__part"), "__rid", "__rv", *keep)
+@dataclass(frozen=True)
+class Tree:
+    """Facts of each level's nodes (pivots; radius, parts and depth of their balls) and the leaves' references, packed by part."""
+
+    levels: list[DataFrame]
+    packed: DataFrame
+
+
+def _child() -> Column:
+    return F.concat_ws(".", "__node", "__ball")
+
+
+def _tree(refs: DataFrame, group: list[str], keep: list[str], like: Likeness) -> Tree:
+    by, levels, leaves = [*group, "__node"], [], []
+    level = refs.withColumn("__node", F.lit(""))
+    for depth in range(MAX_DEPTH):
+        at = by if depth else group
+        first = Window.partitionBy(*by).orderBy("__h", "__rid")
+        # another seed at each depth, so that a ball is not divided by the order that chose its pivot
+        top = level.withColumn("__h", F.xxhash64(F.lit(depth), "__rid")).withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= PIVOTS)
+        pack = F.array_sort(F.collect_list(F.struct("__rn", F.col("__rid").alias("__pid"), F.col("__rv").alias("__pv"))))
+        pivots = materialise(top.groupBy(*by).agg(pack.alias("__p")))
+        x = _attach(level, pivots, at, ["__p"])
+        x = x.withColumn("__s", V.let(F.col("__rv"), lambda v: F.transform("__p", lambda p: like.of(v, p["__pv"]))))
+        x = x.withColumn("__best", F.array_max("__s"))
+        x = x.withColumn("__ball", F.array_position("__s", F.col("__best")).cast("int") - 1)
+        member = materialise(x.select(*by, "__rid", "__rv", *keep, "__ball", "__best"))
+        stats = member.groupBy(*by, "__ball").agg(F.min("__best").alias("__r"), F.count(F.lit(1)).alias("__n"))
+        stats = stats.withColumn("__parts", F.ceil(F.col("__n") / BALL_ROWS).cast("int"))
+        stats = stats.withColumn("__deep", (F.col("__n") > BALL_ROWS) & F.lit(depth + 1 < MAX_DEPTH))
+        per = stats.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__ball", F.struct("__r", "__parts", "__deep")))).alias("__b"))
+        facts = materialise(_attach(pivots, per, at, ["__b"]).select(*by, "__p", "__b"))
+        levels.append(facts)
+        member = _attach(member, facts.select(*by, "__b"), at, ["__b"]).withColumn("__it", F.element_at("__b", F.col("__ball")))
+        part = F.pmod(F.xxhash64("__rid"), F.col("__it.__parts")).cast("int")
+        leaves.append(member.where("NOT __it.__deep").select(*by, "__ball", part.alias("__part"), "__rid", "__rv", *keep))
+        if facts.where(F.exists(F.map_values("__b"), lambda b: b["__deep"])).isEmpty():
+            break
+        level = member.where("__it.__deep").select(*group, "__rid", "__rv", *keep, _child().alias("__node"))
+    packed = F.collect_list(F.struct("__rid", "__rv", *keep)).alias("__refs")
+    return Tree(levels, materialise(reduce(DataFrame.unionByName, leaves).groupBy(*by, "__ball", "__part").agg(packed)))
+
+
+def _to_pivots(x: DataFrame, facts: DataFrame, at: list[str], like: Likeness) -> DataFrame:
+    """Items next to their node's balls, with the similarity to each pivot."""
+    return _attach(x, facts, at, ["__p", "__b"]).withColumn("__s", V.let(F.col("__iv"), lambda v: F.transform(
+        "__p", lambda p: F.struct(p["__pid"].alias("pid"), like.of(v, p["__pv"]).alias("s")))))
+
+
+def _attained(x: DataFrame, tree: Tree, group: list[str], like: Likeness, not_itself: bool) -> DataFrame:
+    """Items with ``__need``: the largest similarity met on the way down to one part of the nearest leaf."""
+    by, cols, arrived = [*group, "__node"], x.columns, []
+    x = x.withColumn("__node", F.lit("")).withColumn("__need", F.lit(float("-inf")))
+    for depth, facts in enumerate(tree.levels):
+        x = _to_pivots(x, facts, by if depth else group, like)
+        others = F.filter("__s", lambda s: s["pid"] != F.col("__iid")) if not_itself else F.col("__s")
+        met = F.array_max(F.transform(others, lambda s: s["s"]))
+        x = x.withColumn("__need", F.greatest("__need", F.coalesce(met, F.lit(float("-inf")))))
+        sims = F.transform("__s", lambda s: s["s"])
+        x = x.withColumn("__ball", V.let(sims, lambda a: F.array_position(a, F.array_max(a))).cast("int") - 1)
+        # a pivot whose equals all went to an earlier one has no ball: the way ends there
+        x = x.withColumn("__it", F.try_element_at("__b", F.col("__ball")))
+        deep = F.coalesce(F.col("__it.__deep"), F.lit(False))
+        if depth + 1 < len(tree.levels):
+            x = materialise(x.select(*cols, "__node", "__need", "__ball", "__it"))
+        part = F.pmod(F.xxhash64("__iid"), F.col("__it.__parts")).cast("int")
+        arrived.append(x.where(~deep).select(*cols, "__node", "__need", "__ball", part.alias("__part")))
+        x = x.where(deep).select(*cols, "__need", _child().alias("__node"))
+    y = reduce(DataFrame.unionByName, arrived).join(tree.packed, [*by, "__ball", "__part"], "left")
+    there = F.filter("__refs", lambda q: q["__rid"] != F.col("__iid")) if not_itself else F.col("__refs")
+    best = V.let(F.col("__iv"), lambda v: F.array_max(F.transform(there, lambda q: like.of(v, q["__rv"]))))
+    return materialise(y.select(*cols, F.greatest("__need", F.coalesce(best, F.lit(float("-inf")))).alias("__need")))
+
+
+def _open_leaves(x: DataFrame, tree: Tree, group: list[str], like: Likeness) -> DataFrame:
+    """(item, leaf part) for each leaf that could hold a similarity of ``__need``."""
+    by, cols, arrived = [*group, "__node"], x.columns, []
+    x = x.withColumn("__node", F.lit(""))
+
+    def reach(s: Column, i: Column, top: Column) -> Column:
+        ball = F.try_element_at("__b", i)
+        can = (like.bound(s["s"], ball["__r"]) >= F.col("__need")) & like.beside(s["s"], top, F.col("__need"))
+        return F.when(can, F.struct(i.alias("__ball"), ball["__parts"].alias("__parts"), ball["__deep"].alias("__deep")))
+
+    for depth, facts in enumerate(tree.levels):
+        x = _to_pivots(x, facts, by if depth else group, like)
+        top = F.array_max(F.transform("__s", lambda s: s["s"]))
+        balls = V.let(top, lambda t: F.filter(F.transform("__s", lambda s, i: reach(s, i, t)), lambda b: b.isNotNull()))
+        x = x.select(*cols, "__node", F.inline(balls))
+        if depth + 1 < len(tree.levels):
+            x = materialise(x)
+        parts = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part")
+        arrived.append(x.where("NOT __deep").select(*cols, "__node", "__ball", parts))
+        x = x.where("__deep").select(*cols, _child().alias("__node"))
+    return reduce(DataFrame.unionByName, arrived)
+
+
+def _meetings(
+    items: DataFrame, refs: DataFrame, group: list[str], ref_keep: list[str], like: Likeness,
+    threshold: float | None, best: bool, not_itself: bool,
+) -> DataFrame:
+    """Items (__iid, __iv, __need) next to the packed references of each leaf part they enter."""
+    tree = _tree(refs, group, ref_keep, like)
+    x = _attained(items, tree, group, like, not_itself) if best else items.withColumn("__need", F.lit(float("inf")))
+    if threshold is not None:
+        x = x.withColumn("__need", F.least("__need", F.lit(float(threshold))))
+    x = x.withColumn("__need", F.col("__need") - SLACK)
+    return _open_leaves(x, tree, group, like).join(tree.packed, [*group, "__node", "__ball", "__part"])
 
 
 def candidate_pairs(
@@ -104,30 +204,8 @@ def candidate_pairs(
         items, refs, group = items.withColumn("__g", F.lit(0)), refs.withColumn("__g", F.lit(0)), ["__g"]
     carried = [F.col(c).alias(f"ref_{c}") for c in ref_keep]
     r = refs.select(*group, F.col(rid).alias("__rid"), F.col(vec).alias("__rv"), *carried)
-    facts, member = _balls(r, group, [f"ref_{c}" for c in ref_keep], like)
     x = items.select(*group, F.col(iid).alias("__iid"), F.col(vec).alias("__iv"), *keep)
-    x = _attach(x, facts, group, ["__p", "__b"])
-    x = x.withColumn("__s", V.let(F.col("__iv"), lambda v: F.transform(
-        "__p", lambda p: F.struct(p["__pid"].alias("pid"), like.of(v, p["__pv"]).alias("s")))))
-    need = F.lit(float("inf"))
-    if best:
-        others = F.filter("__s", lambda s: s["pid"] != F.col("__iid")) if not_itself else F.col("__s")
-        attained = F.array_max(F.transform(others, lambda s: s["s"]))
-        need = F.least(need, F.coalesce(attained, F.lit(float("-inf"))))
-    if threshold is not None:
-        need = F.least(need, F.lit(float(threshold)))
-    x = x.withColumn("__need", need - SLACK)
-
-    def reach(s: Column, i: Column) -> Column:
-        ball = F.try_element_at("__b", i)
-        can = like.bound(s["s"], ball["__r"]) >= F.col("__need")
-        return F.when(can, F.struct(i.alias("__ball"), ball["__parts"].alias("__parts")))
-
-    open_balls = F.filter(F.transform("__s", reach), lambda b: b.isNotNull())
-    x = x.select(*group, "__iid", "__iv", *keep, F.inline(open_balls))
-    x = x.select(*group, "__iid", "__iv", *keep, "__ball", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"))
-    packed = F.collect_list(F.struct("__rid", "__rv", *[f"ref_{c}" for c in ref_keep])).alias("__refs")
-    y = x.join(member.groupBy(*group, "__ball", "__part").agg(packed), group + ["__ball", "__part"])
+    y = _meetings(x, r, group, [f"ref_{c}" for c in ref_keep], like, threshold, best, not_itself)
     sims = V.let(F.col("__iv"), lambda v: F.transform("__refs", lambda q: F.struct(
         q["__rid"].alias(f"ref_{rid}"), *[q[f"ref_{c}"].alias(f"ref_{c}") for c in ref_keep], like.of(v, q["__rv"]).alias("sim"))))
     if not_itself:
@@ -137,7 +215,7 @@ def candidate_pairs(
         cut = F.lit(float(threshold)) if threshold is not None else F.lit(float("inf"))
         if best:
             cut = F.least(cut, F.array_max(F.transform(a, lambda s: s["sim"])))
-        return V.let(cut, lambda c: F.filter(a, lambda s: s["sim"] >= c))
+        return V.let(F.greatest(cut, F.col("__need")), lambda c: F.filter(a, lambda s: s["sim"] >= c))
 
     out = [c for c in group if c != "__g"]
     return y.select(*out, F.col("__iid").alias(iid), *keep, F.inline(V.let(sims, wanted)))

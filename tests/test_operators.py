@@ -208,6 +208,40 @@ def test_pruning_skips_balls(spark, copies):
     assert p.count() == (cos >= 0.99).sum()
 
 
+def planted(n: int):
+    """n references, n / 10 items that are near copies of some of them."""
+    rng = np.random.default_rng(11)
+    refs = rng.normal(size=(n, 16))
+    items = refs[:: 10] + 0.002 * rng.normal(size=(len(refs[::10]), 16))
+    return refs, items
+
+
+@pytest.mark.parametrize("best", [True, False])
+def test_tree_of_balls_visits_few_pairs(spark, monkeypatch, best):
+    """Best matches and joins stay exact over several levels and visit few pairs; those of joins grow slower than all pairs.
+
+    A few items go down to a leaf beside their copy's and then look everywhere, so a best match keeps a small share.
+    """
+    monkeypatch.setattr(nc, "PIVOTS", 12)
+    monkeypatch.setattr(nc, "BALL_ROWS", 32)
+    share = []
+    for n in (1000, 4000):
+        refs, items = planted(n)
+        r, i = (spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "id long, v array<double>") for m in (refs, items))
+        a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (items, refs))
+        if best:
+            got = {x["id"]: x["ref_id"] for x in nc.nearest(i, r, "id", "id", "v").collect()}
+            assert got == {k: int(j) for k, j in enumerate((a @ b.T).argmax(axis=1))}
+        else:
+            pairs = nc.candidate_pairs(i, r, "id", "id", "v", threshold=0.999, best=False, like=nc.COSINE).collect()
+            assert {(x["id"], x["ref_id"]) for x in pairs} == set(zip(*(k.tolist() for k in np.nonzero(a @ b.T >= 0.999)), strict=True))
+        unit = [spark.createDataFrame([("x", k, v.tolist()) for k, v in enumerate(m)], f"g string, {p}id long, {p}v array<double>")
+                for m, p in ((a, "__i"), (b, "__r"))]
+        met = nc._meetings(*unit, ["g"], [], nc.UNIT_COSINE, None if best else 0.999, best, False)
+        share.append(met.agg(F.sum(F.size("__refs"))).first()[0] / (len(a) * len(b)))
+    assert share[1] < 0.02 and (best or share[1] < share[0]), share
+
+
 def test_diversity_with_copies(spark, copies):
     _, refs, _ = copies
     df = refs.withColumn("g", F.lit("x"))
