@@ -129,7 +129,9 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k:
         m, q = (np.stack([np.frombuffer(b) for b in x["vec"]]) for x in (own, queries))
         ids, qid = own["ids"].to_numpy(), np.array([i[0] for i in queries["ids"]], dtype=np.int64)
         out, keep = [], min(len(m), k + 1)
-        step = max(1, (1 << 22) // len(m))
+        flat = np.concatenate(ids)
+        repeats = len(np.unique(flat)) < len(flat)  # ids of several vectors: one query at a time, so that k ids are held, not k rows
+        step = 1 if repeats else max(1, (1 << 22) // len(m))
         for at in range(0, len(q), step):
             with np.errstate(over="ignore", invalid="ignore"):
                 s = q[at:at + step] @ m.T
@@ -139,7 +141,13 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k:
             finite = np.where(np.isfinite(s), np.abs(s), 0.0).max(axis=1)
             best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
             # all that reach the last kept score, up to the last bits, so that ties are settled by id
-            least = np.take_along_axis(s, best, axis=1).min(axis=1) - 1e-9 * np.maximum(1.0, finite)
+            least = np.take_along_axis(s, best, axis=1).min(axis=1)
+            if repeats:
+                down = np.argsort(-s[0], kind="stable")
+                owner = np.repeat(down, [len(ids[j]) for j in down])
+                firsts = np.sort(np.unique(np.concatenate(ids[down]), return_index=True)[1])
+                least = s[0, owner[firsts[:k + 1][-1:]]]
+            least = least - 1e-9 * np.maximum(1.0, finite)
             r, c = np.nonzero(s >= least[:, None])
             with np.errstate(over="ignore", invalid="ignore"):
                 exact = mended((q[at + r] * m[c]).sum(axis=1), q[at + r], m[c])  # term by term, so that equal pairs score equally in every range
@@ -148,6 +156,8 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k:
                 "query_id": np.repeat(qid[at + r], n), "vec_id": np.concatenate([np.asarray(ids[j], dtype=np.int64) for j in c]),
                 "score": np.repeat(exact, n)})
             found = found[found["query_id"] != found["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+            if repeats:
+                found = found.drop_duplicates(["query_id", "vec_id"])
             out.append(found.groupby("query_id", sort=False).head(k))
         return pd.concat(out) if out else empty
 
