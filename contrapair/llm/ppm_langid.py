@@ -7,18 +7,20 @@ never seen. Statistics are frozen, so the cost of a byte depends on it and the `
 batches are scored by table look-ups. The language with the shortest code wins.
 
 Trees are counted by Spark on a bounded sample: about ``sample_docs`` whole texts of each language, chosen by a hash
-of their ids, and at most ``max_nodes`` of the most frequent nodes over all languages. Everything else is scored in full.
+of their ids, and of the most frequent nodes of each language, whose equal share of ``max_nodes`` no other language can take.
+Everything else is scored in full.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from contrapair.llm.common import Index, map_texts, slices, unit_hash
+from contrapair.session import materialise, scratch
 
 UNDECIDED = "und"
 WINDOW = 1 << 18  # bytes scored at a time
@@ -109,7 +111,8 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, may_learn:
           max_nodes: int = 400_000) -> Trees | None:
     """Trees of all languages named in rows that may be learnt from; None where there are none.
 
-    The names of languages come to the driver: they are taken to be few.
+    The names of languages come to the driver: they are taken to be few. Each language keeps its most frequent nodes, of equal
+    counts all or none, within ``max_nodes`` divided by the number of languages; its nodes without context always stay.
     """
     usable = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     usable = usable.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -143,8 +146,14 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, may_learn:
 
     kinds = StructType([StructField("lang", StringType()), *[StructField(c, LongType()) for c in ("m", "gram", "n")]])
     nodes = sample.mapInArrow(tally, kinds).groupBy("lang", "m", "gram").agg(F.sum("n").alias("n"))
-    # a context is at least as frequent as what follows it, so the most frequent nodes form trees
-    kept = nodes.orderBy(F.desc("n"), "m", "lang", "gram").limit(max_nodes).toPandas()
+    with scratch(docs.sparkSession):
+        nodes = materialise(nodes)
+        # a context is at least as frequent as what follows it, so the most frequent nodes of a language form a tree
+        held = nodes.groupBy("lang", "n").agg(F.count("*").alias("nodes"))
+        down = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)  # a row for each distinct count
+        least = held.withColumn("total", F.sum("nodes").over(down)).where(F.col("total") <= max_nodes // len(langs))
+        least = least.groupBy("lang").agg(F.min("n").alias("least"))
+        kept = nodes.join(least, "lang", "left").where("m = 0 or n >= least").select("lang", "m", "gram", "n").toPandas()
     place = kept["lang"].map({name: i for i, name in enumerate(langs)}).to_numpy(dtype=np.int64)
     counts = []
     for m in range(order + 1):

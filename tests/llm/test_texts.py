@@ -185,6 +185,27 @@ def test_language_of_odd_rows(spark):
     assert ppm_langid.learn(named.limit(0), "doc_id", "text", "lang", F.lit(True)) is None
 
 
+def test_rare_language_keeps_its_nodes(spark):
+    """Ten languages of 200 texts and one of 20: the rare one has the smallest counts and still its share of long contexts."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    words = {f"l{k:02}": ["".join(rng.choices("abcdefghijkl", k=rng.randint(3, 7))) for _ in range(60)] for k in range(11)}
+    write = lambda lang, n: [(lang, " ".join(rng.choices(words[lang], k=40))) for _ in range(n)]
+    rows = [r for k in range(10) for r in write(f"l{k:02}", 200)] + write("l10", 20)
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(4)
+    trees = ppm_langid.learn(docs, "doc_id", "text", "lang", F.lit(True), max_nodes=3300)
+    finite = [np.isfinite(c).all() for c in trees.costs]
+    assert all(finite) and (trees.costs[2][:, 10] < trees.costs[2].mean()).any()
+    deep = [int((trees.escapes[3][:, i] > 0).sum()) for i in range(11)]
+    assert 2 * deep[10] >= min(deep[:10]) > 0  # contexts of three bytes; smaller counts tie more often and ties go together
+    fresh = [r for k in range(11) for r in write(f"l{k:02}", 20)]
+    asked = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(fresh)], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in ppm_langid.identify(asked, "text", ["doc_id"], trees).collect()}
+    assert sum(got[i] == "l10" for i, (lang, _) in enumerate(fresh) if lang == "l10") >= 19
+    assert sum(got[i] == lang for i, (lang, _) in enumerate(fresh)) >= 210
+
+
 def test_quality_on_held_out_rows(spark):
     label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
     rows = queries.op10_quality(spark, SMALL).collect()
