@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from contrapair.functions.ordered import exact_quantiles, with_running
 from contrapair.functions.vectors import safe_div
@@ -60,6 +64,37 @@ def missing_candidates(df: DataFrame, keys: list[str], cand: str, candidates: li
     return have.select(*keys, F.explode(gone).alias(cand))
 
 
+def absent_items(df: DataFrame, tag: str, cand: str, item: str, cells: DataFrame, expected: DataFrame) -> DataFrame:
+    """tag, cand, item: each expected item that an expected cell (tag, candidate) has no row of, cells without any row included.
+
+    ``cells`` has the columns tag and cand, ``expected`` the whole number ``item``. Items are held as bitmaps of 32,768 numbers, so
+    the rows are cells times stretches of numbers, not cells times items. Null items and cells are ignored, repeated rows count once.
+    """
+    stretch, place = F.bitmap_bucket_number(F.col(item)), F.bitmap_bit_position(F.col(item))
+    held = df.where(F.col(item).isNotNull()).groupBy(tag, cand, stretch.alias("stretch")).agg(F.bitmap_construct_agg(place).alias("held"))
+    want = expected.where(F.col(item).isNotNull()).groupBy(stretch.alias("stretch")).agg(F.bitmap_construct_agg(place).alias("want"))
+    listed = cells.select(tag, cand).dropna().distinct().agg(F.collect_list(F.struct(tag, cand))).scalar()
+    grid = want.select("stretch", "want", F.inline(listed)).join(held, [tag, cand, "stretch"], "left")
+    number = df.schema[item].dataType
+    out = StructType([cells.schema[tag], cells.schema[cand], StructField(item, LongType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, items = [], []
+            for n, (at, want_bits, held_bits) in enumerate(zip(*[batch.column(c).to_pylist() for c in (2, 3, 4)], strict=True)):
+                gone = np.frombuffer(want_bits, dtype=np.uint8)
+                if held_bits is not None:
+                    gone = gone & ~np.frombuffer(held_bits, dtype=np.uint8)
+                bit = np.flatnonzero(np.unpackbits(gone, bitorder="little"))
+                items.append((at - 1) * 32768 + bit + 1 if at > 0 else at * 32768 - bit)
+                rows.append(np.full(len(bit), n))
+            rows, items = np.concatenate([np.zeros(0, dtype=np.int64), *rows]).astype(np.int64), np.concatenate([np.zeros(0, dtype=np.int64), *items])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(items)], names=[tag, cand, item])
+
+    found = grid.select(tag, cand, "stretch", "want", "held").mapInArrow(compare, out)
+    return found.withColumn(item, F.col(item).cast(number))
+
+
 def failing_gates(df: DataFrame, gates: dict[str, Column]) -> DataFrame:
     """fails: names of the gates whose condition holds."""
     fails = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in gates.items()]))

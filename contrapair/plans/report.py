@@ -113,6 +113,17 @@ def completeness(spark, sf):
     return x.groupBy("arm").agg(F.count(F.lit(1)).alias("n_missing"), F.min("gen_idx").alias("first_missing"))
 
 
+@query("g4_absent_items", oracle("""SELECT arm, seed, count(*) AS n_missing, min(o_orderkey) AS first_missing FROM
+    (SELECT arm, seed, o_orderkey FROM (VALUES ('A'), ('B'), ('base')) x(arm), range(0, 13) t(seed), (SELECT DISTINCT o_orderkey FROM orders)
+    EXCEPT SELECT arm, seed, l_orderkey FROM v_lines) GROUP BY arm, seed"""))
+def absent_items(spark, sf):
+    """Orders that a cell (arm, seed) has no line of; the last seed has no lines at all."""
+    cells = spark.createDataFrame([(arm, seed) for arm in ("A", "B", "base") for seed in range(13)], "arm string, seed long")
+    orders = d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    x = op.absent_items(d.lines(spark, sf), "arm", "seed", "l_orderkey", cells, orders)
+    return x.groupBy("arm", "seed").agg(F.count(F.lit(1)).alias("n_missing"), F.min("l_orderkey").cast("long").alias("first_missing"))
+
+
 @query("g5_quality_gate", oracle("""SELECT device, concat_ws(',', CASE WHEN h < 0.55 THEN 'split_half' END, CASE WHEN abs(p) > 0.1 THEN 'pairwise' END, CASE WHEN greatest(h - p, 0) < 0.5 THEN 'device_share' END) AS fails,
     NOT (h < 0.55 OR abs(p) > 0.1 OR greatest(h - p, 0) < 0.5) AS passes FROM (SELECT a.device, corr(a.k, b.k) AS h FROM v_e1 a JOIN v_e2 b USING (device, pos) GROUP BY a.device) JOIN
     (SELECT device, avg(c) AS p FROM (SELECT a.device, b.device AS other, corr(a.k, b.k) AS c FROM v_e2 a JOIN v_e2 b USING (pos) WHERE a.device <> b.device GROUP BY ALL) GROUP BY device) USING (device)"""))
