@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from contrapair.functions import vectors as V
+from contrapair.functions.hashing import portable_hash_sql
 from contrapair.functions.ordered import exact_quantiles
 from contrapair.operators import nearcopy as op
+from contrapair.operators import scenes
 from contrapair.operators import scoring as sc
 from contrapair.operators import signatures as sg
 from contrapair.plans import derived as d
@@ -253,14 +253,38 @@ def overlap_clean(spark, sf):
     return theta.join(hit.groupBy("device").agg(F.count(F.lit(1)).alias("n_dropped")), "device")
 
 
+SCENES, ROUNDS = 8, 5
+
+
+def scene_steps() -> dict[str, str]:
+    """The rounds of the k-means as named tables: centres of a round, then each item's nearest."""
+    steps = {"centre0": f"""SELECT device, row_number() OVER (PARTITION BY device ORDER BY {portable_hash_sql('vec_id', '0', 61)}, vec_id) - 1 AS scene, y AS k
+        FROM v_vec WHERE device IS NOT NULL QUALIFY scene < {SCENES}"""}
+    for i in range(ROUNDS + 1):
+        steps[f"near{i}"] = f"""SELECT v.device, v.vec_id, any_value(v.y) AS y, min(struct_pack(far := list_distance(v.y, c.k), scene := c.scene)).scene AS scene
+            FROM v_vec v JOIN centre{i} c USING (device) GROUP BY v.device, v.vec_id"""
+        if i < ROUNDS:
+            steps[f"centre{i + 1}"] = f"""SELECT c.device, c.scene, coalesce(m.k, c.k) AS k FROM centre{i} c LEFT JOIN (SELECT device, scene, list(m ORDER BY pos) AS k FROM
+                (SELECT device, scene, pos, sum(round(x * 1048576)::BIGINT)::DOUBLE / count(*) / 1048576 AS m FROM
+                (SELECT device, scene, unnest(range(0, len(y))) AS pos, unnest(y) AS x FROM near{i}) GROUP BY ALL) GROUP BY device, scene) m USING (device, scene)"""
+    return steps
+
+
+@query("d22_device_scenes", oracle(f"SELECT device, {i64('scene')} AS scene, count(*) AS n, min(vec_id) AS first_item FROM near{ROUNDS} GROUP BY device, scene", **scene_steps()))
+def device_scenes(spark, sf):
+    """Scenes by a k-means within each device, before labels are matched."""
+    v = d.table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("device"), "embedding")
+    rows = materialise(v.select("device", F.col("vec_id").alias("item"), V.doubles(F.col("embedding")).alias("vec")).dropna())
+    x = scenes.with_scene(rows, scenes.device_centres(rows, SCENES, ROUNDS))
+    return x.groupBy("device", F.col("scene").cast("long").alias("scene")).agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("first_item"))
+
+
 @query("d22_scene_groups")
 def scene_groups(spark, sf):
-    """Scenes by k-means on the embeddings: one fit over all devices, so labels already agree between devices."""
-    v = d.table(spark, sf, "embeddings").select(
-        "vec_id", F.col("label").cast("string").alias("device"), array_to_vector(V.doubles(F.col("embedding"))).alias("features"))
-    v = materialise(v)
-    model = KMeans(k=8, seed=0, maxIter=10).fit(v)
-    return model.transform(v).groupBy("device", F.col("prediction").cast("long").alias("scene")).agg(F.count(F.lit(1)).alias("n"))
+    """Scenes by a k-means within each device, labels matched between devices; rows of each (device, label)."""
+    v = d.table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("device"), "embedding")
+    x = scenes.device_scenes(v, "device", "vec_id", "embedding", k=SCENES, rounds=ROUNDS)
+    return x.groupBy("device", F.col("label").cast("long").alias("scene")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("d23_mutual_matches", oracle(f"""SELECT a.vec_id AS a_id, a.ref_vec_id AS b_id, {r('a.sim', 6)} AS sim FROM v_near a JOIN
