@@ -1,6 +1,6 @@
 """Exact byte-pair encoding and decoding with a transducer lexicon.
 
-The most frequent pre-tokens of the corpus are counted by Spark, merged once, and compiled into a minimal acyclic automaton
+The tokenizer's own tokens that are pre-tokens are merged once and compiled into a minimal acyclic automaton
 whose words share prefixes and suffixes. Its transitions carry numbers that add up to the place of a word, and the place leads
 to the word's ids. The automaton is one flat file in the shared folder, memory-mapped by every task. Words that are not in
 it are merged exactly, so the lexicon decides speed, never results.
@@ -10,19 +10,14 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections import Counter
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from contrapair.llm.common import Index, map_texts, publish, release
+from contrapair.llm.common import Index, map_texts, publish
 from contrapair.llm.pretokens import Splitter
-from contrapair.session import materialise
 
 
 NONE = (1 << 31) - 1
@@ -222,58 +217,28 @@ class Lexicon:
         return out
 
 
-def frequent_words(docs: DataFrame, text_col: str, specials: tuple[str, ...], words: int, longest: int) -> list[str]:
-    """The most frequent pre-tokens of whole texts, of at most ``longest`` characters; at most ``words``, ties together."""
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        split, seen, words = Splitter(specials), Counter(), Counter()
-
-        def out() -> pa.RecordBatch:
-            for segment, n in seen.items():
-                for word in split(" " + segment):
-                    words[word] += n
-            short = [w for w in words if len(w) <= longest]
-            return pa.RecordBatch.from_arrays([pa.array(short, type=pa.string()), pa.array([words[w] for w in short], type=pa.int64())], names=["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                parts = split.segments(text)
-                if parts is None:
-                    words.update(split(text))
-                else:
-                    words.update(split(parts[0]))
-                    seen.update(parts[1:])
-                if len(seen) > 250_000:  # bounded memory: what was counted so far goes on to the shuffle
-                    yield out()
-                    seen, words = Counter(), Counter()
-        yield out()
-        del seen, words
-        release()
-
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
-    counted = texts.mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = materialise(counted)
-    # a count that so many words pass, found from the counts' own frequencies, so that no task sends more than its share
-    held = counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(words).collect()
-    least, total = None, 0
-    for r in held:
-        total += r["words"]
-        if total > words:
-            break
-        least = r["n"]
-    best = counted.where(F.col("n") >= least).collect() if least else counted.orderBy(F.desc("n"), "word").limit(words).collect()
-    return [r["word"] for r in best if r["word"] not in specials]
+def own_words(vocabulary: Vocabulary, words: int, longest: int) -> list[bytes]:
+    """The vocabulary's first tokens that are one pre-token of at most ``longest`` characters; at most ``words``.
+
+    Ids of merges follow their ranks, so these are the tokens that the tokenizer's makers met most often.
+    """
+    split, out = Splitter(), []
+    for token in vocabulary.bytes:
+        text = token.decode("utf-8", errors="replace")
+        if 0 < len(text) <= longest and text.encode() == token and text not in vocabulary.specials and split(text) == [text]:
+            out.append(token)
+            if len(out) == words:
+                break
+    return out
 
 
 def encode_decode(docs: DataFrame, text_col: str, carry: list[str], tokenizer: str, *, lexicon_words: int = 50_000,
-                  lexicon_docs: int = 20_000, longest_word: int = 32, cache_words: int = 300_000) -> DataFrame:
+                  longest_word: int = 32, cache_words: int = 300_000) -> DataFrame:
     """The columns ``carry`` with n_tokens long, ids binary (little-endian unsigned 32-bit) and decoded string.
 
     Whole texts; special tokens' strings become their ids, nothing is added. ``lexicon_words`` words of at most
-    ``longest_word`` characters bound the lexicon, chosen from a sample of about ``lexicon_docs`` documents: which words it
-    has decides speed alone, since all others are merged exactly. ``cache_words`` bounds what a task remembers between
-    slices of about 2 MB of text.
+    ``longest_word`` characters bound the lexicon, which depends on the tokenizer's file alone; all other words are merged
+    exactly. ``cache_words`` bounds what a task remembers between slices of about 2 MB of text.
 
     * A null text counts as empty; an empty text has no ids and decodes to the empty string.
     * Words of any length are merged in n log n steps. Rows repeating others are rows of their own, null ids stay null.
@@ -282,10 +247,8 @@ def encode_decode(docs: DataFrame, text_col: str, carry: list[str], tokenizer: s
     spark = docs.sparkSession
     vocabulary = Vocabulary(tokenizer)
     specials = tuple(vocabulary.specials)
-    share = lexicon_docs / max(1, docs.count())
-    sample = docs.sample(fraction=share, seed=0) if share < 1 else docs
-    words = frequent_words(sample, text_col, specials, lexicon_words, longest_word)
-    file = publish(spark, "lexicon.bin", compile_lexicon({w.encode(): vocabulary.merge(w.encode()) for w in words}))
+    words = own_words(vocabulary, lexicon_words, longest_word)
+    file = publish(spark, "lexicon.bin", compile_lexicon({w: vocabulary.merge(w) for w in words}))
     shared = spark.sparkContext.broadcast(vocabulary)  # a tokenizer file: fixed size
 
     def start():

@@ -76,6 +76,21 @@ def test_encoding_query_on_given_texts(spark):
         assert r["decoded_sha256"] == hashlib.sha256(t.decode(want, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_lexicon_comes_from_the_tokenizer_alone(spark, monkeypatch):
+    """Neither a sample nor a count of the documents decides which words the lexicon has."""
+    docs = table(spark, ODD)
+
+    def refuse(*_, **__):
+        raise AssertionError("reads the documents")
+
+    for name in ("sample", "count", "collect"):
+        monkeypatch.setattr(type(docs), name, refuse)
+    transducer_bpe.encode_decode(docs, "text", ["doc_id"], public_tokenizers.path("byte_bpe_50k.json"))
+    vocab = transducer_bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    words = transducer_bpe.own_words(vocab, 1000, 4)
+    assert len(words) == 1000 and b" the" in words and max(len(w.decode()) for w in words) <= 4
+
+
 def test_lexicon_shares_suffixes(tmp_path):
     words = {w.encode(): (i, i + 1) for i, w in enumerate(["walking", "talking", "walked", "talked", "a", "", "übung"])}
     path = tmp_path / "lexicon"
