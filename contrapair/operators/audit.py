@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from contrapair.functions.ordered import exact_quantiles, with_running
-from contrapair.functions.vectors import safe_div
+from contrapair.functions.vectors import let, safe_div
 
 
 def ledger_check(ledger: DataFrame, got: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -64,6 +64,10 @@ def missing_candidates(df: DataFrame, keys: list[str], cand: str, candidates: li
     return have.select(*keys, F.explode(gone).alias(cand))
 
 
+#: Stretches of items that a task compares together.
+STRETCHES = 8
+
+
 def absent_items(df: DataFrame, tag: str, cand: str, item: str, cells: DataFrame, expected: DataFrame) -> DataFrame:
     """tag, cand, item: each expected item that an expected cell (tag, candidate) has no row of, cells without any row included.
 
@@ -79,7 +83,8 @@ def absent_items(df: DataFrame, tag: str, cand: str, item: str, cells: DataFrame
     out = StructType([cells.schema[tag], cells.schema[cand], StructField(item, LongType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # a row makes up to 32,768 rows, so a few are looked at together
+        for batch in (b.slice(at, STRETCHES) for b in batches for at in range(0, b.num_rows, STRETCHES)):
             rows, items = [], []
             for n, (at, want_bits, held_bits) in enumerate(zip(*[batch.column(c).to_pylist() for c in (2, 3, 4)], strict=True)):
                 gone = np.frombuffer(want_bits, dtype=np.uint8)
@@ -187,15 +192,23 @@ def keyword_hits(df: DataFrame, texts: list[str], first: list[str], second: list
 
 
 def inverted_index(df: DataFrame, doc: str, words: Column) -> DataFrame:
-    """(doc, word, positions)."""
-    x = df.select(doc, F.posexplode(words).alias("pos", "word"))
-    return x.groupBy(doc, "word").agg(F.collect_list("pos").alias("positions"))
+    """(doc, word, positions), computed inside each row; places are sorted by word, and each run of a word is one row."""
+    places = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
+
+    def runs(a: Column) -> Column:
+        last = F.size(a) - 1
+        starts = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get(a, i)["word"] != F.get(a, i - 1)["word"]))
+        return let(F.concat(starts, F.array(F.size(a))), lambda s: F.transform(F.slice(s, 1, F.size(s) - 1), lambda at, k: F.struct(
+            F.get(a, at)["word"].alias("word"), F.transform(F.slice(a, at + 1, F.get(s, k + 1) - at), lambda p: p["pos"]).alias("positions"))))
+
+    return df.where(F.size(words) > 0).select(doc, F.inline(let(places, runs)))
 
 
 def rebuilt_text(index: DataFrame, doc: str) -> DataFrame:
-    """Text of each document from its inverted index."""
-    x = index.select(doc, "word", F.explode("positions").alias("pos"))
-    s = x.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("s"))
+    """Text of each document from its inverted index, whose rows are moved as they are and opened inside the document's row."""
+    rows = index.groupBy(doc).agg(F.collect_list(F.struct("word", "positions")).alias("l"))
+    opened = F.flatten(F.transform("l", lambda e: F.transform(e["positions"], lambda p: F.struct(p.alias("pos"), e["word"].alias("word")))))
+    s = rows.select(doc, F.array_sort(opened).alias("s"))
     return s.select(doc, F.size("s").alias("n_words"), F.array_join("s.word", " ").alias("text"))
 
 

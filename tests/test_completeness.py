@@ -1,5 +1,7 @@
 """Absent items and cells against sets."""
 
+from pyspark.sql import functions as F
+
 from contrapair.operators import audit
 
 
@@ -23,3 +25,22 @@ def test_nothing_expected_or_nothing_there(spark):
     assert audit.absent_items(none, "tag", "cand", "item", cells, some.limit(0)).count() == 0
     assert sorted(r["item"] for r in audit.absent_items(none, "tag", "cand", "item", cells, some).collect()) == [1, 2]
     assert audit.absent_items(none, "tag", "cand", "item", cells.limit(0), some).count() == 0
+
+
+def test_many_stretches_in_bounded_pieces(spark):
+    """Sixty stretches of which all is missing: more than a task looks at together, whose rows are bounded."""
+    expected = spark.range(0, 60 * 32768, 4096).withColumnRenamed("id", "item").coalesce(1)
+    none = spark.createDataFrame([], "tag string, cand string, item long")
+    got = audit.absent_items(none, "tag", "cand", "item", spark.createDataFrame([("t", "A"), ("u", "A")], "tag string, cand string"), expected)
+    assert sorted(r["item"] for r in got.collect()) == sorted([*range(0, 60 * 32768, 4096)] * 2)
+    assert audit.STRETCHES * 32768 * 16 < 8e6
+
+
+def test_rebuilt_text_moves_the_index_once(spark):
+    df = spark.createDataFrame([(1, "b a  b c a b"), (2, ""), (3, None), (4, "x")], "doc long, text string")
+    index = audit.inverted_index(df, "doc", F.split("text", r"\s+"))
+    assert {(r["doc"], r["word"]): r["positions"] for r in index.collect()} == {
+        (1, "a"): [1, 4], (1, "b"): [0, 2, 5], (1, "c"): [3], (2, ""): [0], (4, "x"): [0]}
+    back = audit.rebuilt_text(index, "doc")
+    assert {r["doc"]: (r["n_words"], r["text"]) for r in back.collect()} == {1: (6, "b a b c a b"), 2: (1, ""), 4: (1, "x")}
+    assert back._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
