@@ -1,8 +1,10 @@
 """Absent items and cells against sets."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from contrapair.operators import audit
+from contrapair.functions.hashing import hash_array
+from contrapair.operators import audit, resample
 
 
 def test_absent_items(spark):
@@ -44,3 +46,16 @@ def test_rebuilt_text_moves_the_index_once(spark):
     back = audit.rebuilt_text(index, "doc")
     assert {r["doc"]: (r["n_words"], r["text"]) for r in back.collect()} == {1: (6, "b a b c a b"), 2: (1, ""), 4: (1, "x")}
     assert back._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_hashed_subsets_sort_few_rows(spark):
+    """The rows of smallest hash, whether or not enough of them lie below the cut; what is sorted does not grow with the items."""
+    ids = {"big": np.arange(3000), "small": np.arange(3), "alike": np.concatenate([np.full(900, next(i for i in range(99999) if hash_array(np.array([i]), np.array([0]), 5)[0] > 2e9)), np.arange(9)])}
+    df = spark.createDataFrame([(t, int(i), float(k)) for t, a in ids.items() for k, i in enumerate(a)], "tag string, id long, v double")
+    got = {(r["tag"], r["rep"]): (r["n"], r["m"]) for r in resample.hashed_subsets(df, "tag", df["id"], "v", 10, 3, 5).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {(t, rep): min(10, len(a)) for t, a in ids.items() for rep in range(3)}
+    for rep in range(3):
+        h = hash_array(ids["big"], np.full(3000, rep), 5)
+        assert abs(got["big", rep][1] - np.lexsort((ids["big"], h))[:10].mean()) < 1e-9
+    plan = resample.hashed_subsets(df.where("tag = 'big'"), "tag", df["id"], "v", 10, 3, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
