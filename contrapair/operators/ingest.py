@@ -119,6 +119,7 @@ def last_complete_run(df: DataFrame, job: str, seq: str, step: str, first: int,
     """
     x = df.withColumn("__s", F.when(F.col(step) == first, 1).otherwise(0))
     x = with_running(x, [job], [seq], {"run": ("sum", "__s")}).drop("__s").where(F.col("run") > 0)
+    x = materialise(x)
     full = x.groupBy(job, "run").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(step)).alias("d"), F.max(step).alias("hi")
     ).where((F.col("n") == steps) & (F.col("d") == steps) & (F.col("hi") == first + steps - 1))

@@ -9,7 +9,7 @@ from contrapair.operators import ingest as op
 from contrapair.plans import derived as d
 from contrapair.plans.registry import query
 from contrapair.plans.sqlkit import big, i64, oracle, r, rounded
-from contrapair.session import scratch_path
+from contrapair.session import materialise, scratch_path
 from contrapair.sources import readers, writers
 
 URL_RULES = [
@@ -133,13 +133,14 @@ def last_complete_run(spark, sf):
     """Each user's events are one job's log; an error event restarts its step counter."""
     e = d.table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
     e = e.withColumn("crash", F.when(F.col("event_type") == "error", 1).otherwise(0))
-    e = with_running(e, ["user_id"], ["event_id"], {"c": ("sum", "crash")})
+    # each step reads its rows several times, so what comes before is written once
+    e = materialise(with_running(e, ["user_id"], ["event_id"], {"c": ("sum", "crash")}).select("event_id", "user_id", "value", "c"))
     e = with_rank(e, ["user_id", "c"], ["event_id"], "step").where(F.col("step") <= RUN_STEPS)
     line = F.concat(
         F.lit("[00:00:00] job"), F.col("user_id").cast("string"), F.lit(" "), F.col("step").cast("string"),
         F.lit(f"/{RUN_STEPS} loss "), F.round(F.col("value") * 100).cast("long").cast("string"),
     )
-    log = op.parse_log(e.select("event_id", line.alias("line")), "line")
+    log = materialise(op.parse_log(e.select("event_id", line.alias("line")), "line").select("event_id", "job", "step", "loss"))
     out = op.last_complete_run(log, "job", "event_id", "step", 1, RUN_STEPS)
     return out.select("job", big("run").alias("run"), "step", "loss")
 
