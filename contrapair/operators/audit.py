@@ -13,6 +13,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from contrapair.functions.ordered import exact_quantiles, with_running
 from contrapair.functions.vectors import let, safe_div
+from contrapair.session import materialise
 
 
 def ledger_check(ledger: DataFrame, got: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -179,7 +180,7 @@ def union_length(df: DataFrame, keys: list[str], start: str, end: str, uid: str)
 def reproduction(x: DataFrame, y: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Two row sets of the same measurement: joined rows, largest and median difference, correlation."""
     j = x.select(*keys, F.col(value).alias("a")).join(y.select(*keys, F.col(value).alias("b")), keys)
-    j = j.withColumn("d", F.abs(F.col("a") - F.col("b")))
+    j = materialise(j.select("a", "b", F.abs(F.col("a") - F.col("b")).alias("d")))  # four passes follow
     med = exact_quantiles(j, [], "d", {"m": 0.5})
     s = j.agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("max_abs"), F.corr("a", "b").alias("r"), F.stddev_samp("b").alias("sd"))
     return s.select("*", med.scalar().alias("median_abs"))
