@@ -214,12 +214,14 @@ def paired_banks(x: DataFrame, y: DataFrame, keys: list[str], value: str) -> Dat
     return x.join(b, keys).withColumn("d", F.col(value) - F.col("__b")).drop("__b")
 
 
-def absolute_difference_to_base(df: DataFrame, keys: list[str], arm: str, value: str, base: str) -> DataFrame:
-    """Mean |arm - base| over shared keys, one row per arm."""
-    b = df.where(F.col(arm) == base).groupBy(*keys).agg(F.avg(value).alias("__b"))
-    a = df.where(F.col(arm) != base).groupBy(arm, *keys).agg(F.avg(value).alias("__a"))
-    x = a.join(b, keys)
-    return x.groupBy(arm).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("__a") - F.col("__b"))).alias("mad"))
+def absolute_difference_to_base(df: DataFrame, keys: list[str], arm: str, value: str | list[str], base: str) -> DataFrame:
+    """Mean |arm - base| over shared keys, one row per arm. Several value columns count as one key each and stay in one row until they are compared."""
+    values = [value] if isinstance(value, str) else value
+    b = df.where(F.col(arm) == base).groupBy(*keys).agg(*[F.avg(v).alias(f"__b{i}") for i, v in enumerate(values)])
+    a = df.where(F.col(arm) != base).groupBy(arm, *keys).agg(*[F.avg(v).alias(f"__a{i}") for i, v in enumerate(values)])
+    gaps = F.array(*[F.abs(F.col(f"__a{i}") - F.col(f"__b{i}")) for i in range(len(values))])
+    x = a.join(b, keys).select(arm, F.explode(gaps).alias("__d"))
+    return x.groupBy(arm).agg(F.count(F.lit(1)).alias("n"), F.avg("__d").alias("mad"))
 
 
 def z_against_others(means: DataFrame, group: str, value: str) -> DataFrame:
