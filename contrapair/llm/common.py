@@ -76,6 +76,20 @@ def release() -> None:
         trim(0)
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on, rows go to the session's Python workers in batches of about BATCH_BYTES, unless it has a smaller bound.
+
+    Spark's own bound is 10,000 rows, and these hold 20 MB and more where they are whole texts, in the executor and in each worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def slices(batch: pa.RecordBatch, rows: int, size: int, column: int | None = None) -> Iterator[pa.RecordBatch]:
     """Runs of a batch's rows whose string column (the last) holds about ``size`` bytes; a longer text is a run of its own."""
     column = batch.num_columns - 1 if column is None else column

@@ -100,11 +100,17 @@ def place_copies(docs: DataFrame, id_col: str, source_col: str, size: Column, we
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: each row as often as ``mix`` takes it, with all its columns.
 
-    Rows go through the numbering themselves and are not found again by id, so null and repeated ids are rows of their own source.
+    Rows are numbered as they are written, and the copies are placed on numbers without texts: a text is moved once, to the copies of
+    its number. So rows are not found again by id, and null and repeated ids are rows of their own source.
     """
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(names)])
     text = F.col(f"`{text_col}`")
-    taken = place_copies(docs, id_col, source_col, word_count(text), carry={"tie": F.xxhash64(text), "row": row}, **options).where("copies > 0")
-    both = taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    with scratch(docs.sparkSession) as tables:
+        rows = tables.keep(docs.select(F.monotonically_increasing_id().alias("at"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"),
+                                       word_count(text).alias("size"), F.xxhash64(text).alias("tie"), row.alias("row")))
+        taken = place_copies(rows, "id", "source", F.col("size"), carry={"tie": F.col("tie"), "at": F.col("at")}, **options)
+        taken = tables.keep(taken.where("copies > 0").select("at", "copies"))
+    # numbers in sequence take far less in a file than in memory, so the file's size must not choose a broadcast
+    both = rows.select("at", "row").join(taken.hint("merge"), "at").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return both.select(*[F.col("row").getField(f"c{n}").alias(c) for n, c in enumerate(names)])

@@ -21,6 +21,10 @@ from contrapair.llm.pretokens import Splitter
 
 
 NONE = (1 << 31) - 1
+#: Bytes of text that are cut into pre-tokens at a time; their strings take some ten times as much.
+SLICE = 1 << 18
+#: Words that are merged at a time: their tables, of 32 places a word, are the largest things a task holds.
+MERGED_AT_ONCE = 1 << 12
 
 
 def byte_letters() -> list[str]:
@@ -91,7 +95,7 @@ class Vocabulary:
         byte_ids = np.array(self.byte_ids, dtype=np.int64)
         for least, most in ((0, 8), (8, 16), (16, 32)):
             at = np.flatnonzero((length > least) & (length <= most))
-            for some in np.array_split(at, -(-len(at) // 65536) or 1):
+            for some in np.array_split(at, -(-len(at) // MERGED_AT_ONCE) or 1):
                 if not len(some):
                     continue
                 data = np.frombuffer(b"".join(words[i].ljust(most, b"\0") for i in some), dtype=np.uint8).reshape(-1, most)
@@ -198,7 +202,7 @@ class Lexicon:
         state = np.where(length <= self.longest, self.start, -1)
         place = np.zeros(len(words), dtype=np.int64)
         width = int(length[state >= 0].max(initial=0))
-        letters = np.frombuffer(b"".join(w[:width].ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(len(words), -1)
+        letters = np.frombuffer(b"".join(w[:width].ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(len(words), width)
         for at in range(width):
             live = np.flatnonzero((state >= 0) & (length > at))
             if not len(live) or not len(self.keys):
@@ -238,7 +242,7 @@ def encode_decode(docs: DataFrame, text_col: str, carry: list[str], tokenizer: s
 
     Whole texts; special tokens' strings become their ids, nothing is added. ``lexicon_words`` words of at most
     ``longest_word`` characters bound the lexicon, which depends on the tokenizer's file alone; all other words are merged
-    exactly. ``cache_words`` bounds what a task remembers between slices of about 2 MB of text.
+    exactly. ``cache_words`` bounds what a task remembers between slices of about 256 KB of text.
 
     * A null text counts as empty; an empty text has no ids and decodes to the empty string.
     * Words of any length are merged in n log n steps. Rows repeating others are rows of their own, null ids stay null.
@@ -287,4 +291,4 @@ def encode_decode(docs: DataFrame, text_col: str, carry: list[str], tokenizer: s
 
         return encode
 
-    return map_texts(docs, text_col, carry, {"n_tokens": "long", "ids": "binary", "decoded": "string"}, start, size=2 << 20)
+    return map_texts(docs, text_col, carry, {"n_tokens": "long", "ids": "binary", "decoded": "string"}, start, size=SLICE)

@@ -6,6 +6,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -294,6 +295,12 @@ def test_rows_of_null_and_repeated_ids_keep_their_sources(spark):
         assert abs(copies[s, "the same words here"] - 300 * want[s] / sizes[s]) <= 1
 
 
+def test_copies_are_placed_without_the_texts(spark):
+    df = spark.createDataFrame([(n, "a b " * (n % 7), "en", "x", 0) for n in range(50)], DOCS)
+    plan = systematic_mix.repeat_rows(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # whole rows were shuffled and sorted to be numbered
+
+
 # ---- pipeline -----------------------------------------------------------------------------------------------------
 
 
@@ -321,3 +328,22 @@ def test_stages_keep_columns_and_odd_rows(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SMALL).collect()}
     assert kept == {None, 4}
     assert corpus_pipeline.near_duplicates(spark, docs, SMALL).count() == 4
+
+
+def test_whole_texts_go_to_workers_in_batches_of_bounded_size(spark):
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", "repeat('abcd ', 1000) as text", "'en' as lang", "'s' as source", "0L as n_chars")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    for stage in (corpus_pipeline.language, corpus_pipeline.quality, corpus_pipeline.near_duplicates, corpus_pipeline.encoding):
+        spark.conf.unset(key)
+        stage(spark, docs.limit(0), SMALL)
+        assert max(r["size"] for r in docs.mapInArrow(sizes, "size long").collect()) < 5_000_000
+        spark.conf.set(key, "1m")
+        stage(spark, docs.limit(0), SMALL)
+        assert spark.conf.get(key) == "1m"
+    spark.conf.set(key, before)

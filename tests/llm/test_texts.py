@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -43,6 +44,24 @@ def test_merging_many_words():
     assert vocab.merge_many(words) == [transducer_bpe.pack(vocab.merge(w)) for w in words] and vocab.merge_many([]) == []
 
 
+def test_merging_many_words_takes_little_memory():
+    vocab = transducer_bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [b" nowhere%012d" % n for n in range(60_000)]
+    tracemalloc.start()
+    vocab.merge_many(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
+
+
+def test_slice_without_new_words(spark):
+    text = "the same words " * 20_000  # more than a slice, so the second row meets only words that are known
+    docs = spark.createDataFrame([(n, text) for n in range(3)], "doc_id long, text string").coalesce(1)
+    want = tokenizer().encode(text, add_special_tokens=False).ids
+    rows = transducer_bpe.encode_decode(docs, "text", ["doc_id"], public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert len(rows) == 3 and all(np.frombuffer(r["ids"], dtype="<u4").tolist() == want and r["decoded"] == text for r in rows)
+
+
 def test_segments_split_like_whole_texts():
     rng, split = random.Random(4), Splitter(("<|endoftext|>",))
     kinds = {True: 0, False: 0}
