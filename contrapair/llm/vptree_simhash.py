@@ -1,17 +1,23 @@
-"""SimHash near-duplicates by vantage-point trees.
+"""SimHash near-duplicates by runs of bits and vantage-point trees.
 
-A tree splits fingerprints by their Hamming distance to a vantage point: near ones (distance t or less) to one side, the
-others to the other. By the triangle inequality two fingerprints within r of each other can lie on different sides only if
-the farther one is at most t + r away, so the near side also takes the fingerprints up to there, and every linked pair
-meets on at least one side. The upper part of the tree is grown on a bounded sample and deals all fingerprints out to
-shards, with copies of those near a boundary; each shard goes on splitting its own, down to leaves small enough to compare.
-The result is exact. A leaf passes on only links that join what it hasn't joined before, never all pairs of a group.
+Fingerprints within r bits of each other agree in all bits of at least one of r + 1 runs of bits. Each fingerprint therefore
+goes to one shard for each run, a range of that run's values, and is compared with those of equal value: r + 1 copies of a
+row, however many rows there are. A pair belongs to the first run it agrees in, so its link is found once.
+
+Where one value has too many fingerprints, a tree splits them by their Hamming distance to a vantage point: near ones
+(distance t or less) to one side, the others to the other. By the triangle inequality two fingerprints within r of each other
+can lie on different sides only if the farther one is at most t + r away, so the near side also takes the fingerprints up to
+there, and every linked pair meets on at least one side. Cuts and trees over shards are chosen on a bounded sample; each
+shard goes on splitting its own, down to leaves small enough to compare.
+The result is exact. A shard passes on only links that join what it hasn't joined before, never all pairs of a group.
 
 Linked fingerprints become classes by repeated star contraction in tables; nothing about them is collected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -152,28 +158,21 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / max(1, len(a) + len(b) - common)
 
 
-def forest_links(x: np.ndarray, radius: int, wide: np.ndarray | None = None, most: int = 0, sets: list[np.ndarray] | None = None,
-                 similarity: float = 0.0, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places (i, j) of linked fingerprints that join all linked ones of a set, a spanning forest and not all pairs, and their trees.
+class Forest:
+    """Links between places that join all that is linked, and no more than that takes."""
 
-    With ``wide``, a matrix of words, linked ones must also differ in at most ``most`` bits of their rows there; with ``sets``, they must
-    have this Jaccard similarity. Fingerprints with equal numbers in ``joined`` count as joined before.
-    A tree goes by the place of one of its fingerprints.
-    """
-    label = np.arange(len(x))
-    if joined is not None:
-        first, of = np.unique(joined, return_index=True, return_inverse=True)[1:]
-        label = first[of]
-    out: list[tuple[int, int]] = []
+    def __init__(self, label: np.ndarray):
+        self.label, self.out = label, []
 
-    def join(i: np.ndarray, j: np.ndarray) -> None:
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        label = self.label
         while True:
             a, b = label[i], label[j]
             new = np.flatnonzero(a != b)
             if not len(new):
                 return
             i, j, a, b = i[new], j[new], a[new], b[new]
-            key = np.minimum(a, b) * len(x) + np.maximum(a, b)
+            key = np.minimum(a, b) * len(label) + np.maximum(a, b)
             first = np.unique(key, return_index=True)[1]
             parent: dict[int, int] = {}
 
@@ -186,14 +185,21 @@ def forest_links(x: np.ndarray, radius: int, wide: np.ndarray | None = None, mos
                 p, q = root(int(a[k])), root(int(b[k]))
                 if p != q:
                     parent[max(p, q)] = min(p, q)
-                    out.append((int(i[k]), int(j[k])))
+                    self.out.append((int(i[k]), int(j[k])))
             old = np.fromiter(parent, dtype=np.int64)
             to = np.array([root(v) for v in parent], dtype=np.int64)
-            move = np.arange(len(x))
+            move = np.arange(len(label))
             move[old] = to
             label[:] = move[label]
 
-    waiting = [np.arange(len(x))]
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        pairs = np.array(self.out, dtype=np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
+
+
+def close_pairs(x: np.ndarray, radius: int, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of fingerprints within ``radius`` bits of each other among ``rows``, in blocks; near a boundary more than once."""
+    waiting = [rows]
     while waiting:
         rows = waiting.pop()
         if len(rows) < 2:
@@ -208,56 +214,157 @@ def forest_links(x: np.ndarray, radius: int, wide: np.ndarray | None = None, mos
             close = np.bitwise_count(x[rows[at:at + step], None] ^ x[rows[at:]][None, :]) <= radius
             i, j = np.nonzero(close)
             up = j > i
-            i, j = rows[at + i[up]], rows[at + j[up]]
-            if wide is None:
-                join(i, j)
-                continue
-            block = 1 << (16 if sets is None else 10)  # sets take longer to compare, so what has been joined is looked at more often
-            for part in range(0, len(i), block):
-                p, q = i[part:part + block], j[part:part + block]
-                apart = label[p] != label[q]  # what is joined already needs no look at its rows
-                p, q = p[apart], q[apart]
-                same = np.bitwise_count(wide[p] ^ wide[q]).sum(axis=1, dtype=np.int64) <= most
+            yield rows[at + i[up]], rows[at + j[up]]
+
+
+def forest_links(x: np.ndarray, radius: int, wide: np.ndarray, most: int, sets: list[np.ndarray] | None = None,
+                 similarity: float = 0.0, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) of linked fingerprints that join all linked ones of a set, a spanning forest and not all pairs, and their trees.
+
+    Linked ones also differ in at most ``most`` bits of their rows in ``wide``, a matrix of words; with ``sets``, they must
+    have this Jaccard similarity. Fingerprints with equal numbers in ``joined`` count as joined before.
+    A tree goes by the place of one of its fingerprints.
+    """
+    label = np.arange(len(x))
+    if joined is not None:
+        first, of = np.unique(joined, return_index=True, return_inverse=True)[1:]
+        label = first[of]
+    forest = Forest(label)
+    block = 1 << (16 if sets is None else 10)  # sets take longer to compare, so what has been joined is looked at more often
+    for i, j in close_pairs(x, radius, np.arange(len(x))):
+        for part in range(0, len(i), block):
+            p, q = i[part:part + block], j[part:part + block]
+            apart = label[p] != label[q]  # what is joined already needs no look at its rows
+            p, q = p[apart], q[apart]
+            same = np.bitwise_count(wide[p] ^ wide[q]).sum(axis=1, dtype=np.int64) <= most
+            p, q = p[same], q[same]
+            if sets is not None:
+                same = np.array([jaccard(sets[a], sets[b]) >= similarity for a, b in zip(p.tolist(), q.tolist(), strict=True)], dtype=bool)
                 p, q = p[same], q[same]
-                if sets is not None:
-                    same = np.array([jaccard(sets[a], sets[b]) >= similarity for a, b in zip(p.tolist(), q.tolist(), strict=True)], dtype=bool)
-                    p, q = p[same], q[same]
-                join(p, q)
-    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1], label[pairs[:, 0]]
+            forest.join(p, q)
+    i, j = forest.links()
+    return i, j, label[i]
+
+
+# ---- runs of bits -------------------------------------------------------------------------------------------------
+
+
+def run_masks(bits: int, radius: int) -> np.ndarray:
+    """The lowest ``bits`` bits as radius + 1 runs; what differs in at most ``radius`` bits agrees in one of them. Higher bits are in the first."""
+    ends = [bits * k // (radius + 1) for k in range(radius + 1)] + [64]
+    return np.array([(1 << b) - (1 << a) for a, b in zip(ends, ends[1:], strict=False)][::-1], dtype=np.uint64)
+
+
+def run_links(x: np.ndarray, radius: int, masks: np.ndarray, runs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``forest_links`` without more to check, for the pairs that belong to one of these runs: the first run they agree in.
+
+    Equal fingerprints are compared once. They belong to the first run; in others they are tied where one of them has a link,
+    so that each linked pair of places lies in one tree.
+    """
+    u, place, of = np.unique(x, return_index=True, return_inverse=True)
+    forest, tied = Forest(np.arange(len(u))), np.full(len(u), 0 in runs)
+
+    def take(run: int, i: np.ndarray, j: np.ndarray) -> None:
+        apart = u[i] ^ u[j]
+        own = np.bitwise_count(apart) <= radius
+        for earlier in masks[:run]:
+            own &= (apart & earlier) != 0
+        i, j = i[own], j[own]
+        tied[i] = tied[j] = True
+        forest.join(i, j)
+
+    for run in runs:
+        value = u & masks[run]
+        order = np.argsort(value, kind="stable")
+        starts = np.flatnonzero(np.diff(value[order], prepend=~value[order[:1]]) != 0)
+        sizes = np.diff(starts, append=len(u))
+        end = np.repeat(starts + sizes, sizes)
+        live = np.flatnonzero(np.repeat(sizes <= LEAF, sizes))
+        for k in range(1, LEAF):  # each fingerprint with the k-th after it of equal value
+            live = live[live + k < end[live]]
+            if not len(live):
+                break
+            close = live[np.bitwise_count(u[order[live]] ^ u[order[live + k]]) <= radius]
+            take(run, order[close], order[close + k])
+        for k in np.flatnonzero(sizes > LEAF).tolist():
+            for i, j in close_pairs(u, radius, order[starts[k]:starts[k] + sizes[k]]):
+                take(run, i, j)
+    i, j = forest.links()
+    more = np.flatnonzero((place[of] != np.arange(len(x))) & tied[of])
+    return np.concatenate([place[i], place[of[more]]]), np.concatenate([place[j], more]), place[forest.label[np.concatenate([i, of[more]])]]
+
+
+class Shards:
+    """Which shards a table's fingerprints belong to: a range of the values of each run, or a tree's shard where one value is too frequent.
+
+    A shard's number divided by the number of runs leaves its run. A small table is the one shard WHOLE.
+    """
+
+    WHOLE = -1
+
+    def __init__(self, sample: np.ndarray, rows: int, radius: int, masks: np.ndarray, shard_rows: int):
+        self.masks, self.cells = masks, []
+        for mask in masks if rows > shard_rows else []:
+            value = np.sort(sample & mask)
+            cells = -(-rows // shard_rows)
+            cuts = np.unique(value[np.arange(1, cells) * len(value) // cells]) if len(value) else value
+            cell, trees, first = np.searchsorted(cuts, sample & mask, side="right"), {}, len(cuts) + 1
+            share = np.bincount(cell, minlength=first) * (rows / max(1, len(sample)))
+            for c in np.flatnonzero(share > 2 * shard_rows).tolist():
+                tree = ShardTree(sample[cell == c], int(share[c]), radius, shard_rows)
+                trees[c] = (first, tree)
+                first += tree.shards
+            self.cells.append((cuts, trees))
+
+    def route(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(shards, places in x), for all of x as often as they are dealt out."""
+        if not self.cells:
+            return [(np.full(len(x), self.WHOLE), np.arange(len(x)))]
+        out = []
+        for run, (cuts, trees) in enumerate(self.cells):
+            cell = np.searchsorted(cuts, x & self.masks[run], side="right")
+            plain = np.flatnonzero(~np.isin(cell, list(trees)))
+            out.append((cell[plain] * len(self.masks) + run, plain))
+            for c, (first, tree) in trees.items():
+                rows = np.flatnonzero(cell == c)
+                out += [(np.full(len(at), (first + shard) * len(self.masks) + run), rows[at]) for shard, at in tree.route(x[rows])]
+        return out
 
 
-def links(prints: DataFrame, radius: int, *, shard_rows: int = 4096, sample_rows: int = 1 << 18) -> DataFrame:
-    """Links (a, b) between nodes whose fingerprints in the same table differ in at most ``radius`` bits.
+def links(prints: DataFrame, radius: int, *, bits: int = 64, shard_rows: int = 4096, sample_rows: int = 1 << 18) -> DataFrame:
+    """Links (a, b) between nodes whose fingerprints in the same table differ in at most ``radius`` of their ``bits`` bits.
 
     ``prints`` has (tab int, print long, node long). The links connect exactly what all such pairs connect. ``tree`` tells
-    which links of a shard hang together. ``sample_rows`` bounds the sample the shards are chosen by; every fingerprint is dealt out.
+    which links of a shard hang together: both nodes of a pair are in one tree of its shard. ``sample_rows`` bounds the sample the
+    shards are chosen by; every fingerprint is dealt out.
     """
     sizes = {r["tab"]: r["n"] for r in prints.groupBy("tab").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return prints.sparkSession.createDataFrame([], LINK)
+    masks = run_masks(bits, radius)
     want = min(1.0, sample_rows / sum(sizes.values()), 16.0 * 64 / shard_rows)
-    rows = prints.where(unit_hash("tab", "print") < want).select("tab", "print").toPandas()
-    trees: dict[int, ShardTree] = {}
+    rows = prints.where(unit_hash("tab", "print", "node") < want).select("tab", "print").toPandas()
+    shards: dict[int, Shards] = {}
     for tab, n in sizes.items():
         sample = np.sort(rows["print"][rows["tab"] == tab].to_numpy(dtype=np.int64).view(np.uint64))
-        trees[tab] = ShardTree(sample, n, radius, shard_rows)
-    shared = prints.sparkSession.sparkContext.broadcast(trees)  # two numbers for each of at most sample_rows / 16 splits
+        shards[tab] = Shards(sample, n, radius, masks, shard_rows)
+    shared = prints.sparkSession.sparkContext.broadcast(shards)  # a number for each cut, two for each split of at most sample_rows / 16
 
     def deal(batches):
         release()
         for batch in batches:
+            out = []
             for tab, part in batch.groupby("tab", sort=False):
-                x = part["print"].to_numpy(dtype=np.int64).view(np.uint64)
-                node, out = part["node"].to_numpy(), shared.value[tab].route(x)
-                if out:
-                    at = np.concatenate([r for _, r in out])
-                    yield pd.DataFrame({"tab": np.int32(tab), "shard": np.repeat(np.array([s for s, _ in out], dtype=np.int32), [len(r) for _, r in out]),
-                                        "print": part["print"].to_numpy()[at], "node": node[at]})
+                x, node = part["print"].to_numpy(dtype=np.int64), part["node"].to_numpy()
+                out += [(np.full(len(at), tab), shard, x[at], node[at]) for shard, at in shared.value[tab].route(x.view(np.uint64))]
+            if out:
+                tab, shard, x, node = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pd.DataFrame({"tab": tab.astype(np.int32), "shard": shard.astype(np.int32), "print": x, "node": node})
 
     def join(key, group):
         group = group.sort_values(["print", "node"])  # the shuffle's order must not choose the links
-        i, j, tree = forest_links(group["print"].to_numpy(dtype=np.int64).view(np.uint64), radius)
+        runs = list(range(len(masks))) if key[1] == Shards.WHOLE else [key[1] % len(masks)]
+        i, j, tree = run_links(group["print"].to_numpy(dtype=np.int64).view(np.uint64), radius, masks, runs)
         node = group["node"].to_numpy()
         return link_rows(key, node[i], node[j], node[tree])
 
@@ -366,7 +473,7 @@ def similar_classes(prints: DataFrame, similarity: float, *, times: int = 12, ra
                     sets: DataFrame | None = None) -> DataFrame:
     """(node, root) over wide fingerprints (print binary, node long) of texts of at least this similarity.
 
-    A wide fingerprint is cut into pieces of 32 bits, each a table of vantage-point trees; fingerprints within ``radius`` bits
+    A wide fingerprint is cut into pieces of 32 bits, each a table of ``links``; fingerprints within ``radius`` bits
     in some piece are candidates, and those within the bits the similarity allows overall are links. With 24 pieces a pair
     of similarity 0.8 is a candidate with probability 0.96, one of 0.85 with 0.995, one of 0.9 with 0.9999, and a class is
     found through any of its pairs; unrelated texts differ in half of all bits and never link.
@@ -381,7 +488,7 @@ def similar_classes(prints: DataFrame, similarity: float, *, times: int = 12, ra
     """
     halves = F.flatten(F.transform(as_longs("print"), lambda w: F.array(F.shiftrightunsigned(w, 32), w.bitwiseAND(F.lit(0xFFFFFFFF)))))
     pieces = prints.select("node", F.posexplode(halves).alias("tab", "print"))
-    found = materialise(links(pieces.select("tab", "print", "node"), radius, shard_rows=shard_rows))
+    found = materialise(links(pieces.select("tab", "print", "node"), radius, bits=32, shard_rows=shard_rows))
     whole = prints.select("node", as_longs("print").alias("bits"))
     left, right = whole.toDF("a", "x"), whole.toDF("b", "y")
     apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)

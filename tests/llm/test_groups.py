@@ -108,6 +108,42 @@ def test_trees_lose_no_link(spark, bits, spread):
     assert same_partition([root.get(i, i) for i in range(len(x))], slow_classes(x, 2))
 
 
+def test_rows_dealt_out_grow_as_the_input(spark, monkeypatch):
+    dealt = []
+
+    def kept(self, *args, **kwargs):
+        dealt.append(plain(self, *args, **kwargs))
+        return dealt[-1]
+
+    df = spark.range(80_000).selectExpr("0 as tab", "xxhash64(id) as print", "id as node")
+    plain = type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", kept)
+    for n in (10_000, 80_000):
+        vptree_simhash.links(df.where(f"node < {n}"), 2, shard_rows=256)
+    few, many = (d.count() for d in dealt)
+    assert many <= 8.1 * few and many <= 3 * 80_000
+
+
+@pytest.mark.parametrize("shard_rows", [100, 1 << 20])
+def test_pairs_of_places_lie_in_one_tree(spark, shard_rows):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 32, 12, dtype=np.uint64).tolist()
+    x = [base[0]] * 300  # frequent values, beside ones that agree with them in some of the bits only
+    for b in base * 25:
+        for k in rng.choice(32, rng.integers(0, 4), replace=False):
+            b ^= 1 << int(k)
+        x += [b] * int(rng.integers(1, 4))
+    x += [base[1] & ~0x3FF | int(v) for v in rng.integers(0, 1 << 10, 400)] + [base[2] & 0x1FFFFF | int(v) << 21 for v in rng.integers(0, 1 << 11, 400)]
+    df = spark.createDataFrame([(0, v, i) for i, v in enumerate(x)], "tab int, print long, node long")
+    trees = {}
+    for r in vptree_simhash.links(df, 2, bits=32, shard_rows=shard_rows).collect():
+        assert (x[r["a"]] ^ x[r["b"]]).bit_count() <= 2
+        for n in (r["a"], r["b"]):
+            trees.setdefault(n, set()).add((r["shard"], r["tree"]))
+    pairs = [(i, j) for i in range(len(x)) for j in range(i) if (x[i] ^ x[j]).bit_count() <= 2]
+    assert pairs and all(trees.get(i, set()) & trees.get(j, set()) for i, j in pairs)
+
+
 def test_wide_trees_lose_no_link(spark):
     rng = np.random.default_rng(5)
 
