@@ -10,10 +10,10 @@ which only the features (a few numbers each) come to the driver. Features and sc
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,41 +28,68 @@ CLASSES = {
 WHOLE = ("log_bytes", "log_words", "word_length", "longest_word", "distinct_words", "top_word", "distinct_pairs", "short_words", "marked_words",
          "log_lines", "distinct_lines", "words_a_line", "ended_lines", "entropy")
 FEATURES = (*CLASSES, *WHOLE)
+#: Bytes of text whose words are counted at a time.
+TEXTS = 2 << 20
 _SHARE = np.array([[c in members for c in range(256)] for members in CLASSES.values()], dtype=np.float64).T
 
 
-def features(text: str | None) -> np.ndarray:
-    """The features of one whole text; all zero for a text without bytes."""
-    out = np.zeros(len(FEATURES))
-    data = (text or "").encode()
-    if not data:
-        return out
-    seen = np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256)
-    share = seen / len(data)
-    words, lines = data.split(), [x for x in data.split(b"\n") if x.strip()]
-    n, m = len(words), len(lines)
-    some = share[share > 0]
-    whole = [np.log1p(len(data)), np.log1p(n)]
-    if n:
-        length = np.fromiter(map(len, words), dtype=np.int64, count=n)
-        marks = sum(w[-1] in b"!#*$%&|" for w in words)
-        whole += [length.mean(), np.log1p(length.max()), len(set(words)) / n, max(Counter(words).values()) / n,
-                  len(set(zip(words, words[1:], strict=False))) / max(1, n - 1), (length <= 3).mean(), marks / n]
-        whole += [np.log1p(m), len(set(lines)) / m, n / m, sum(x.rstrip()[-1:] in (b".", b"?", b"!") for x in lines) / m]
-    else:
-        whole += [0.0] * 11
-    out[:len(CLASSES)] = share @ _SHARE
-    out[len(CLASSES):] = [*whole, float(-(some * np.log2(some)).sum())]
+def features(texts: list) -> np.ndarray:
+    """A row for each whole text, in the order of FEATURES; all zero for a text without bytes."""
+    data = [(t or "").encode() for t in texts]
+    out = np.zeros((len(data), len(FEATURES)))
+    at = len(CLASSES)
+    n = word_features(texts, out[:, at + 2:at + 9])
+    for row, text in enumerate(data):
+        if not text:
+            continue
+        share = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256) / len(text)
+        some = share[share > 0]
+        out[row, :at] = share @ _SHARE
+        out[row, at:at + 2] = np.log1p(len(text)), np.log1p(n[row])
+        out[row, -1] = -(some * np.log2(some)).sum()
+        if n[row]:
+            lines = [x for x in text.split(b"\n") if x.strip()]
+            m = len(lines)
+            ended = sum(x.rstrip()[-1:] in (b".", b"?", b"!") for x in lines)
+            out[row, -5:-1] = np.log1p(m), len(set(lines)) / m, n[row] / m, ended / m
     return out
 
 
+def word_features(texts: list, out: np.ndarray) -> np.ndarray:
+    """Fills in the features of words, for all texts at once, and returns how many words each has."""
+    parts = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+    row, words = pc.list_parent_indices(parts), parts.flatten()
+    filled = pc.greater(pc.binary_length(words), 0)  # a blank at an end splits off an empty word
+    row, words = row.filter(filled).to_numpy(), words.filter(filled).dictionary_encode()
+    code, kinds = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
+    length = pc.binary_length(words.dictionary).to_numpy()[code]
+    marked = pc.match_substring_regex(words.dictionary, r"[!#*$%&|]$").to_numpy(zero_copy_only=False)[code]
+    n = np.bincount(row, minlength=len(texts))
+    some = np.flatnonzero(n)
+    if not len(some):
+        return n
+    word, times = np.unique(row * kinds + code, return_counts=True)
+    pair = np.sort(((row * kinds + code)[:-1] * kinds + code[1:])[row[:-1] == row[1:]])
+    pair = pair[np.diff(pair, prepend=-1) > 0]
+
+    def total(rows: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(rows, weights, len(texts))[some]
+
+    longest = np.maximum.reduceat(length, np.searchsorted(row, some))
+    top = np.maximum.reduceat(times, np.searchsorted(word // kinds, some))
+    count = n[some]
+    out[some] = np.stack([total(row, length) / count, np.log1p(longest), total(word // kinds) / count, top / count,
+                          total(pair // kinds ** 2) / np.maximum(1, count - 1), total(row, length <= 3) / count, total(row, marked) / count], axis=1)
+    return n
+
+
 def feature_table(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
     """The columns ``carry`` with ``features``, an array of numbers in the order of FEATURES."""
 
     def start():
-        return lambda texts: {"features": [features(t) for t in texts]}
+        return lambda texts: {"features": list(features(texts))}
 
-    return map_texts(docs, text_col, carry, {"features": "array<double>"}, start)
+    return map_texts(docs, text_col, carry, {"features": "array<double>"}, start, size=TEXTS)
 
 
 class Gam:
@@ -188,9 +215,9 @@ def score_texts(docs: DataFrame, text_col: str, carry: list[str], model: Gam) ->
 
     def start():
         gam: Gam = shared.value
-        return lambda texts: {"score": gam.score(np.stack([features(t) for t in texts]))}
+        return lambda texts: {"score": gam.score(features(texts))}
 
-    return map_texts(docs, text_col, carry, {"score": "double"}, start).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return map_texts(docs, text_col, carry, {"score": "double"}, start, size=TEXTS).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def score(table: DataFrame, model: Gam) -> DataFrame:

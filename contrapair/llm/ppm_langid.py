@@ -92,12 +92,10 @@ class Trees:
             gram = gram[a - first:]
             inside = filled[(ends[filled] > a) & (starts[filled] < b)]
             cuts = np.maximum(starts[inside], a) - a
-            age = np.arange(a, b) - np.repeat(starts[inside], np.diff([*cuts, b - a]))  # bytes of the same text before
-            bits = np.empty((b - a, len(self.langs)), dtype=np.float32)
-            deep = age >= self.order
-            bits[deep] = self.cost(self.order, gram[deep])
-            for m in range(self.order):
-                young = age == m
+            bits = self.cost(self.order, gram)
+            for m in range(self.order):  # a text's first bytes have fewer before them
+                young = starts[inside] + m
+                young = young[(young >= a) & (young < np.minimum(ends[inside], b))] - a
                 bits[young] = self.cost(m, gram[young] & self._mask(m + 1))
             out[inside] += np.add.reduceat(bits, cuts, axis=0, dtype=np.float64)
         return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import regex
 
 # The published split pattern of the byte-level vocabulary. Blanks are spelled out by property.
@@ -32,12 +34,25 @@ class Splitter:
             out += [part] if i % 2 else self.find(part)
         return out
 
+    def cuts_at_spaces(self, text: str) -> bool:
+        """Whether pre-tokens never cross a space of the text, which then belongs to what stands after it.
+
+        A run of blanks is only cut differently by the pattern where a space follows another blank, or where a special
+        token stands; such texts are left to the pattern.
+        """
+        return not any(pair in text for pair in BLANK_PAIRS) and not any(s in text for s in self.specials)
+
     def segments(self, text: str) -> list[str] | None:
-        """The text cut at its spaces, if pre-tokens never cross the cuts; else None.
+        """The text cut at its spaces, without them, if pre-tokens never cross the cuts; else None."""
+        return text.split(" ") if self.cuts_at_spaces(text) else None
+
+    def pieces(self, segments: list[str]) -> list[list[str]]:
+        """The pre-tokens of each segment, given with the one space it has, in front: all in one pass of the pattern.
 
-        The space belongs to the segment after it. A run of blanks is only cut differently by the pattern where a
-        space follows another blank, or where a special token stands; such texts are left to the pattern.
+        A blank at a segment's end would look at the space after it, so such a segment is cut by itself.
         """
-        if any(pair in text for pair in BLANK_PAIRS) or any(s in text for s in self.specials):
-            return None
-        return text.split(" ")
+        alone = [s[-1].isspace() for s in segments]
+        words = self.find("".join([s for s, a in zip(segments, alone, strict=True) if not a]))
+        starts = [i for i, w in enumerate(words) if w[0] == " "]
+        cut = (words[a:b] for a, b in pairwise([*starts, len(words)]))
+        return [self.find(s) if a else next(cut) for s, a in zip(segments, alone, strict=True)]

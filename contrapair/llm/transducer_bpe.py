@@ -13,6 +13,8 @@ import json
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
@@ -21,8 +23,8 @@ from contrapair.llm.pretokens import Splitter
 
 
 NONE = (1 << 31) - 1
-#: Bytes of text that are cut into pre-tokens at a time; their strings take some ten times as much.
-SLICE = 1 << 18
+#: Bytes of text that are encoded at a time; the strings of its different words take as much again.
+SLICE = 1 << 20
 #: Words that are merged at a time: their tables, of 32 places a word, are the largest things a task holds.
 MERGED_AT_ONCE = 1 << 12
 
@@ -64,6 +66,7 @@ class Vocabulary:
             self.bytes[i] = b"".join(back[c] for c in token)
         for token, i in self.specials.items():
             self.bytes[i] = token.encode()
+        self.tokens = pa.array(self.bytes, pa.binary())
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of a pre-token: the pair of lowest rank is merged first, of equal ones the leftmost."""
@@ -134,7 +137,14 @@ class Vocabulary:
         return np.where(place >= 0, place, NONE)
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
+        return self.decode_many([pack(ids)])[0]
+
+    def decode_many(self, packed: list[bytes]) -> list[str]:
+        """Texts of packed ids: all their tokens are taken at once, then joined for each text."""
+        ends = np.cumsum([0, *(len(ids) // 4 for ids in packed)])
+        tokens = self.tokens.take(pa.array(np.frombuffer(b"".join(packed), dtype="<u4")))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), b"")
+        return [text.decode("utf-8", errors="replace") for text in texts.to_pylist()]
 
 
 def compile_lexicon(words: dict[bytes, tuple[int, ...]]) -> bytes:
@@ -242,10 +252,11 @@ def encode_decode(docs: DataFrame, text_col: str, carry: list[str], tokenizer: s
 
     Whole texts; special tokens' strings become their ids, nothing is added. ``lexicon_words`` words of at most
     ``longest_word`` characters bound the lexicon, which depends on the tokenizer's file alone; all other words are merged
-    exactly. ``cache_words`` bounds what a task remembers between slices of about 256 KB of text.
+    exactly. ``cache_words`` bounds what a task remembers between slices of about 1 MB of text.
 
     * A null text counts as empty; an empty text has no ids and decodes to the empty string.
     * Words of any length are merged in n log n steps. Rows repeating others are rows of their own, null ids stay null.
+    * Equal texts of a slice are worked on once: ``mixing`` writes a document's copies beside each other.
     * Columns that are not carried are not looked at. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -258,36 +269,39 @@ def encode_decode(docs: DataFrame, text_col: str, carry: list[str], tokenizer: s
     def start():
         vocab, lexicon = shared.value, Lexicon(SparkFiles.get(file))
         split, fresh = Splitter(specials), {s: pack((i,)) for s, i in vocab.specials.items()}
-        cache = dict(fresh)  # pre-tokens
-        spaced: dict[str, bytes] = {}  # segments with the space before them
+        known = dict(fresh)  # pre-tokens, and segments with the space before them
 
         def learn(words: set[str]) -> None:
-            new = [w for w in words if w not in cache]
+            new = [w for w in words if w not in known]
             data = [w.encode() for w in new]
             found = lexicon.find(data)
             unseen = [i for i, ids in enumerate(found) if ids is None]
             for i, ids in zip(unseen, vocab.merge_many([data[i] for i in unseen]), strict=True):
                 found[i] = ids
-            cache.update(zip(new, found, strict=True))
+            known.update(zip(new, found, strict=True))
 
         def encode(texts: list) -> dict:
-            nonlocal cache
-            cut = [split.segments(t or "") for t in texts]
-            whole = [split(t) if parts is None else split(parts[0]) for t, parts in zip(texts, cut, strict=True)]
-            if len(cache) + len(spaced) > cache_words:
-                cache = dict(fresh)
-                spaced.clear()
-            new = {s for s in set().union(*[parts[1:] for parts in cut if parts]) if s not in spaced}
-            pieces = {s: split(" " + s) for s in new}
-            words = set().union(*whole, *pieces.values())
-            if any(words):
+            nonlocal known
+            distinct = list(dict.fromkeys(t or "" for t in texts))
+            cut = [t.partition(" ") if split.cuts_at_spaces(t) else (t, "", "") for t in distinct]
+            heads = [split(head) for head, _, _ in cut]
+            rest = pc.split_pattern(pa.array([tail if space else None for _, space, tail in cut], pa.string()), " ")
+            coded = rest.flatten().dictionary_encode()
+            segments = pc.binary_join_element_wise("", coded.dictionary, " ").to_numpy(zero_copy_only=False).tolist()
+            if len(known) > cache_words:  # what is met again just now is likely to be met once more
+                known = fresh | {s: known[s] for s in segments if s in known}
+            new = [s for s in segments if s not in known]
+            pieces = split.pieces(new)
+            words = set(chain.from_iterable(heads)).union(*pieces)
+            if words:
                 learn(words)
-            spaced.update((s, b"".join(map(cache.__getitem__, p))) for s, p in pieces.items())
-            ids = []
-            for first, parts in zip(whole, cut, strict=True):
-                known = map(spaced.__getitem__, parts[1:]) if parts else ()
-                ids.append(b"".join(chain(map(cache.__getitem__, first), known)))
-            return {"n_tokens": [len(i) // 4 for i in ids], "ids": ids, "decoded": [vocab.decode(np.frombuffer(i, dtype="<u4")) for i in ids]}
+            known.update([(s, b"".join([known[w] for w in p])) for s, p in zip(new, pieces, strict=True) if len(p) > 1])
+            tails = pa.array([known[s] for s in segments], pa.binary()).take(coded.indices)
+            tails = pc.binary_join(pa.ListArray.from_arrays(rest.offsets, tails), b"").to_pylist()
+            ids = [b"".join([known[w] for w in head]) + tail for head, tail in zip(heads, tails, strict=True)]
+            done = dict(zip(distinct, zip(ids, vocab.decode_many(ids), strict=True), strict=True))
+            rows = [done[t or ""] for t in texts]
+            return {"n_tokens": [len(i) // 4 for i, _ in rows], "ids": [i for i, _ in rows], "decoded": [text for _, text in rows]}
 
         return encode
 

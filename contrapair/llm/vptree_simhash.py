@@ -17,6 +17,7 @@ Linked fingerprints become classes by repeated star contraction in tables; nothi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ from contrapair.llm.common import map_texts, release, unit_hash
 from contrapair.session import materialise, scratch
 
 LEAF = 128
+#: Members of trees that are looked at together, on average; no tree is cut.
+LOT = 512
 
 
 # ---- fingerprints -------------------------------------------------------------------------------------------------
@@ -42,9 +45,9 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     if len(w) <= words:
         return np.array([digest(b" ".join(w), 42)], dtype=np.uint64)
     joined = b" ".join(w)
-    ends = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1) - 1
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == ord(" ")), len(joined))
     starts = np.concatenate([[0], ends[:-words] + 1]).tolist()
-    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1:].tolist(), strict=True)), dtype=np.uint64, count=len(starts))
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1:].tolist(), strict=True)], dtype=np.uint64)
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -88,7 +91,8 @@ def shingle_sets(docs: DataFrame, text_col: str, carry: list[str], words: int, t
     """The columns ``carry`` with ``shingles``, the sorted set of a text's shingle hashes, and ``print``, the fingerprint of that set."""
 
     def one(text):
-        h = np.unique(shingle_hashes(text, words))
+        h = np.sort(shingle_hashes(text, words))
+        h = h[np.append(h[:-1] != h[1:], True)] if len(h) else h  # a set; np.unique takes four times as long
         bits = np.packbits(2 * bit_counts(widened(h, times)) > len(h)).tobytes() if len(h) else bytes(8 * times)
         return h.view(np.int64), bits
 
@@ -331,14 +335,16 @@ class Shards:
         return out
 
 
-def links(prints: DataFrame, radius: int, *, bits: int = 64, shard_rows: int = 4096, sample_rows: int = 1 << 18) -> DataFrame:
+def links(prints: DataFrame, radius: int, *, bits: int = 64, shard_rows: int = 4096, sample_rows: int = 1 << 18,
+          sizes: dict[int, int] | None = None) -> DataFrame:
     """Links (a, b) between nodes whose fingerprints in the same table differ in at most ``radius`` of their ``bits`` bits.
 
     ``prints`` has (tab int, print long, node long). The links connect exactly what all such pairs connect. ``tree`` tells
     which links of a shard hang together: both nodes of a pair are in one tree of its shard. ``sample_rows`` bounds the sample the
-    shards are chosen by; every fingerprint is dealt out.
+    shards are chosen by; every fingerprint is dealt out. ``sizes`` has the rows of each table, if the caller knows them.
     """
-    sizes = {r["tab"]: r["n"] for r in prints.groupBy("tab").agg(F.count("*").alias("n")).collect()}
+    if sizes is None:
+        sizes = {r["tab"]: r["n"] for r in prints.groupBy("tab").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return prints.sparkSession.createDataFrame([], LINK)
     masks = run_masks(bits, radius)
@@ -382,16 +388,17 @@ def link_rows(key: tuple, a: np.ndarray, b: np.ndarray, tree: np.ndarray) -> pd.
 def classes(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node of its class.
 
-    Alternates two contractions until nothing changes: each node's larger neighbours are tied to its smallest neighbour, then
+    Alternates two contractions until every class is a star: each node's larger neighbours are tied to its smallest neighbour, then
     each node's smaller neighbours are. Each round is a written table, so lost executors repeat one round at most.
     """
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    now, before = materialise(both), None
+    now = materialise(both)
     while True:
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before or state[0] == 0:
+        ends = now.select(F.col("u").alias("n"), F.lit(1).alias("below")).union(now.select("v", F.lit(0)))
+        # in stars a node has one smaller neighbour and no other, or larger ones only
+        crossed = ends.groupBy("n").agg(F.sum("below").alias("below"), F.count("*").alias("all")).where("below > 0 and all > 1")
+        if not crossed.count():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
         out = now.select("u", "v").union(now.select("v", "u")).toDF("n", "m")
         least = out.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("least"))
         large = out.join(least, "n").where("m > n").select(F.col("m").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
@@ -454,9 +461,10 @@ def short_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     share such a rest are tied to the smallest of them where the rest makes them similar.
     """
     n = F.size("shingles")
-    small = sets.where((n * (1 - similarity) < 2) & ((n - 1) / F.greatest(n, F.lit(1)) >= similarity)).select("node", "shingles", n.alias("n")).dropDuplicates(["node"])
+    few = materialise(sets.where(n * (1 - similarity) < 2).select("node", "shingles"))
+    small = few.where((n - 1) / F.greatest(n, F.lit(1)) >= similarity).select("node", "shingles", n.alias("n")).dropDuplicates(["node"])
     cut = materialise(small.select("node", "n", F.explode(F.transform("shingles", lambda s: set_number(F.array_remove("shingles", s)))).alias("rest")))
-    whole = sets.where(n * (1 - similarity) < 2).select(F.col("node").alias("b")).distinct()
+    whole = few.select(F.col("node").alias("b")).distinct()
     within = cut.join(whole, F.col("rest") == F.col("b")).select(F.col("node").alias("a"), "b")
     both = cut.where((F.col("n") - 1) / (F.col("n") + 1) >= similarity)
     least = both.groupBy("rest", "n").agg(F.min("node").alias("b"))
@@ -486,10 +494,11 @@ def similar_classes(prints: DataFrame, similarity: float, *, times: int = 12, ra
     two of its fingerprints may be linked without a path of links between them, so its members meet again in their shard, this
     time with all their bits: the classes are those of all candidates that are links.
     """
-    halves = F.flatten(F.transform(as_longs("print"), lambda w: F.array(F.shiftrightunsigned(w, 32), w.bitwiseAND(F.lit(0xFFFFFFFF)))))
-    pieces = prints.select("node", F.posexplode(halves).alias("tab", "print"))
-    found = materialise(links(pieces.select("tab", "print", "node"), radius, bits=32, shard_rows=shard_rows))
-    whole = prints.select("node", as_longs("print").alias("bits"))
+    whole = materialise(prints.select("node", as_longs("print").alias("bits")))
+    n = whole.count()
+    halves = F.flatten(F.transform("bits", lambda w: F.array(F.shiftrightunsigned(w, 32), w.bitwiseAND(F.lit(0xFFFFFFFF)))))
+    pieces = whole.select("node", F.posexplode(halves).alias("tab", "print")).select("tab", "print", "node")
+    found = materialise(links(pieces, radius, bits=32, shard_rows=shard_rows, sizes=dict.fromkeys(range(2 * times), n) if n else {}))
     left, right = whole.toDF("a", "x"), whole.toDF("b", "y")
     apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
     most = bits_apart(similarity, 64 * times)
@@ -525,16 +534,22 @@ def similar_classes(prints: DataFrame, similarity: float, *, times: int = 12, ra
     members = materialise(members)
     unsettled = members.groupBy(place).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select(place)
 
-    def confirm(key, group):
-        group = group.sort_values("node")
+    def confirm(group):
+        group = group.sort_values([*place, "node"])
         bits = np.frombuffer(b"".join(group["print"]), dtype=">u8").reshape(len(group), -1).astype(np.uint64)
-        piece = bits[:, key[0] // 2] >> np.uint64(0 if key[0] % 2 else 32) & np.uint64(0xFFFFFFFF)
-        i, j, tree = forest_links(piece, radius, bits, most, group["shingles"].tolist(), similarity, group["root"].to_numpy())
-        node = group["node"].to_numpy()
-        return link_rows(key, node[i], node[j], node[tree])
-
-    members = members.join(unsettled, place, "left_semi").join(prints.select("node", "print"), "node").join(wide, "node")
-    more = materialise(members.groupBy(place).applyInPandas(confirm, LINK).select("a", "b"))
+        tab, node, joined, shingles = group["tab"].to_numpy(), group["node"].to_numpy(), group["root"].to_numpy(), group["shingles"].tolist()
+        starts = np.flatnonzero(~group.duplicated(place).to_numpy()).tolist()
+        out = []
+        for a, b in pairwise([*starts, len(group)]):
+            piece = bits[a:b, tab[a] // 2] >> np.uint64(0 if tab[a] % 2 else 32) & np.uint64(0xFFFFFFFF)
+            i, j, _ = forest_links(piece, radius, bits[a:b], most, shingles[a:b], similarity, joined[a:b])
+            out.append(pd.DataFrame({"a": node[a + i], "b": node[a + j]}))
+        return pd.concat(out)
+
+    members = materialise(members.join(unsettled, place, "left_semi"))
+    lots = -(-members.count() // LOT) or 1  # most trees have two or three members: several go to the workers at once
+    members = members.withColumn("lot", F.pmod(F.xxhash64(*place), F.lit(lots))).join(prints.select("node", "print"), "node").join(wide, "node")
+    more = materialise(members.groupBy("lot").applyInPandas(confirm, "a long, b long"))
     if more.isEmpty():
         return root
     return classes(root.toDF("a", "b").union(more))

@@ -181,6 +181,14 @@ def test_classes_of_a_long_chain(spark):
     assert vptree_simhash.classes(edges.limit(0)).count() == 0
 
 
+def test_classes_that_are_stars_take_no_round(spark, monkeypatch):
+    written, write = [], vptree_simhash.materialise
+    monkeypatch.setattr(vptree_simhash, "materialise", lambda df: written.append(df) or write(df))
+    found = vptree_simhash.classes(spark.createDataFrame([(1, 2), (3, 1), (4, 5)], "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == [(2, 1), (3, 1), (5, 4)] and len(written) == 1
+    assert vptree_simhash.classes(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_simhash_query(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     ids = sorted(docs)

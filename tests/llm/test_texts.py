@@ -74,6 +74,23 @@ def test_segments_split_like_whole_texts():
     assert min(kinds.values()) > 1000
 
 
+def test_segments_are_cut_in_one_pass_as_alone():
+    rng, split = random.Random(7), Splitter()
+    segments = [" " + "".join(rng.choices(["a", "b,", "\n", "\t", "\xa0", "\x1c", "1", "'s", "'", "é", "日"], k=rng.randrange(6))) for _ in range(5000)]
+    assert split.pieces(segments) == [split(s) for s in segments] and split.pieces([]) == []
+
+
+def test_copies_in_a_slice_are_encoded_once(spark, monkeypatch):
+    taken, asked, decode = {}, [], transducer_bpe.Vocabulary.decode_many
+    monkeypatch.setattr(transducer_bpe, "map_texts", lambda docs, text, carry, fields, start, **_: taken.update(start=start))
+    monkeypatch.setattr(transducer_bpe.Vocabulary, "decode_many", lambda self, packed: asked.append(len(packed)) or decode(self, packed))
+    transducer_bpe.encode_decode(table(spark, ODD), "text", ["doc_id"], public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two"] * 3 + [None, "", "two  one", "one two", ""]
+    made = taken["start"]()(texts)
+    assert asked == [3] and made["decoded"] == [t or "" for t in texts]
+    assert [np.frombuffer(i, dtype="<u4").tolist() for i in made["ids"]] == [tokenizer().encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_encoding_is_the_tokenizers(spark):
     t = tokenizer()
     done = transducer_bpe.encode_decode(table(spark, ODD), "text", ["doc_id", "score"], public_tokenizers.path("byte_bpe_50k.json"), lexicon_words=3, cache_words=4)
@@ -263,6 +280,18 @@ def test_gam_learns_features_and_pairs():
     assert gam_quality.fit(np.ones((9, 2)), np.ones(9)).score(np.zeros((1, 2)))[0] > 0.9
 
 
+def test_features_of_many_texts_are_those_of_each():
+    texts = [*ODD, "a! b$ \0 c| \0", ". ?\n!\n\n x\x0b", "Two\x1cwords a b a b."]
+    many = gam_quality.features(texts)
+    assert np.array_equal(many, np.concatenate([gam_quality.features([t]) for t in texts])) and gam_quality.features([]).shape == (0, len(gam_quality.FEATURES))
+    for row, text in zip(many, texts, strict=True):
+        words = (text or "").encode().split()
+        pairs, of = list(zip(words, words[1:], strict=False)), dict(zip(gam_quality.FEATURES, row.tolist(), strict=True))
+        if words:
+            want = (len(set(words)) / len(words), max(map(words.count, set(words))) / len(words), len(set(pairs)) / max(1, len(pairs)), sum(w[-1:] in b"!#*$%&|" for w in words) / len(words))
+            assert tuple(of[k] for k in ("distinct_words", "top_word", "distinct_pairs", "marked_words")) == want
+
+
 def test_quality_of_odd_rows(spark):
     docs = table(spark, ODD)
     labels = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (None, 1), (5, None), (6, 1)], "doc_id long, quality int")
